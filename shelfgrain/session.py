@@ -17,6 +17,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.files.maxPartitionBytes": "64m",
 }
 
+_own_folders: dict[str, str] = {}  # by application, for sessions without a named folder
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators count on to an existing session."""
@@ -44,13 +46,14 @@ def work_folder(spark: SparkSession) -> str:
     session gets a temporary folder and any other one a folder in the warehouse,
     because a machine-local folder would be lost with its executor.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    application = spark.sparkContext.applicationId
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folders.get(application)
     if not folder:
         if spark.sparkContext.master.startswith("local"):
             folder = tempfile.mkdtemp(prefix="shelfgrain-")
         else:
             folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shelfgrain_work"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own_folders.setdefault(application, folder)
     return folder.rstrip("/")
 
 

@@ -19,11 +19,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """The same table as a stream of newly landed files."""
+    """The same table as a stream of newly landed files.
+
+    The path is a pattern because a stream takes a plain path for a directory, while a table
+    may be a single file; the pattern matches either.
+    """
     reader = spark.readStream.schema(SCHEMAS[name])
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(f"{folder}/{name}.parquet")
+    return reader.parquet(f"{folder}/{name}.parque[t]")
 
 
 def latest_pages(pages: DataFrame) -> DataFrame:
