@@ -66,12 +66,13 @@ def crawl_health(log: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         .withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
         .withColumn("_floor", F.coalesce(
             F.min(F.col("_before") + F.col("_lowest")).over(earlier), F.lit(0)))
-        .select("host", "_block", "_before", "_floor")
+        .select(F.col("host").alias("_host"), F.col("_block").alias("_of"), "_before", "_floor")
     )
+    same_block = F.col("host").eqNullSafe(F.col("_host")) & (F.col("_block") == F.col("_of"))
     lowest = F.least(F.lit(0), F.col("_floor"), F.col("_before") + F.col("_low"))
     mean = F.when(F.col("_seen") >= V.MIN_RESPONSES, F.col("_mean"))
     return (
-        rolled.join(carried, ["host", "_block"])
+        rolled.join(carried, same_block)
         .withColumn("mean_response", mean)
         .withColumn("error_pressure", F.col("_before") + F.col("_sum") - lowest)
         .withColumn("signal", _signal())

@@ -49,8 +49,7 @@ def product_links(
     if per_page is not None:
         ranked = F.slice(ranked, 1, per_page)
     return (
-        kept.filter(F.size("_sorted") > 0)
-        .select(*carried, "page_url", F.explode(ranked).alias("_l"))
+        kept.select(*carried, "page_url", F.explode(ranked).alias("_l"))
         .select(*carried, "page_url", "_l.link", "_l.selector_rank", "_l.ord")
     )
 

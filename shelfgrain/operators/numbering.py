@@ -34,5 +34,9 @@ def with_position(df: DataFrame, order: Sequence[str], name: str = "position") -
 
 
 def with_product_id(products: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Sequential ``product_id`` in output order."""
-    return with_position(products, order, "product_id")
+    """Sequential ``product_id`` in output order.
+
+    Sampling the range bounds evaluates the input a second time, so the records are staged
+    first: pages are parsed once.
+    """
+    return with_position(stage(products, "records"), order, "product_id")

@@ -31,6 +31,7 @@ REFERENCE = re.compile(r"&(?:#\d+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)")
 COMPOUND = re.compile(r"([\w-]*)((?:\.[\w-]+)*)((?:\[[^\]]+\])*)\Z")
 ATTRIBUTE_TEST = re.compile(r'\[([\w-]+)(?:\*="([^"]*)")?\]')
 CLASS_WORD = re.compile("class", re.IGNORECASE)
+MISSING = ()  # an absent attribute contains nothing, not even the empty string
 ASCII_BLANKS = " \n\t\f\r"
 
 # Public facts about HTML, not catalog values: elements without content, raw-text
@@ -120,19 +121,26 @@ class Matcher:
         return (tag in self.by_tag or tag == "script" or CLASS_WORD.search(source) is not None
                 or bool(self.by_attribute) and self.named.search(source) is not None)
 
-    def steps(self, tag: str, attributes: dict, classes: list[str]) -> list[Step]:
-        found = list(self.by_tag.get(tag, ()))
+    def steps(self, tag: str, attributes: dict, classes: list[str], bits: int) -> list[Step]:
+        """Steps this element completes, given the bits its ancestors have set."""
+        candidates = list(self.by_tag.get(tag, ()))
         for name in classes:
-            found += self.by_class.get(name, ())
+            candidates += self.by_class.get(name, ())
         if self.by_attribute:
             for name in attributes:
-                found += self.by_attribute.get(name, ())
-        return [
-            s for s in found
-            if (not s.tag or s.tag == tag)
-            and all(c in classes for c in s.classes)
-            and all(n in attributes and part in attributes[n] for n, part in s.attributes)
-        ]
+                candidates += self.by_attribute.get(name, ())
+        found = []
+        for step in candidates:
+            if step.needs and not bits & step.needs or step.tag and step.tag != tag:
+                continue
+            if len(step.classes) > 1 and not set(step.classes).issubset(classes):
+                continue
+            for name, part in step.attributes:
+                if part not in attributes.get(name, MISSING):
+                    break
+            else:
+                found.append(step)
+        return found
 
 
 def decode(text: str) -> str:
@@ -164,6 +172,7 @@ class PageHits:
         nodes: list[str] = []        # all text nodes, as they are
         stripped: list[str] = []     # the same nodes stripped, empties left out
         counts: dict[tuple, int] = {}
+        joined: dict[str, str] = {}  # references made absolute
         hidden = 0                   # open elements whose strings are not page text
 
         def end_node() -> None:
@@ -227,9 +236,7 @@ class PageHits:
             attributes = attributes_of(source) if source and matcher.wants(tag, source) else {}
             if attributes or tag in matcher.by_tag:
                 classes = attributes["class"].split() if "class" in attributes else []
-                for step in matcher.steps(tag, attributes, classes):
-                    if step.needs and not bits & step.needs:
-                        continue
+                for step in matcher.steps(tag, attributes, classes, bits):
                     if step.gives:
                         own_bits |= step.gives
                         continue
@@ -248,7 +255,9 @@ class PageHits:
                         reference = next(filter(None, map(attributes.get, names)), None)
                         if reference is None:
                             continue
-                        hit = [step.rank, count, areas, urljoin(url, reference)]
+                        if reference not in joined:
+                            joined[reference] = urljoin(url, reference)
+                        hit = [step.rank, count, areas, joined[reference]]
                     else:
                         hit = [step.rank, count, areas, len(stripped)]
                         waiting.append(hit)

@@ -46,10 +46,20 @@ def product_lookup(links: DataFrame, pages: DataFrame, variant: str = "full",
 
 
 def first_links(links: DataFrame) -> DataFrame:
-    """Each link once per base, at its first place; a page linked twice is looked up once."""
-    place = F.struct("page_no", "selector_rank", "ord")
-    return links.groupBy("base_url", "link").agg(F.min(place).alias("_place")).select(
-        "base_url", "link", "_place.page_no", "_place.selector_rank", "_place.ord")
+    """Each link once per base, at its first place; a page linked twice is looked up once.
+
+    The place (page, selector, order on the page) is packed into one number: its minimum is
+    a hash aggregate, where the minimum of a struct would have to sort all links.
+    """
+    place = (
+        F.shiftleft(F.col("page_no").cast("long"), 40)
+        + F.shiftleft(F.col("selector_rank").cast("long"), 32) + F.col("ord"))
+    first = links.groupBy("base_url", "link").agg(F.min(place).alias("_place"))
+    return first.select(
+        "base_url", "link",
+        F.shiftright("_place", 40).cast("int").alias("page_no"),
+        F.shiftright("_place", 32).bitwiseAND(F.lit(255)).cast("int").alias("selector_rank"),
+        F.col("_place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("ord"))
 
 
 def site_catalog(

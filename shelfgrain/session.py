@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Settings that may be changed on a running session.  HTML cells can be megabytes, so
 # Arrow batches are kept short; scan splits are kept small because parsing is CPU-bound.
+# Joins are broadcast on measured sizes only: the planner's guess from file sizes is
+# switched off (it knows nothing about the output of a parse or an explode), adaptive
+# execution may still choose a broadcast once a shuffle has shown how small a side is.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
     "spark.sql.files.maxPartitionBytes": "64m",
 }
@@ -82,8 +87,7 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     wide table is shuffled before adaptive execution could notice.  So the side is counted:
     up to ``limit`` rows it is broadcast, beyond that it is merged on the key.
     """
-    few = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if few else df.hint("merge")
+    return F.broadcast(df) if df.count() <= limit else df.hint("merge")
 
 
 def sized_stage(df: DataFrame, label: str, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -49,9 +49,11 @@ def fetch_failures(frontier: DataFrame, pages: DataFrame, keep_empty: bool = Fal
     """Frontier rows that yield no page, with the reason.
 
     Only the status and two flags of a page are compared; the HTML itself is not carried.
+    Pages nobody asked for are dropped where they are scanned if the frontier is small.
     """
     html = F.col("html")
-    state = pages.select(
+    asked = pages.join(sized(frontier.select("url").distinct()), "url", "left_semi")
+    state = asked.select(
         F.col("url"),
         (F.col("status") if "status" in pages.columns else F.lit(200)).alias("_status"),
         html.isNull().alias("_missing"),
