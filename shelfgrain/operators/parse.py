@@ -7,6 +7,7 @@ operator carries or shuffles it.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,7 +48,7 @@ def parse_pages(
     """Parse each page once and return its facts.
 
     ``fields`` names the columns to produce (Catalyst cannot prune inside the Python
-    step, so the caller does): any key of ``SELECTORS`` plus ``jsonld`` (raw scripts) and
+    step, so the caller does): any key of ``SELECTORS`` plus ``jsonld`` (scripts that are JSON) and
     ``words`` (which of the watched words the page text contains, so that the text itself
     need not come back).  ``selectors`` replaces the ranked selectors of single fields.
 
@@ -102,8 +103,8 @@ def parse_pages(
             if "words" in fields:
                 columns["words"] = pa.array([_watched(p) for p, _ in parsed], pa.list_(pa.string()))
             if "jsonld" in fields:
-                columns["jsonld"] = pa.array([p.jsonld if p else [] for p, _ in parsed],
-                                             pa.list_(pa.string()))
+                columns["jsonld"] = pa.array(
+                    [list(filter(_is_json, p.jsonld)) if p else [] for p, _ in parsed], pa.list_(pa.string()))
             for field in hit_fields:
                 columns[field] = _hit_column(field, [p for p, _ in parsed])
             made = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
@@ -127,6 +128,15 @@ def _parse_one(html: str | None, url: str, matcher: Matcher) -> tuple[PageHits |
         return None, f"{type(problem).__name__}: {problem}"
 
 
+def _is_json(script: str) -> bool:
+    """Whether a whole script is JSON; ``from_json`` alone would accept text after it."""
+    try:
+        json.loads(script)
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
 def _watched(page: PageHits | None) -> list[str]:
     if page is None:
         return []
