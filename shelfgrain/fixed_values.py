@@ -127,5 +127,6 @@ SUMMARY_METRICS = (
     "Source Website",
 )
 
+FILE_PREFIX = "scraped_products"
 IN_STOCK = "In Stock"
 OUT_OF_STOCK = "Out of Stock"

@@ -28,10 +28,15 @@ ATTRIBUTE = re.compile(
 )
 UNQUOTED_TAIL = re.compile(r"""=\s*[^\s"'][^\s]*\Z""")
 REFERENCE = re.compile(r"&(?:#\d+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)")
+# References that need no resolving: no dots or doubled slashes in the path, no parameters.
+PLAIN_PATH = re.compile(r"(?:/[\w%-]+)+/?(?:\?[\w%=&-]+)?", re.ASCII)
+PLAIN_ADDRESS = re.compile(r"https?://[a-z0-9-]+(?:\.[a-z0-9-]+)*" + PLAIN_PATH.pattern, re.ASCII)
+SITE_ROOT = re.compile(r"https?://[a-z0-9-]+(?:\.[a-z0-9-]+)*(?=[/?#]|\Z)", re.ASCII)
 COMPOUND = re.compile(r"([\w-]*)((?:\.[\w-]+)*)((?:\[[^\]]+\])*)\Z")
 ATTRIBUTE_TEST = re.compile(r'\[([\w-]+)(?:\*="([^"]*)")?\]')
 CLASS_WORD = re.compile("class", re.IGNORECASE)
 MISSING = ()  # an absent attribute contains nothing, not even the empty string
+NO_HITS = ()
 ASCII_BLANKS = " \n\t\f\r"
 
 # Public facts about HTML, not catalog values: elements without content, raw-text
@@ -147,6 +152,16 @@ def decode(text: str) -> str:
     return REFERENCE.sub(lambda m: html_lib.unescape(m[0]), text) if "&" in text else text
 
 
+def absolute(url: str, reference: str) -> str:
+    """``urljoin``, with short cuts for the two forms nearly all references have."""
+    if PLAIN_ADDRESS.fullmatch(reference):
+        return reference
+    root = SITE_ROOT.match(url)
+    if root and PLAIN_PATH.fullmatch(reference):
+        return root[0] + reference
+    return urljoin(url, reference)
+
+
 def attributes_of(source: str) -> dict[str, str]:
     found: dict[str, str] = {}
     for name, double, single, bare in ATTRIBUTE.findall(source):
@@ -171,6 +186,7 @@ class PageHits:
         buffer: list[str] = []       # pieces of the current text node
         nodes: list[str] = []        # all text nodes, as they are
         stripped: list[str] = []     # the same nodes stripped, empties left out
+        opened: dict[str, int] = {}  # how many elements of each tag are open
         counts: dict[tuple, int] = {}
         joined: dict[str, str] = {}  # references made absolute
         hidden = 0                   # open elements whose strings are not page text
@@ -191,19 +207,22 @@ class PageHits:
             nonlocal hidden
             while len(stack) > depth:
                 tag, _, _, waiting = stack.pop()
-                hidden -= tag in NOT_TEXT
+                opened[tag] -= 1
+                if tag in NOT_TEXT:
+                    hidden -= 1
                 for hit in waiting:
                     hit[3] = "".join(stripped[hit[3]:])
 
         position, size = 0, len(html)
-        while position < size:
-            token = MARKUP.search(html, position)
-            start = token.start() if token else size
+        tokens = MARKUP.finditer(html)
+        while True:
+            token = next(tokens, None)
+            start, after = token.span() if token else (size, size)
             if start > position:
                 buffer.append(html[position:start])
             if token is None:
                 break
-            position = token.end()
+            position = after
             ending, tag, source = token.groups()
             if tag is None:
                 if buffer:
@@ -212,15 +231,18 @@ class PageHits:
             tag = tag.lower()
 
             if ending:
-                rank = RANK.get(tag, 1)
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == tag:
+                if opened.get(tag):
+                    depth = len(stack) - 1
+                    rank = RANK.get(tag, 1)
+                    while stack[depth][0] != tag:
+                        if RANK.get(stack[depth][0], 1) > rank:
+                            depth = None
+                            break
+                        depth -= 1
+                    if depth is not None:
                         if buffer:
                             end_node()
                         close(depth)
-                        break
-                    if RANK.get(stack[depth][0], 1) > rank:
-                        break
                 continue
 
             if buffer:
@@ -232,7 +254,7 @@ class PageHits:
             if tag == "title":
                 self.has_title = True
             bits, areas = stack[-1][1:3] if stack else (0, 0)
-            own_bits, own_areas, waiting = bits, areas, []
+            own_bits, own_areas, waiting = bits, areas, NO_HITS
             attributes = attributes_of(source) if source and matcher.wants(tag, source) else {}
             if attributes or tag in matcher.by_tag:
                 classes = attributes["class"].split() if "class" in attributes else []
@@ -256,15 +278,17 @@ class PageHits:
                         if reference is None:
                             continue
                         if reference not in joined:
-                            joined[reference] = urljoin(url, reference)
+                            joined[reference] = absolute(url, reference)
                         hit = [step.rank, count, areas, joined[reference]]
                     else:
                         hit = [step.rank, count, areas, len(stripped)]
-                        waiting.append(hit)
+                        waiting = [*waiting, hit]
                     self.hits[step.field].append(hit)
 
             stack.append((tag, own_bits, own_areas, waiting))
-            hidden += tag in NOT_TEXT
+            opened[tag] = opened.get(tag, 0) + 1
+            if tag in NOT_TEXT:
+                hidden += 1
             if tag in VOID or source.endswith("/") and not UNQUOTED_TAIL.search(source):
                 close(len(stack) - 1)
             elif tag in RAW_TEXT:
@@ -272,6 +296,7 @@ class PageHits:
                 if tag == "script" and attributes.get("type") == jsonld_type and finish > position:
                     self.jsonld.append(html[position:finish])
                 position = finish
+                tokens = MARKUP.finditer(html, position)
 
         if buffer:
             end_node()

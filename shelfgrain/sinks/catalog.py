@@ -6,10 +6,10 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-DEFAULT_PREFIX = "scraped_products"
+from ..fixed_values import FILE_PREFIX
 
 
-def run_path(folder: str, run_ts: datetime, prefix: str = DEFAULT_PREFIX, name: str | None = None) -> str:
+def run_path(folder: str, run_ts: datetime, prefix: str = FILE_PREFIX, name: str | None = None) -> str:
     """``folder/prefix_yyyyMMdd_HHmmss``, or ``folder/name`` when a name is given.
 
     Spark makes missing folders when it writes.

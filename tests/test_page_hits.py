@@ -1,12 +1,13 @@
 """The parse helper on hand-made markup, and against the standard tokenizer."""
 
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pytest
 from hypothesis import given, settings, strategies as st
 
 from shelfgrain import fixed_values as V
-from shelfgrain.operators.page_hits import Matcher, PageHits
+from shelfgrain.operators.page_hits import Matcher, PageHits, absolute
 from shelfgrain.operators.parse import SELECTORS, TAKES
 
 URL = "https://shop.example.com/product/x"
@@ -171,3 +172,20 @@ def test_agrees_with_the_standard_tokenizer(parts):
     strip = lambda text: "".join(text.split())
     assert strip(page.text) == strip("".join(plain.nodes))
     assert [h[3] for h in page.hits["link"]] == plain.links
+
+
+PARTS = st.sampled_from(
+    ["http://", "https://", "HTTPS://", "//", "/", "a", "B-1", "..", ".", ";", "?", "#", "=", "&", "%20", "é", " ", "\t",
+     "shop.example.com", "x_y", ":80", "mailto:", "@"])
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(PARTS, max_size=4), st.lists(PARTS, max_size=7))
+def test_absolute_agrees_with_urljoin(base, reference):
+    for url in ("https://shop.example.com/shop/?page=2", "http://a-b.c", "".join(base)):
+        reference_text = "".join(reference)
+        try:
+            expected = urljoin(url, reference_text)
+        except ValueError:
+            continue
+        assert absolute(url, reference_text) == expected
