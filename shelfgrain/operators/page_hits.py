@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections.abc import Collection
 from typing import NamedTuple
 from urllib.parse import urljoin
 
@@ -35,8 +36,7 @@ SITE_ROOT = re.compile(r"https?://[a-z0-9-]+(?:\.[a-z0-9-]+)*(?=[/?#]|\Z)", re.A
 COMPOUND = re.compile(r"([\w-]*)((?:\.[\w-]+)*)((?:\[[^\]]+\])*)\Z")
 ATTRIBUTE_TEST = re.compile(r'\[([\w-]+)(?:\*="([^"]*)")?\]')
 CLASS_WORD = re.compile("class", re.IGNORECASE)
-MISSING = ()  # an absent attribute contains nothing, not even the empty string
-NO_HITS = ()
+NOTHING = ()
 ASCII_BLANKS = " \n\t\f\r"
 
 # Public facts about HTML, not catalog values: elements without content, raw-text
@@ -126,7 +126,7 @@ class Matcher:
         return (tag in self.by_tag or tag == "script" or CLASS_WORD.search(source) is not None
                 or bool(self.by_attribute) and self.named.search(source) is not None)
 
-    def steps(self, tag: str, attributes: dict, classes: list[str], bits: int) -> list[Step]:
+    def steps(self, tag: str, attributes: dict, classes: Collection[str], bits: int) -> list[Step]:
         """Steps this element completes, given the bits its ancestors have set."""
         candidates = list(self.by_tag.get(tag, ()))
         for name in classes:
@@ -141,7 +141,7 @@ class Matcher:
             if len(step.classes) > 1 and not set(step.classes).issubset(classes):
                 continue
             for name, part in step.attributes:
-                if part not in attributes.get(name, MISSING):
+                if part not in attributes.get(name, NOTHING):
                     break
             else:
                 found.append(step)
@@ -254,10 +254,10 @@ class PageHits:
             if tag == "title":
                 self.has_title = True
             bits, areas = stack[-1][1:3] if stack else (0, 0)
-            own_bits, own_areas, waiting = bits, areas, NO_HITS
+            own_bits, own_areas, waiting = bits, areas, NOTHING
             attributes = attributes_of(source) if source and matcher.wants(tag, source) else {}
             if attributes or tag in matcher.by_tag:
-                classes = attributes["class"].split() if "class" in attributes else []
+                classes = set(attributes["class"].split()) if "class" in attributes else NOTHING
                 for step in matcher.steps(tag, attributes, classes, bits):
                     if step.gives:
                         own_bits |= step.gives

@@ -199,7 +199,7 @@ FROM found WHERE rn = 1
 
 ORACLE: dict[str, str] = {
     # stored pages
-    "latest_page_per_url": "SELECT page_id, url, length(html) AS html_len FROM pages",
+    "latest_page_per_url": "SELECT page_id, url, CAST(length(html) AS INTEGER) AS html_len FROM pages",
     "page_facts": f"""
 SELECT page_id, url, contains(html, '<title>') AS has_title, CAST(length({PAGE_TEXT}) AS INTEGER) AS text_len,
   CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER) AS links,

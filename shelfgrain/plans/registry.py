@@ -50,6 +50,15 @@ def _parts(spark: SparkSession, folder: str) -> DataFrame:
     return spread(read_table(spark, folder, "part"), "p_partkey")
 
 
+def _tasks(spark: SparkSession, folder: str) -> int:
+    """Tasks for rendering listing pages: as many as the parts table is scanned in."""
+    return max(read_table(spark, folder, "part").rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+
+
+def _listings(spark: SparkSession, folder: str) -> DataFrame:
+    return storefront.listing_pages(read_table(spark, folder, "part"), _tasks(spark, folder))
+
+
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
     return spread(read_table(spark, folder, "pages"), "page_id")
 
@@ -227,8 +236,7 @@ def fetch_failures(spark, folder):
 
 
 def _listing_facts(spark: SparkSession, folder: str) -> DataFrame:
-    pages = storefront.listing_pages(_parts(spark, folder))
-    return parse_pages(pages, ("link",))
+    return parse_pages(_listings(spark, folder), ("link",))
 
 
 @query
@@ -246,7 +254,7 @@ def product_lookup(spark, folder):
     """Links of all listings joined to the records of the linked pages."""
     parts = _parts(spark, folder)
     found = links.product_links(
-        parse_pages(storefront.listing_pages(parts), ("link",)), carried=["base_url", "page_no"])
+        _listing_facts(spark, folder), carried=["base_url", "page_no"])
     records = catalog.product_lookup(found, storefront.product_pages(parts), run_ts=run_ts())
     return records.select("base_url", "page_no", "source_url", "name", "price_kes", "sku")
 
@@ -622,7 +630,7 @@ def page_yields(spark, folder):
     """Products found per listing page of each shop, empty pages included."""
     parts = _parts(spark, folder)
     found = links.product_links(
-        parse_pages(storefront.listing_pages(parts), ("link",)), per_page=V.LINKS_PER_PAGE,
+        _listing_facts(spark, folder), per_page=V.LINKS_PER_PAGE,
         carried=["base_url", "page_no"])
     records = catalog.product_lookup(found, storefront.product_pages(parts))
     return paging.page_yield(records, fr.listing_frontier(storefront.shop_bases(parts), 60))
@@ -701,7 +709,7 @@ def within_budget_share(spark, folder):
 
 def _shops(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     parts = _parts(spark, folder)
-    return storefront.shop_pages(parts), storefront.shop_bases(parts)
+    return storefront.shop_pages(parts, _tasks(spark, folder)), storefront.shop_bases(parts)
 
 
 @query

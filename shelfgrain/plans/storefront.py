@@ -72,10 +72,16 @@ def product_pages(parts: DataFrame) -> DataFrame:
         F.when(k % 50 == 0, short).otherwise(page).alias("html"))
 
 
-def listing_pages(parts: DataFrame) -> DataFrame:
-    """One listing page per 20 parts: ``base_url page_no url html``; some pages are empty."""
+def listing_pages(parts: DataFrame, tasks: int | None = None) -> DataFrame:
+    """One listing page per 20 parts: ``base_url page_no url html``; some pages are empty.
+
+    ``tasks`` fixes the number of tasks that render pages.  Only keys are shuffled, so
+    adaptive execution, going by bytes, would otherwise render many pages in one task.
+    """
     k = F.col("p_partkey")
     page_no = F.col("page_no")
+    if tasks:
+        parts = parts.repartition(tasks, shop_base(k), listing_page_no(k))
     item = lambda x: _join(
         '<a href="/product/p', x, '">img</a><h2><a href="/product/p', x, '">part</a></h2>',
         '<a href="/product/p', x, '?add-to-cart=1">Buy</a><a href="/product/oil-filter-', x,
@@ -92,6 +98,7 @@ def listing_pages(parts: DataFrame) -> DataFrame:
         F.when(is_empty_listing(page_no), head + "</body></html>").otherwise(full).alias("html"))
 
 
-def shop_pages(parts: DataFrame) -> DataFrame:
+def shop_pages(parts: DataFrame, tasks: int | None = None) -> DataFrame:
     """Listing and product pages of all shops as one stored crawl: ``url html``."""
-    return product_pages(parts).select("url", "html").unionByName(listing_pages(parts).select("url", "html"))
+    return product_pages(parts).select("url", "html").unionByName(
+        listing_pages(parts, tasks).select("url", "html"))

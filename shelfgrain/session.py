@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 # Joins are broadcast on measured sizes only: the planner's guess from file sizes is
 # switched off (it knows nothing about the output of a parse or an explode), adaptive
 # execution may still choose a broadcast once a shuffle has shown how small a side is.
+# Per-group limits of any usual size are cut in every task before the shuffle.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -19,6 +20,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
     "spark.sql.files.maxPartitionBytes": "64m",
 }
 
