@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .. import fixed_values as V, schemas
+from ..session import ship_package
 from .page_hits import REFERENCES, Matcher, PageHits
 
 SELECTORS = {
@@ -113,6 +114,7 @@ def parse_pages(
                     [p is not None and p.has_title and p.text_len >= min_text for p, _ in parsed]))
             yield made
 
+    ship_package(pages.sparkSession)
     source = pages
     if min_text is not None:
         source = source.filter(F.col("html").rlike("(?i)<title") & (F.length("html") >= min_text))

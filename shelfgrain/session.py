@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +27,7 @@ RUNTIME_SETTINGS = {
     "spark.sql.files.maxPartitionBytes": "64m",
 }
 
+_shipped: set[str] = set()  # applications whose workers have the package
 _own_folders: dict[str, str] = {}  # by application, for sessions without a named folder
 
 
@@ -47,6 +50,21 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return tune(builder.getOrCreate())
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Parsing runs on the executors, which need not have the package installed and do not
+    share the driver's folder.  The archive is only read by the driver, which serves it.
+    """
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(prefix="shelfgrain-package-"), "shelfgrain")
+        spark.sparkContext.addPyFile(shutil.make_archive(
+            target, "zip", os.path.dirname(package), os.path.basename(package)))
+        _shipped.add(application)
+
+
 def work_folder(spark: SparkSession) -> str:
     """The shared folder for staged tables and stream checkpoints.
 

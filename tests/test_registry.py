@@ -1,5 +1,9 @@
 """Every registered query against its SQL on the smallest tables, and the shape of the plans."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
@@ -49,3 +53,22 @@ def test_links_need_no_shuffle_after_the_parse(spark, folder):
     text = plan(queries()["page_links_capped"](spark, folder))
     assert "Exchange" not in text[:text.index("MapInArrow")]
     assert "Window" not in text
+
+
+def test_runs_from_any_folder(tmp_path):
+    """Workers find the package although neither they nor the driver start in its folder."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "elsewhere.py"
+    script.write_text(f"""
+import importlib.util
+from pyspark.sql import SparkSession
+spec = importlib.util.spec_from_file_location("entry", {os.path.join(root, '__spark_entry__.py')!r})
+module = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(module)
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+print("rows", module.entry(spark).count())
+""")
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=environment, capture_output=True,
+                          text=True, timeout=300)
+    assert done.returncode == 0 and "rows " in done.stdout, done.stderr[-2000:]
