@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import stage
 
+SLICE_ROWS = 5_000_000  # rows sorted by one task
 ROW_BITS = 33  # ``monotonically_increasing_id`` keeps the row number in the lower 33 bits
 
 
@@ -17,9 +19,12 @@ def with_position(df: DataFrame, order: Sequence[str], name: str = "position") -
     Range-partitioned sort, a row number inside each partition, and the sizes of the
     partitions before it as an offset.  The numbered slices are written to the shared
     folder first: range bounds come from a sample, so a second evaluation could cut
-    elsewhere.  The offsets have one row per partition, which bounds the broadcast.
+    elsewhere.  A large input gets more slices than the usual shuffle.  The offsets have one row per partition, which bounds the broadcast.
     """
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    slices = math.ceil(df.count() / SLICE_ROWS)
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(slices, *order) if slices > usual else df.repartitionByRange(*order)
+    ordered = ranged.sortWithinPartitions(*order)
     sliced = stage(ordered.withColumn("_slot", F.monotonically_increasing_id()), "position")
     part = F.shiftright("_slot", ROW_BITS)
     sizes = sliced.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))

@@ -1,7 +1,7 @@
-"""Order-dependent reports against the plain loops they stand for."""
+"""Order-dependent reports against their definitions."""
 
 import random
-from collections import defaultdict, deque
+from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
@@ -28,25 +28,25 @@ def make_log(rng, size, hosts):
     return rows
 
 
-def loop_health(rows):
-    """The throttle's own loop: last fifty times and a leaky counter per host."""
+def defined_health(rows):
+    """The same figures from their definitions, request by request, over whole prefixes.
+
+    The pressure is the largest sum of steps over any stretch that ends at the request, or 0.
+    """
     made = {}
-    times, errors = defaultdict(lambda: deque(maxlen=50)), defaultdict(int)
-    for row in sorted(rows, key=lambda r: (r[3], r[2])):
-        host, key, status, error, elapsed = row[1], row[2], row[6], row[7], row[8]
-        times[host].append(elapsed)
-        mean = sum(times[host]) / len(times[host]) if len(times[host]) >= 10 else None
-        signal = 0
-        if status != 200 or error:
-            errors[host] += 1
-            signal = -3 if errors[host] > 5 else 0
-        else:
-            errors[host] = max(0, errors[host] - 1)
-            if mean is not None and mean < 0.5 and errors[host] == 0:
-                signal = 2
-            elif mean is not None and mean > 2.0:
-                signal = -1
-        made[key] = (mean, errors[host], signal)
+    for host in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == host), key=lambda r: (r[3], r[2]))
+        good = [r[6] == 200 and r[7] is None for r in own]
+        for n, row in enumerate(own):
+            recent = [r[8] for r in own[max(0, n - 49):n + 1]]
+            mean = sum(recent) / len(recent) if n >= 9 else None
+            stretch, pressure = 0, 0
+            for fine in reversed(good[:n + 1]):
+                stretch += -1 if fine else 1
+                pressure = max(pressure, stretch)
+            fast, slow = (mean is not None and mean < 0.5), (mean is not None and mean > 2.0)
+            cases = [(not good[n] and pressure > 5, -3), (good[n] and fast and pressure == 0, 2), (good[n] and slow, -1)]
+            made[row[2]] = (mean, pressure, next((signal for case, signal in cases if case), 0))
     return made
 
 
@@ -55,7 +55,7 @@ def test_health_over_blocks(spark, block_rows):
     rows = make_log(random.Random(block_rows), 900, ["h0", "h1", "h2", None])
     log = spark.createDataFrame(rows, LOG).repartition(5)
     got = {r.id: (r.mean_response, r.error_pressure, r.signal) for r in L.crawl_health(log, block_rows).collect()}
-    expected = loop_health(rows)
+    expected = defined_health(rows)
     assert got.keys() == expected.keys()
     for key, (mean, pressure, signal) in expected.items():
         assert got[key][1:] == (pressure, signal)
@@ -79,23 +79,15 @@ def test_budget(spark):
     log = spark.createDataFrame(rows, LOG)
     got = {r.id for r in L.within_budget(log, 100).collect()}
     assert got == {n for n in range(40) if 7 * (n - n % 2) <= 100}
-    kept = set()
-    for run in (0, 1):
-        for n in range(run, 40, 2):
-            kept.add(n)
-            if 7 * (n - run) > 100 * 0.4:
-                break
+    # Rows come every 14 seconds per run; the limit is 40: 0, 14 and 28 are inside, 42 crosses.
+    kept = {run + 2 * n for run in (0, 1) for n in range(4)}
     assert {r.id for r in L.within_budget(log, 100, 0.4).collect()} == kept
 
 
-def loop_stop(found):
-    empty, kept = 0, []
-    for page, count in enumerate(found, 1):
-        if empty == 3:
-            break
-        kept.append(page)
-        empty = 0 if count else empty + 1
-    return kept
+def defined_stop(found):
+    """Pages up to the earliest one that ends three empty pages, or all of them."""
+    ends = [page for page in range(3, len(found) + 1) if not any(found[page - 3:page])]
+    return list(range(1, min(ends, default=len(found)) + 1))
 
 
 def test_stop_rule_on_random_walks(spark):
@@ -107,7 +99,7 @@ def test_stop_rule_on_random_walks(spark):
     got = defaultdict(list)
     for r in paging.stop_after_empty(yields, yields).orderBy("base_url", "page_no").collect():
         got[r.base_url].append(r.page_no)
-    assert got == {base: loop_stop(found) for base, found in walks.items()}
+    assert got == {base: defined_stop(found) for base, found in walks.items()}
     assert got["hand"] == [1, 2, 3, 4, 5, 6]
 
 

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from shelfgrain import fixed_values as V
-from shelfgrain.operators import links
+from shelfgrain.operators import links, numbering
 from shelfgrain.operators.dedup import dedup_products
 from shelfgrain.operators.numbering import with_position
 from shelfgrain.operators.parse import parse_pages
@@ -81,6 +81,13 @@ def test_positions(spark):
     assert with_position(table.filter("id < 0"), ["host", "id"]).count() == 0
 
 
+def test_positions_in_more_slices_than_the_usual_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "SLICE_ROWS", 30)
+    table = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("id"))
+    got = {r.id: r.position for r in with_position(table, ["id"]).collect()}
+    assert got == {n: n + 1 for n in range(1000)}
+
+
 def urls(spark, base, *args, **kwargs):
     bases = spark.createDataFrame([(base,)], "base_url string")
     return [r.url for r in fr.listing_frontier(bases, *args, **kwargs).orderBy("page_no").collect()]
