@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as V
-from ..session import sized_stage
+from ..session import stage
+from .joins import lookup_join
 from .numbering import with_position
 
 BLOCK_ROWS = 1_000_000
@@ -111,13 +112,15 @@ def within_budget(log: DataFrame, seconds: float, share: float | None = None) ->
     row beyond the limit is an aggregate, so no window has to hold a whole run.
     """
     limit = seconds if share is None else seconds * share
-    starts = log.groupBy("run_id").agg(F.min("ts").alias("_start"))
-    timed = log.join(sized_stage(starts, "run-starts"), "run_id").withColumn("_elapsed", _seconds("ts") - _seconds("_start"))
+    starts = stage(log.groupBy("run_id").agg(
+        F.min("ts").alias("_start"), F.count(F.lit(1)).alias("_rows")), "run-starts")
+    counts = starts.select("run_id", "_rows")
+    timed = lookup_join(log, starts.drop("_rows"), counts, "run_id").withColumn("_elapsed", _seconds("ts") - _seconds("_start"))
     inside = F.col("_elapsed") <= limit
     if share is not None:
         crossing = timed.filter(~inside).groupBy("run_id").agg(
             F.min(F.struct("ts", "id")).alias("_crossing"))
-        timed = timed.join(sized_stage(crossing, "run-crossings"), "run_id", "left")
+        timed = lookup_join(timed, stage(crossing, "run-crossings"), counts, "run_id", "left")
         inside = inside | (F.struct("ts", "id") == F.col("_crossing"))
     return timed.filter(inside).select(*log.columns)
 

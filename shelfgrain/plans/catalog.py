@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed_values as V
 from ..functions.text import is_product_url
 from ..operators.dedup import dedup_products
+from ..operators.joins import hot_keys
 from ..operators.links import limit_links, product_links
 from ..operators.paging import page_yield, stop_after_empty
 from ..operators.parse import parse_pages
@@ -37,12 +38,26 @@ def product_lookup(links: DataFrame, pages: DataFrame, variant: str = "full",
     """Product records of the linked pages, with the columns of ``links``.
 
     Links only ever name product URLs, so other pages are not parsed.  Records, not pages,
-    go through the join.
+    go through the join.  A product that is linked from very many pages is joined by
+    broadcast, its rows staying where they are; every page is still parsed once.  The links
+    are staged because they are counted first.
     """
+    asked = stage(links.withColumnRenamed("link", "source_url"), "links")
     candidates = usable(pages, keep_empty=variant == "lean").filter(is_product_url(F.col("url")))
     columns = ["url", "html"] + [c for c in ("fetched_at",) if c in pages.columns]
-    records = extract_products(candidates.select(*columns), variant, run_ts, **options)
-    return links.withColumnRenamed("link", "source_url").join(records, "source_url")
+
+    def records(of: DataFrame) -> DataFrame:
+        return extract_products(of.select(*columns), variant, run_ts, **options)
+
+    hot = hot_keys(asked.groupBy("source_url").agg(F.count(F.lit(1)).alias("_rows")), "source_url")
+    if hot is None:
+        return asked.join(records(candidates), "source_url")
+    is_hot = F.col("url") == F.col("source_url")
+    often = asked.join(hot, "source_url", "left_semi").join(
+        F.broadcast(records(candidates.join(hot, is_hot, "left_semi"))), "source_url")
+    rest = asked.join(hot, "source_url", "left_anti").join(
+        records(candidates.join(hot, is_hot, "left_anti")), "source_url")
+    return often.unionByName(rest)
 
 
 def first_links(links: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
-from ..session import sized_stage
+from ..operators.joins import hot_keys
+from ..session import BROADCAST_ROWS, stage
 
 SCHEMAS = {"pages": schemas.PAGES, "part": schemas.PARTS, "events": schemas.EVENTS}
 
@@ -35,13 +36,21 @@ def latest_pages(pages: DataFrame) -> DataFrame:
 
     The HTML column is too wide to group.  URLs stored more than once are found on the two
     narrow columns alone and listed in the shared folder; in a usual crawl that list is short
-    or empty, and the anti join that drops the older rows needs no shuffle of the HTML.
+    or empty, and the anti join that drops the older rows needs no shuffle of the HTML.  If
+    the list is long, URLs with very many versions are still dealt with by broadcast.
     """
     versions = pages.groupBy("url").agg(
         F.max("page_id").alias("_newest"), F.count(F.lit(1)).alias("_versions"))
-    repeated = versions.filter(F.col("_versions") > 1).select(F.col("url").alias("_url"), "_newest")
+    repeated = stage(versions.filter(F.col("_versions") > 1).select(
+        F.col("url").alias("_url"), "_newest", "_versions"), "repeated-urls")
     stale = (F.col("url") == F.col("_url")) & (F.col("page_id") < F.col("_newest"))
-    return pages.join(sized_stage(repeated, "repeated-urls"), stale, "left_anti")
+    newest = repeated.drop("_versions")
+    if repeated.count() <= BROADCAST_ROWS:
+        return pages.join(F.broadcast(newest), stale, "left_anti")
+    hot = hot_keys(repeated, "_url", "_versions")
+    if hot is not None:  # leaves one row of each hot URL for the join below
+        pages = pages.join(F.broadcast(newest.join(hot, "_url", "left_semi")), stale, "left_anti")
+    return pages.join(newest.hint("merge"), stale, "left_anti")
 
 
 def read_pages(spark: SparkSession, folder: str, latest: bool = True) -> DataFrame:
