@@ -18,12 +18,12 @@ from typing import NamedTuple
 from urllib.parse import urljoin
 
 MARKUP = re.compile(
-    r"<(?:!--.*?(?:-->|\Z)"
+    r"<(?:(!--)"
     r"|(/?)([a-zA-Z][^\s/>]*)"
     r"((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>"
-    r"|[!?/][^>]*+(?:>|\Z))",
-    re.DOTALL,
+    r"|[!?/][^>]*+>)"
 )
+LEFT_OPEN = re.compile("<[!?/]")
 ATTRIBUTE = re.compile(
     r"""([^\s=/"'][^\s=/]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s]*)))?"""
 )
@@ -75,6 +75,7 @@ REFERENCES = {"link": ("href",), "image": ("src", "data-src")}
 # An end tag does not reach across an open element of higher rank.
 RANK = {"div": 2, "td": 3, "th": 3, "tr": 4, "thead": 5, "tbody": 5, "tfoot": 5,
         "table": 6, "head": 7, "body": 7, "html": 8}
+BARRIERS = {rank: [t for t in RANK if RANK[t] > rank] for rank in range(1, 9)}
 
 
 class Step(NamedTuple):
@@ -186,7 +187,7 @@ class PageHits:
         buffer: list[str] = []       # pieces of the current text node
         nodes: list[str] = []        # all text nodes, as they are
         stripped: list[str] = []     # the same nodes stripped, empties left out
-        opened: dict[str, int] = {}  # how many elements of each tag are open
+        opened: dict[str, list[int]] = {}  # where in the stack each tag is open
         counts: dict[tuple, int] = {}
         joined: dict[str, str] = {}  # references made absolute
         hidden = 0                   # open elements whose strings are not page text
@@ -207,39 +208,44 @@ class PageHits:
             nonlocal hidden
             while len(stack) > depth:
                 tag, _, _, waiting = stack.pop()
-                opened[tag] -= 1
+                opened[tag].pop()
                 if tag in NOT_TEXT:
                     hidden -= 1
                 for hit in waiting:
                     hit[3] = "".join(stripped[hit[3]:])
 
         position, size = 0, len(html)
-        tokens = MARKUP.finditer(html)
+        # No tag can end behind the last ">"; without that bound each unclosed tag would be
+        # searched to the end of the page.
+        last = html.rfind(">") + 1
+        tokens = MARKUP.finditer(html, 0, last)
         while True:
             token = next(tokens, None)
-            start, after = token.span() if token else (size, size)
-            if start > position:
-                buffer.append(html[position:start])
             if token is None:
+                left_open = LEFT_OPEN.search(html, max(position, last))
+                if position < size:
+                    buffer.append(html[position:left_open.start() if left_open else size])
                 break
+            start, after = token.span()
+            if start > position:
+                buffer.append(html[position:start])
             position = after
-            ending, tag, source = token.groups()
+            comment, ending, tag, source = token.groups()
             if tag is None:
                 if buffer:
                     end_node()
+                if comment:
+                    finish = html.find("-->", position)
+                    position = finish + 3 if finish >= 0 else size
+                    tokens = MARKUP.finditer(html, position, last)
                 continue
             tag = tag.lower()
 
             if ending:
                 if opened.get(tag):
-                    depth = len(stack) - 1
-                    rank = RANK.get(tag, 1)
-                    while stack[depth][0] != tag:
-                        if RANK.get(stack[depth][0], 1) > rank:
-                            depth = None
-                            break
-                        depth -= 1
-                    if depth is not None:
+                    depth = opened[tag][-1]
+                    if depth == len(stack) - 1 or not any(
+                            opened.get(t) and opened[t][-1] > depth for t in BARRIERS[RANK.get(tag, 1)]):
                         if buffer:
                             end_node()
                         close(depth)
@@ -285,8 +291,8 @@ class PageHits:
                         waiting = [*waiting, hit]
                     self.hits[step.field].append(hit)
 
+            opened.setdefault(tag, []).append(len(stack))
             stack.append((tag, own_bits, own_areas, waiting))
-            opened[tag] = opened.get(tag, 0) + 1
             if tag in NOT_TEXT:
                 hidden += 1
             if tag in VOID or source.endswith("/") and not UNQUOTED_TAIL.search(source):
@@ -296,7 +302,7 @@ class PageHits:
                 if tag == "script" and attributes.get("type") == jsonld_type and finish > position:
                     self.jsonld.append(html[position:finish])
                 position = finish
-                tokens = MARKUP.finditer(html, position)
+                tokens = MARKUP.finditer(html, position, last)
 
         if buffer:
             end_node()

@@ -1,5 +1,6 @@
 """The parse helper on hand-made markup, and against the standard tokenizer."""
 
+import time
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -115,6 +116,11 @@ def test_unfinished_markup():
     assert parse("<p>a <!-- never closed").text == "a "
     assert parse("<script>var a = 1;").text == ""
     assert parse("a < b and <3").text == "a < b and <3"
+    assert parse("<p>a <!-- open > b").text == "a "
+    assert parse("<p>a<!-- x > y --> b <!-- <p> --><i>c</i> d <!doctype").text == "a b c d "
+    assert parse("<p>a</p> > b <i c").text == "a > b <i c"
+    assert parse("<p>a</p> b </").text == "a b "
+    assert parse("<!---->a<!-->b-->c").text == "ac"
     assert parse("").text_len == 0
 
 
@@ -189,3 +195,29 @@ def test_absolute_agrees_with_urljoin(base, reference):
         except ValueError:
             continue
         assert absolute(url, reference_text) == expected
+
+
+HOSTILE = {
+    "unclosed tags": lambda n: "<p>x</p>" + "<a " * n,
+    "unclosed tags before text": lambda n: "<a " * n + " > x",
+    "blocked end tags": lambda n: "<i><div>" + "<b>" * n + "</i>" * n,
+    "blocked cells": lambda n: "<table><tr><td><table>" + "<div>" * n + "</td>" * n,
+    "open comments": lambda n: "<!-- " * n + ">",
+    "quotes": lambda n: "<a =\'\"" * n + ">\'\"",
+    "stray end tags": lambda n: "<div>" * n + "</p>" * n,
+    "script ends": lambda n: "<script>" + "</" * n,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_linear_time(name):
+    """Four times the page may take some four times as long; quadratic work takes sixteen."""
+    def seconds(n):
+        page, best = HOSTILE[name](n), 9e9
+        for _ in range(3):
+            start = time.perf_counter()
+            parse(page)
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    assert seconds(24_000) < 10 * max(seconds(6_000), 0.002)
