@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
 from ..functions.text import is_product_url
+from ..operators.crawl_log import within_budget
 from ..operators.dedup import dedup_products
 from ..operators.joins import hot_keys
 from ..operators.links import limit_links, product_links
@@ -24,6 +25,20 @@ from ..sources.frontier import fetch_join, listing_frontier, usable
 ORDER = ("page_no", "selector_rank", "ord", "source_url")
 
 
+def within_time(frontier: DataFrame, pages: DataFrame, seconds: float, share: float | None = None,
+                keep_empty: bool = False) -> DataFrame:
+    """Frontier rows whose page was fetched within the time budget of its base.
+
+    Needs ``fetched_at``.  Only the frontier's own columns and the time are compared, so the
+    HTML takes no part; see ``within_budget`` for what ``share`` means.
+    """
+    reached = fetch_join(frontier, pages, keep_empty).select(
+        F.col("base_url").alias("run_id"), F.col("page_no").alias("id"), F.col("fetched_at").alias("ts"), "url")
+    kept = within_budget(stage(reached, "reached-pages"), seconds, share)
+    return stage(kept.select(
+        F.col("run_id").alias("base_url"), F.col("id").alias("page_no"), "url"), "pages-in-time")
+
+
 def listing_links(frontier: DataFrame, pages: DataFrame, variant: str = "full",
                   per_page: int | None = None) -> DataFrame:
     """Product links of the frontier's listing pages."""
@@ -90,15 +105,20 @@ def site_catalog(
 
 def full_catalog(
     pages: DataFrame, bases: DataFrame, per_page: int = V.LINKS_PER_PAGE,
-    max_pages: int = V.FULL_LISTING_PAGES, run_ts: Column | None = None, **options,
+    max_pages: int = V.FULL_LISTING_PAGES, run_ts: Column | None = None, max_time: float | None = None,
+    **options,
 ) -> DataFrame:
     """The full walk: listing pages until three in a row give no product.
 
+    With ``max_time``, listing pages fetched later than that many seconds after the first one
+    of their base are not walked.
+
     The stop page is found from the yield of all pages, so the records (one per listing
     page and link: a product listed twice counts on both pages) are staged and used twice.
     """
     frontier = listing_frontier(bases, max_pages, style="full")
-    links = listing_links(frontier, pages, per_page=per_page)
+    walked = frontier if max_time is None else within_time(frontier, pages, max_time)
+    links = listing_links(walked, pages, per_page=per_page)
     products = stage(product_lookup(links, pages, run_ts=run_ts, **options), "walked-products")
     kept = stop_after_empty(products, page_yield(products, frontier))
     return dedup_products(kept, "name", ORDER, within=["base_url"]).drop("page_url")
@@ -107,10 +127,16 @@ def full_catalog(
 def lean_catalog(
     pages: DataFrame, bases: DataFrame, max_pages: int = V.LEAN_LISTING_PAGES,
     limit: int = V.LEAN_LINKS_TOTAL, run_ts: Column | None = None,
-    key: str | tuple[str, ...] = ("name", "source_url"),
+    key: str | tuple[str, ...] = ("name", "source_url"), max_time: float | None = None,
 ) -> DataFrame:
-    """The lean walk: few listing pages, a limited number of links per base, few fields."""
+    """The lean walk: few listing pages, a limited number of links per base, few fields.
+
+    With ``max_time``, reading links may use its share of that time; the listing page that
+    crosses the share is still read.
+    """
     frontier = listing_frontier(bases, max_pages)
+    if max_time is not None:
+        frontier = within_time(frontier, pages, max_time, V.LINK_BUDGET_SHARE, keep_empty=True)
     links = first_links(listing_links(frontier, pages, "lean"))
     products = product_lookup(limit_links(links, limit, by=["base_url"]), pages, "lean", run_ts)
     return dedup_products(products, key, ORDER, within=["base_url"])

@@ -92,3 +92,18 @@ def test_stream_equals_batch_over_several_files(spark, tmp_path):
     stamped = live.stream_products(stream).withColumn("seen", F.timestamp_seconds("page_id"))
     first = live.stream_dedup(stamped, "name", "seen", "1 day").select("name")
     assert sorted(r.name for r in live.run_to_table(first, "test-first").collect()) == [f"Part {n}" for n in range(4)]
+
+
+def test_time_limits(spark, site):
+    """Listing pages were fetched every ten seconds; product pages do not count."""
+    pages, bases = site
+    number = F.coalesce(F.regexp_extract("url", "page=([0-9]+)", 1).try_cast("int"), F.lit(1))
+    timed = pages.withColumn("fetched_at", F.timestamp_seconds((number - 1) * 10 + 1000))
+    full = lambda seconds: {name for name, _, _ in found(catalog.full_catalog(timed, bases, max_time=seconds))}
+    assert full(9) == {"Gamma", "Alpha"}
+    assert full(10) == full(1000) == {"Gamma", "Alpha", "Beta"}
+    lean = lambda seconds: {key for _, key, _ in found(catalog.lean_catalog(timed, bases, max_time=seconds))}
+    assert lean(20) == {"c", "a", "b", "twin"}            # the limit is 8: page 2 crosses it and is kept
+    assert lean(60) == {"c", "a", "b", "twin"}            # 24: page 4, at 30, crosses it; page 6 comes after
+    assert lean(124) == {"c", "a", "b", "twin", "late"}   # 49.6: page 6, at 50, is the one that crosses
+    assert lean(1000) == {"c", "a", "b", "twin", "late"}
