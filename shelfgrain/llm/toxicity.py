@@ -5,8 +5,10 @@ calling the unlabelled texts clean is corrected by the class prior: the part of
 from toxic texts among them is subtracted, and the rest is kept from going below zero.
 
 Features are the words of a text, without regard to case and punctuation, and their first four, five
-and six bytes, hashed.  Several classifiers are trained side by side, each on a bounded
-sample of its own in one task; their weights are averaged.  Only non-zero weights come to the driver.
+and six bytes, hashed.  A bounded sample is cut into parts; classifiers are trained
+side by side, each in one task on all parts but one; their weights are averaged.  The margin that counts as toxic is the one
+with the least prior-corrected risk on sampled texts that a classifier did not learn from.  Non-zero weights and the
+margins of sampled texts are all that comes to the driver.
 
 Defined cases: null, empty and wordless texts get the score of a text without features; labels
 without text, of no document or of a held-out document teach nothing; a document with several
@@ -28,11 +30,12 @@ from .common import BASE, INVERSE, SLICE_BYTES, annotate, fresh, held_out, mixed
 
 BINS = 1 << 18            # hashed features
 PREFIXES = (4, 5, 6)
-BAGS = 4                  # classifiers
-POSITIVES = 1500          # toxic texts a classifier learns from, about, at most
-UNLABELLED = 4000         # unlabelled texts a classifier learns from, about, at most
-LEAST_TEXTS = 4           # toxic texts of a bag that must have a feature
-LEAST_LIFT = 3.0          # times as frequent among toxic texts as among unlabelled ones
+BAGS = 4                  # parts of the sample; each classifier learns from all but one
+POSITIVES = 1200          # toxic texts of a part, about, at most
+UNLABELLED = 3000         # unlabelled texts of a part, about, at most
+LEAST_TEXTS = 4           # toxic texts that must have a feature
+LEAST_LIFT = 4.0          # times as frequent among toxic texts as among unlabelled ones, at least
+LEAST_EXCESS = 4.0        # standard deviations above the number expected from unlabelled texts
 ROUNDS, RATE, DECAY = 300, 0.05, 1e-4
 AT_LEAST = 0.7            # score from which a text counts as toxic
 
@@ -74,9 +77,10 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
         return np.bincount(np.concatenate([*rows, np.empty(0, dtype=np.int32)]), minlength=BINS)
 
     in_p, in_u = frequency(positive), frequency(unlabelled)
-    lift = (in_p / max(1, len(positive))) >= LEAST_LIFT * in_u / max(1, len(unlabelled)) * (1 - prior)
-    # A word that only toxic texts have is `1 / prior` times as frequent among them.
-    used = np.flatnonzero(lift & (in_p >= min(LEAST_TEXTS, len(positive))))
+    # A word that only toxic texts have is 1 / prior times as frequent among them as among the unlabelled.
+    expected = in_u * len(positive) / max(1, len(unlabelled))
+    least = np.maximum(min(LEAST_LIFT, 0.5 / prior) * expected, expected + LEAST_EXCESS * np.sqrt(expected + 0.25))
+    used = np.flatnonzero(in_p >= np.maximum(min(LEAST_TEXTS, len(positive)), least))
     place = np.full(BINS, -1)
     place[used] = np.arange(len(used))
 
@@ -133,17 +137,48 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None
     def train(group: pd.DataFrame) -> pd.DataFrame:
         lists = {t: [np.asarray(x, dtype=np.int32) for x in group.loc[group.toxic == t, "features"]] for t in (True, False)}
         if not lists[True] or not lists[False]:
-            return pd.DataFrame({"bin": [], "weight": []})
+            return pd.DataFrame({"bag": [], "bin": [], "weight": []})
         used, weights, bias = fit(lists[True], lists[False], prior)
-        return pd.DataFrame({"bin": np.append(used, -1), "weight": np.append(weights, bias)})
-
-    learnt = made.groupBy("bag").applyInPandas(train, "bin int, weight double").toPandas()
-    if not len(learnt):
+        return pd.DataFrame({"bag": group["bag"].iloc[0], "bin": np.append(used, -1), "weight": np.append(weights, bias)})
+
+    bags = F.array(*[F.lit(k) for k in range(BAGS)])
+    turns = made.withColumn("bag", F.explode(F.filter(bags, lambda k: k != F.col("bag"))))
+    learnt = turns.groupBy("bag").applyInPandas(train, "bag int, bin int, weight double").toPandas()
+    found = {bag: np.bincount(np.where(part["bin"] < 0, BINS, part["bin"]), weights=part["weight"], minlength=BINS + 1)
+             for bag, part in learnt.groupby("bag")}
+    if not found:
         return None
-    bags = max(1, int((learnt["bin"] == -1).sum()))
-    bins = learnt["bin"].to_numpy().astype(np.int64)
-    sums = np.bincount(np.where(bins < 0, BINS, bins), weights=learnt["weight"].to_numpy(), minlength=BINS + 1) / bags
-    return sums[:-1], float(sums[-1])
+    model = sum(found.values()) / len(found)
+    cut = threshold(made, found, prior)
+    return model[:-1], float(model[-1]) - cut + float(np.log(AT_LEAST / (1 - AT_LEAST)))
+
+
+def threshold(made: DataFrame, found: dict[int, np.ndarray], prior: float) -> float:
+    """The margin at which the prior-corrected risk of a decision is least, in the middle if there are several.
+
+    Sampled texts are scored by the classifier that did not learn from them.
+    """
+    sparse = {bag: (np.flatnonzero(w[:-1]), w[:-1][np.flatnonzero(w[:-1])], w[-1]) for bag, w in found.items()}
+
+    def margins(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dense = {}
+        for bag, (bins, values, bias) in sparse.items():
+            dense[bag] = np.append(np.zeros(BINS), bias)
+            dense[bag][bins] = values
+        for frame in frames:
+            frame = frame[frame["bag"].isin(dense)]
+            yield pd.DataFrame({"toxic": frame["toxic"], "margin": [dense[b][np.asarray(f, dtype=np.int64)].sum() + dense[b][-1]
+                                                                    for b, f in zip(frame["bag"], frame["features"])]})
+
+    scored = made.mapInPandas(margins, "toxic boolean, margin double").toPandas()   # as many rows as are learnt from
+    positive, rest = (np.sort(scored.loc[scored["toxic"] == t, "margin"].to_numpy(dtype=float)) for t in (True, False))
+    cuts = np.unique(np.concatenate((positive, rest)))
+    cuts = np.append((cuts[1:] + cuts[:-1]) / 2, cuts[-1] + 1)
+    caught = 1 - np.searchsorted(positive, cuts) / max(1, len(positive))
+    called = 1 - np.searchsorted(rest, cuts) / max(1, len(rest))
+    risk = prior * (1 - caught) + np.maximum(0, called - prior * caught)
+    best = np.flatnonzero(risk <= risk.min() + 1e-12)
+    return float(cuts[best[len(best) // 2]])
 
 
 def annotate_list(rows: DataFrame) -> DataFrame:
