@@ -50,14 +50,15 @@ def annotate(df: DataFrame, source: str, name: str, schema: T.StructType,
     """
     ship_package(df.sparkSession)
     at = df.columns.index(source)
-    out = T.StructType([*df.schema.fields, T.StructField(name, schema)])
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])   # own columns may have any names
+    out = T.StructType([*plain.schema.fields, T.StructField("made", schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             made = facts(as_bytes(batch.column(at)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "made"])
 
-    return df.mapInArrow(run, out)
+    return plain.mapInArrow(run, out).toDF(*df.columns, name)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
