@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as V
-from ..session import stage
+from ..session import sized_stage, stage
 from .joins import lookup_join
 from .numbering import with_position
 
@@ -20,43 +20,51 @@ def succeeded() -> Column:
     return (F.col("status") == 200) & F.col("error").isNull()
 
 
-def crawl_health(log: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Rolling response time, error pressure and health signal of every request.
-
-    * ``mean_response``: mean of the host's last 50 responses, from the 10th on.
-    * ``error_pressure``: a counter per host, +1 per failure, -1 per success, never below 0.
-      With S the running sum of the steps that is S - min(0, running min of S).
-    * ``signal``: -3 failing under pressure, +2 fast and calm, -1 slow, else 0.
-
-    Rows are numbered by (host, ts, id) and cut into blocks of ``block_rows``.  A block also
-    gets copies of the 49 rows before it, so each rolling frame is whole; the counter needs
-    only two figures per host and earlier block, which a small table carries over.
-    """
+def blocked(log: DataFrame, block_rows: int) -> DataFrame:
+    """The log in blocks of ``block_rows`` by (host, ts, id), each with copies of the 49 rows before it."""
     width = V.ROLLING_RESPONSES - 1
     if block_rows < width:
         raise ValueError(f"a block must hold at least {width} rows")
     place = F.col("_position") - 1
     block = F.floor(place / block_rows)
     near_end = place % block_rows >= block_rows - width
-    copies = (
+    return (
         with_position(log, ["host", "ts", "id"], "_position")
         .withColumn("_own", block)
         .withColumn("_block", F.explode(
             F.when(near_end, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
         .withColumn("_copy", F.col("_block") != F.col("_own"))
     )
+
+
+def with_means(placed: DataFrame) -> DataFrame:
+    """Mean of the host's last 50 responses in ``mean_response``, from the 10th on."""
+    frame = Window.partitionBy("host", "_block").orderBy("_position").rowsBetween(-(V.ROLLING_RESPONSES - 1), 0)
+    return placed.withColumn("mean_response", F.when(
+        F.count(F.lit(1)).over(frame) >= V.MIN_RESPONSES, F.avg("elapsed_s").over(frame)))
+
+
+def crawl_health(log: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rolling response time, error pressure and health signal of every request.
+
+    * ``mean_response``: mean of the host's last 50 responses, from the 10th on.
+    * ``error_pressure``: a counter per host, +1 per failure, -1 per success, never below 0.
+      With S the running sum of the steps that is S - min(0, running min of S).
+    * ``signal``: -3 failing under pressure, +2 fast and calm, -1 slow, else 0.
+
+    Rows are numbered by (host, ts, id) and cut into blocks of ``block_rows``.  A block also
+    gets copies of the 49 rows before it, so each rolling frame is whole; the counter needs
+    only two figures per host and earlier block, which a small table carries over.
+    """
+    step = F.when(F.col("_copy"), 0).when(succeeded(), -1).otherwise(1)
     in_block = Window.partitionBy("host", "_block").orderBy("_position")
-    frame = in_block.rowsBetween(-width, 0)
     so_far = in_block.rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.col("_copy"), 0).when(succeeded(), -1).otherwise(1)
-    rolled = (
-        copies
-        .withColumn("_seen", F.count(F.lit(1)).over(frame))
-        .withColumn("_mean", F.avg("elapsed_s").over(frame))
+    placed = blocked(log, block_rows)
+    rolled = stage(
+        with_means(placed)
         .withColumn("_sum", F.sum(step).over(so_far))
         .withColumn("_low", F.min("_sum").over(so_far))
-        .filter(~F.col("_copy"))
-    )
+        .filter(~F.col("_copy")).drop("_copy", "_own"), "rolled-log")
 
     # One row per host and block; a host as large as the whole log has rows / block_rows.
     blocks = rolled.groupBy("host", "_block").agg(
@@ -71,10 +79,8 @@ def crawl_health(log: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     )
     same_block = F.col("host").eqNullSafe(F.col("_host")) & (F.col("_block") == F.col("_of"))
     lowest = F.least(F.lit(0), F.col("_floor"), F.col("_before") + F.col("_low"))
-    mean = F.when(F.col("_seen") >= V.MIN_RESPONSES, F.col("_mean"))
     return (
-        rolled.join(carried, same_block)
-        .withColumn("mean_response", mean)
+        rolled.join(sized_stage(carried, "block-sums"), same_block)
         .withColumn("error_pressure", F.col("_before") + F.col("_sum") - lowest)
         .withColumn("signal", _signal())
         .select(*log.columns, "mean_response", "error_pressure", "signal")
@@ -92,7 +98,9 @@ def _signal() -> Column:
 
 
 def rolling_response(log: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    return crawl_health(log, block_rows).select("host", "id", "mean_response")
+    """The mean alone: one window, no counter."""
+    narrow = log.select("host", "ts", "id", "elapsed_s")
+    return with_means(blocked(narrow, block_rows)).filter(~F.col("_copy")).select("host", "id", "mean_response")
 
 
 def error_pressure(log: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -129,26 +137,33 @@ def _seconds(name: str) -> Column:
     return F.unix_micros(F.col(name)) / 1_000_000
 
 
-def run_stats(log: DataFrame, products: DataFrame | None = None) -> DataFrame:
-    """Per run: pages, requests that got a response, exceptions, duration, and rates.
+def product_pages(log: DataFrame) -> DataFrame:
+    """The distinct product pages that each run has fetched: (run_id, url)."""
+    return log.filter(succeeded() & (F.col("phase") == "product")).select("run_id", "url").distinct()
+
+
+def run_stats(log: DataFrame, products: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """Per run: pages, products, requests that got a response, errors, duration, and rates.
 
-    ``errors`` counts exceptions only; a response other than 200 is no error here but is no
-    page either.  With ``products`` (needs ``run_id``) their number and rate are added,
-    the duration being at least a millisecond.
+    ``products`` (needs ``run_id``) has a row per product found.  ``errors`` counts exceptions
+    and the rows of ``failures`` (needs ``run_id``), pages that could not be parsed; a response
+    other than 200 is no error here but is no page either.  The duration behind the product
+    rate is at least a millisecond.
     """
     stats = log.groupBy("run_id").agg(
         F.count_if(succeeded()).alias("pages_processed"),
         F.count_if(F.col("error").isNull()).alias("network_requests"),
-        F.count_if(F.col("error").isNotNull()).alias("errors"),
+        F.count_if(F.col("error").isNotNull()).alias("_exceptions"),
         F.count(F.lit(1)).alias("attempts"),
         ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1_000_000).alias("duration_s"),
     )
-    if products is None:
-        found = F.col("pages_processed")
-    else:
-        counts = products.groupBy("run_id").agg(F.count(F.lit(1)).alias("_found"))
-        stats = stats.join(counts, "run_id", "left")
-        found = F.coalesce("_found", F.lit(0))
+    counts = products.groupBy("run_id").agg(F.count(F.lit(1)).alias("_found"))
+    stats = stats.join(counts, "run_id", "left").withColumn("errors", F.col("_exceptions"))
+    if failures is not None:
+        failed = failures.groupBy("run_id").agg(F.count(F.lit(1)).alias("_failed"))
+        stats = stats.join(failed, "run_id", "left").withColumn(
+            "errors", F.col("_exceptions") + F.coalesce("_failed", F.lit(0)))
+    found = F.coalesce("_found", F.lit(0))
     return stats.select(
         "run_id", "pages_processed", found.alias("products_found"), "network_requests", "errors",
         "duration_s",

@@ -45,12 +45,9 @@ def category_path() -> Column:
 
 
 def product_images() -> Column:
-    """Per selector the first hit that has an address; up to one entry per selector."""
-    per_rank = F.transform(
-        F.sequence(F.lit(0), F.lit(len(V.IMAGE_SELECTORS) - 1)),
-        lambda rank: F.get(F.filter(F.col("image"), lambda h: h["rank"] == rank), F.lit(0))["url"],
-    )
-    return F.filter(per_rank, lambda url: url.isNotNull())
+    """Per selector the first hit that has an address; up to one entry per selector, however many there are."""
+    first = F.filter(F.col("image"), lambda h, k: (k == 0) | (F.get(F.col("image"), k - 1)["rank"] != h["rank"]))
+    return F.filter(F.transform(first, lambda h: h["url"]), lambda url: url.isNotNull())
 
 
 def primary_image(variant: str = "full") -> Column:

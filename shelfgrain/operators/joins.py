@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import BROADCAST_ROWS, stage
+from ..session import fits, stage
 
 MOST_HOT_KEYS = 10_000      # bounds what is broadcast
 MIN_HOT_ROWS = 1_000_000    # fewer rows than this are no trouble for one task
@@ -34,7 +34,7 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, counts: DataFrame, key: str,
 
     ``counts`` holds the rows per key.  A small lookup is broadcast whole.
     """
-    if lookup.count() <= BROADCAST_ROWS:
+    if fits(lookup):
         return rows.join(F.broadcast(lookup), key, how)
     hot = hot_keys(counts, key)
     if hot is None:

@@ -21,18 +21,20 @@ def product_links(
     must_contain: str = V.PRODUCT_URL_PART,
     exclude: Sequence[str] = V.EXCLUDED_URL_PARTS,
     carried: Sequence[str] = (),
+    selectors: Sequence[str] = V.LINK_SELECTORS,
 ) -> DataFrame:
     """One row per page and distinct product URL, at its best selector rank.
 
     ``facts`` needs the ``link`` column of ``parse_pages``.  The lean variant uses fewer
     selectors, in its own order, and reads a limited number of hits per selector *before*
-    the URL test.  ``per_page`` keeps the first links of each page.
+    the URL test.  ``per_page`` keeps the first links of each page.  ``selectors`` are those the
+    pages were parsed with; own ones are used by the lean variant in the order given.
     """
     hits: Column = F.col("link")
     if variant == "lean":
+        lean = V.LEAN_LINK_SELECTORS if tuple(selectors) == tuple(V.LINK_SELECTORS) else selectors
         order = F.create_map(*[
-            F.lit(n) for rank, selector in enumerate(V.LEAN_LINK_SELECTORS)
-            for n in (V.LINK_SELECTORS.index(selector), rank)])
+            F.lit(n) for rank, selector in enumerate(lean) for n in (list(selectors).index(selector), rank)])
         hits = F.transform(
             F.filter(hits, lambda h: F.map_contains_key(order, h["rank"])
                      & (h["ord"] <= V.LEAN_LINKS_PER_SELECTOR)),

@@ -284,7 +284,10 @@ class PageHits:
                         if reference is None:
                             continue
                         if reference not in joined:
-                            joined[reference] = absolute(url, reference)
+                            try:
+                                joined[reference] = absolute(url, reference)
+                            except ValueError:  # a malformed address: the hit stays, without one
+                                joined[reference] = None
                         hit = [step.rank, count, areas, joined[reference]]
                     else:
                         hit = [step.rank, count, areas, len(stripped)]

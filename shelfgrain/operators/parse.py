@@ -54,7 +54,8 @@ def parse_pages(
     need not come back).  ``selectors`` replaces the ranked selectors of single fields.
 
     With ``min_text`` set, pages that cannot be products - no title, or less text - are
-    dropped: those without any ``<title`` or with too little HTML never leave the JVM.
+    dropped: those without any ``<title`` or with too little HTML never leave the JVM.  Pages that
+    cannot be parsed are dropped as well; ``parse_failures`` lists them.
 
     All columns of ``pages`` other than ``html`` are passed through.  A page that cannot be
     parsed keeps its row, with ``error`` set and no hits.
@@ -169,6 +170,15 @@ def _hit_column(field: str, pages: list[PageHits | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(parts, names))
 
 
+def parse_failures(pages: DataFrame) -> DataFrame:
+    """Pages that hold no HTML or could not be parsed, with the reason: all columns but the HTML, and ``error``.
+
+    The ledger to the records of ``extract_products``, which leaves such pages out.
+    """
+    kept = [c for c in pages.columns if c != "html"]
+    return parse_pages(pages, ()).filter(F.col("error").isNotNull()).select(*kept, "error")
+
+
 def valid_page(min_text: int = V.MIN_PAGE_TEXT):
     """Page validity: it has a title and enough text."""
     return F.col("has_title") & (F.col("text_len") >= min_text)

@@ -3,11 +3,15 @@
 Each takes stored pages and a table of base URLs and returns product records with
 ``base_url`` and the order columns.  A walk reads its listing pages, follows their product
 links, extracts the linked pages and removes duplicates - set at a time, for all bases at
-once.  Pages are parsed where they are scanned; only links and records are shuffled.
+once.  Pages are parsed where they are scanned; only links and records are shuffled.  Of several
+stored versions of a page, the newest usable one counts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
@@ -19,10 +23,24 @@ from ..operators.links import limit_links, product_links
 from ..operators.paging import page_yield, stop_after_empty
 from ..operators.parse import parse_pages
 from ..operators.products import extract_products
-from ..session import stage
-from ..sources.frontier import fetch_join, listing_frontier, usable
+from ..session import fits, gathered, sized, stage
+from ..sources.frontier import fetch_join, listing_frontier, listings_of, usable
+from ..sources.tables import drop_stale, repeated_urls
 
 ORDER = ("page_no", "selector_rank", "ord", "source_url")
+BROADCAST_BYTES = 64 << 20   # of linked URLs sent to the tasks that scan pages
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Which links of a listing page are followed, and own selectors by field (``link`` among them)."""
+
+    must_contain: str = V.PRODUCT_URL_PART
+    exclude: Sequence[str] = V.EXCLUDED_URL_PARTS
+    selectors: Mapping[str, tuple[str, ...]] | None = None
+
+
+USUAL = Rules()
 
 
 def within_time(frontier: DataFrame, pages: DataFrame, seconds: float, share: float | None = None,
@@ -32,43 +50,87 @@ def within_time(frontier: DataFrame, pages: DataFrame, seconds: float, share: fl
     Needs ``fetched_at``.  Only the frontier's own columns and the time are compared, so the
     HTML takes no part; see ``within_budget`` for what ``share`` means.
     """
-    reached = fetch_join(frontier, pages, keep_empty).select(
-        F.col("base_url").alias("run_id"), F.col("page_no").alias("id"), F.col("fetched_at").alias("ts"), "url")
+    times = fetch_join(frontier, pages, keep_empty, {"fetched_at": F.col("fetched_at")})
+    reached = times.groupBy("base_url", "page_no", "url").agg(F.max("fetched_at").alias("ts")).select(
+        F.col("base_url").alias("run_id"), F.col("page_no").alias("id"), "ts", "url")
     kept = within_budget(stage(reached, "reached-pages"), seconds, share)
     return stage(kept.select(
         F.col("run_id").alias("base_url"), F.col("id").alias("page_no"), "url"), "pages-in-time")
 
 
-def listing_links(frontier: DataFrame, pages: DataFrame, variant: str = "full",
-                  per_page: int | None = None) -> DataFrame:
-    """Product links of the frontier's listing pages."""
-    listings = fetch_join(frontier, pages, keep_empty=variant == "lean")
-    carried = ["base_url", "page_no"]
-    facts = parse_pages(listings.select(*carried, "url", "html"), ["link"])
-    return product_links(facts, variant, per_page, carried=carried)
+def newest(pages: DataFrame, stored: DataFrame, made_url: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``make(pages)`` for the newest version of each URL of ``stored``; ``page_id`` does not come out.
+
+    While few URLs are stored more than once, old versions are dropped before they are parsed,
+    else afterwards: what is shuffled is then what ``make`` has made, by its column ``made_url``.
+    """
+    if "page_id" not in pages.columns:
+        return make(pages)
+    repeated = repeated_urls(stored)
+    if fits(repeated):
+        return make(drop_stale(pages, repeated)).drop("page_id")
+    return drop_stale(make(pages), repeated, made_url).drop("page_id")
+
+
+def listing_links(bases: DataFrame, pages: DataFrame, max_pages: int, style: str = "auto", variant: str = "full",
+                  per_page: int | None = None, rules: Rules = USUAL, in_time: DataFrame | None = None) -> DataFrame:
+    """Product links of the listing pages of all bases.
+
+    ``in_time`` (base_url, page_no) limits the pages that are walked.
+    """
+    place = ["base_url", "page_no"]
+    found = usable(pages, keep_empty=variant == "lean")
+    version = ["page_id"] if "page_id" in pages.columns else []
+    listings, open_bases = listings_of(bases, found.select(*version, "url", "html"), max_pages, style)
+    selectors = (rules.selectors or {}).get("link", V.LINK_SELECTORS)
+
+    def links(of: DataFrame) -> DataFrame:
+        facts = parse_pages(of, ["link"], {"link": tuple(selectors)})
+        return product_links(facts, variant, per_page, rules.must_contain, rules.exclude, [*place, *version], selectors)
+
+    made = newest(listings, found, "page_url", links)
+    if open_bases is not None:
+        made = made.join(open_bases.hint("merge"), "base_url", "left_semi")
+    if in_time is not None:
+        made = made.join(sized(in_time.select(*place)), place, "left_semi")
+    return made
+
+
+def wanted_pages(pages: DataFrame, asked: DataFrame) -> DataFrame:
+    """Those of ``pages`` that ``asked`` (source_url) names if these are few enough to be broadcast, else all."""
+    urls = stage(gathered(asked.select(F.col("source_url").alias("url")).distinct()), "asked-urls")
+    size = urls.agg(F.sum(F.octet_length("url"))).first()[0] or 0
+    if fits(urls) and size <= BROADCAST_BYTES:
+        return pages.join(F.broadcast(urls), "url", "left_semi")
+    return pages
 
 
 def product_lookup(links: DataFrame, pages: DataFrame, variant: str = "full",
-                   run_ts: Column | None = None, **options) -> DataFrame:
+                   run_ts: Column | None = None, rules: Rules = USUAL, **options) -> DataFrame:
     """Product records of the linked pages, with the columns of ``links``.
 
-    Links only ever name product URLs, so other pages are not parsed.  Records, not pages,
-    go through the join.  A product that is linked from very many pages is joined by
-    broadcast, its rows staying where they are; every page is still parsed once.  The links
-    are staged because they are counted first.
+    Pages that no link names are not parsed: while the linked URLs are few they are broadcast to
+    the scan of the pages; beyond that the URL test of ``rules``, which all links have passed,
+    is applied.  Records, not pages, go through the join.  A product that is linked from very
+    many pages is joined by broadcast, its rows staying where they are.  The links are staged
+    because they are counted first.
     """
-    asked = stage(links.withColumnRenamed("link", "source_url"), "links")
-    candidates = usable(pages, keep_empty=variant == "lean").filter(is_product_url(F.col("url")))
-    columns = ["url", "html"] + [c for c in ("fetched_at",) if c in pages.columns]
+    asked = stage(gathered(links.withColumnRenamed("link", "source_url")), "links")
+    stored = usable(pages, keep_empty=variant == "lean").filter(
+        is_product_url(F.col("url"), rules.must_contain, rules.exclude))
+    columns = [c for c in ("page_id", "url", "html", "fetched_at") if c in pages.columns]
+    candidates = wanted_pages(stored.select(*columns), asked)
+    selectors = dict(rules.selectors) if rules.selectors else None
 
     def records(of: DataFrame) -> DataFrame:
-        return extract_products(of.select(*columns), variant, run_ts, **options)
+        return newest(of, stored, "source_url",
+                      lambda some: extract_products(some, variant, run_ts, selectors=selectors, **options))
 
     hot = hot_keys(asked.groupBy("source_url").agg(F.count(F.lit(1)).alias("_rows")), "source_url")
     if hot is None:
         return asked.join(records(candidates), "source_url")
     is_hot = F.col("url") == F.col("source_url")
-    often = asked.join(hot, "source_url", "left_semi").join(
+    often = asked.join(hot, "source_url", "left_semi").join(  # one record per hot URL: older versions are gone
         F.broadcast(records(candidates.join(hot, is_hot, "left_semi"))), "source_url")
     rest = asked.join(hot, "source_url", "left_anti").join(
         records(candidates.join(hot, is_hot, "left_anti")), "source_url")
@@ -79,11 +141,14 @@ def first_links(links: DataFrame) -> DataFrame:
     """Each link once per base, at its first place; a page linked twice is looked up once.
 
     The place (page, selector, order on the page) is packed into one number: its minimum is
-    a hash aggregate, where the minimum of a struct would have to sort all links.
+    a hash aggregate, where the minimum of a struct would have to sort all links.  A place that
+    does not fit (256 selectors, 8 million pages of a base) raises an error.
     """
-    place = (
+    packed = (
         F.shiftleft(F.col("page_no").cast("long"), 40)
         + F.shiftleft(F.col("selector_rank").cast("long"), 32) + F.col("ord"))
+    fitting = (F.col("page_no") < 1 << 23) & (F.col("selector_rank") < 1 << 8)
+    place = F.when(fitting, packed).otherwise(F.raise_error(F.lit("the place of a link is out of range")).cast("long"))
     first = links.groupBy("base_url", "link").agg(F.min(place).alias("_place"))
     return first.select(
         "base_url", "link",
@@ -94,19 +159,18 @@ def first_links(links: DataFrame) -> DataFrame:
 
 def site_catalog(
     pages: DataFrame, bases: DataFrame, max_pages: int = V.FULL_LISTING_PAGES,
-    per_page: int = V.LINKS_PER_PAGE, run_ts: Column | None = None, **options,
+    per_page: int = V.LINKS_PER_PAGE, run_ts: Column | None = None, rules: Rules = USUAL, **options,
 ) -> DataFrame:
     """The usual walk: ``max_pages`` listing pages per base, duplicates by name."""
-    frontier = listing_frontier(bases, max_pages)
-    links = first_links(listing_links(frontier, pages, per_page=per_page))
-    products = product_lookup(links, pages, run_ts=run_ts, **options)
+    links = first_links(listing_links(bases, pages, max_pages, per_page=per_page, rules=rules))
+    products = product_lookup(links, pages, run_ts=run_ts, rules=rules, **options)
     return dedup_products(products, "name", ORDER, within=["base_url"])
 
 
 def full_catalog(
     pages: DataFrame, bases: DataFrame, per_page: int = V.LINKS_PER_PAGE,
     max_pages: int = V.FULL_LISTING_PAGES, run_ts: Column | None = None, max_time: float | None = None,
-    **options,
+    rules: Rules = USUAL, **options,
 ) -> DataFrame:
     """The full walk: listing pages until three in a row give no product.
 
@@ -117,9 +181,9 @@ def full_catalog(
     page and link: a product listed twice counts on both pages) are staged and used twice.
     """
     frontier = listing_frontier(bases, max_pages, style="full")
-    walked = frontier if max_time is None else within_time(frontier, pages, max_time)
-    links = listing_links(walked, pages, per_page=per_page)
-    products = stage(product_lookup(links, pages, run_ts=run_ts, **options), "walked-products")
+    in_time = None if max_time is None else within_time(frontier, pages, max_time)
+    links = listing_links(bases, pages, max_pages, "full", per_page=per_page, rules=rules, in_time=in_time)
+    products = stage(gathered(product_lookup(links, pages, run_ts=run_ts, rules=rules, **options)), "walked-products")
     kept = stop_after_empty(products, page_yield(products, frontier))
     return dedup_products(kept, "name", ORDER, within=["base_url"]).drop("page_url")
 
@@ -127,16 +191,16 @@ def full_catalog(
 def lean_catalog(
     pages: DataFrame, bases: DataFrame, max_pages: int = V.LEAN_LISTING_PAGES,
     limit: int = V.LEAN_LINKS_TOTAL, run_ts: Column | None = None,
-    key: str | tuple[str, ...] = ("name", "source_url"), max_time: float | None = None,
+    key: str | tuple[str, ...] = ("name", "source_url"), max_time: float | None = None, rules: Rules = USUAL,
 ) -> DataFrame:
     """The lean walk: few listing pages, a limited number of links per base, few fields.
 
     With ``max_time``, reading links may use its share of that time; the listing page that
     crosses the share is still read.
     """
-    frontier = listing_frontier(bases, max_pages)
+    in_time = None
     if max_time is not None:
-        frontier = within_time(frontier, pages, max_time, V.LINK_BUDGET_SHARE, keep_empty=True)
-    links = first_links(listing_links(frontier, pages, "lean"))
-    products = product_lookup(limit_links(links, limit, by=["base_url"]), pages, "lean", run_ts)
+        in_time = within_time(listing_frontier(bases, max_pages), pages, max_time, V.LINK_BUDGET_SHARE, keep_empty=True)
+    links = first_links(listing_links(bases, pages, max_pages, variant="lean", rules=rules, in_time=in_time))
+    products = product_lookup(limit_links(links, limit, by=["base_url"]), pages, "lean", run_ts, rules)
     return dedup_products(products, key, ORDER, within=["base_url"])

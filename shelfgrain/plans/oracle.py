@@ -239,6 +239,16 @@ WHERE status = 200 AND html IS NOT NULL""",
 SELECT url || '/gone/' || page_id AS url, 'not crawled' AS reason FROM stored
 UNION ALL SELECT url, CASE WHEN status <> 200 THEN 'HTTP ' || status WHEN html IS NULL THEN 'no body'
   ELSE 'empty body' END FROM stored WHERE status <> 200 OR html IS NULL OR html = ''""",
+    "fetch_failures_recrawled": """
+WITH versions AS (
+  SELECT url, page_id, CASE WHEN page_id % 3 = 0 THEN 404 WHEN page_id % 5 = 0 THEN NULL ELSE 200 END AS status, html FROM pages
+  UNION ALL SELECT url, page_id + 1000000000, CASE WHEN page_id % 2 = 0 THEN 500 WHEN page_id % 7 = 0 THEN NULL ELSE 200 END,
+    CASE WHEN page_id % 11 = 0 THEN '' ELSE html END FROM pages),
+told AS (
+  SELECT *, CASE WHEN status IS NULL THEN 'no status' WHEN status <> 200 THEN 'HTTP ' || status
+    WHEN html = '' THEN 'empty body' END AS reason FROM versions)
+SELECT url, arg_max(coalesce(reason, ''), page_id) AS reason FROM told GROUP BY url HAVING count(*) = count(reason)""",
+    "parse_failures": "SELECT page_id, url, 'no body' AS error FROM pages WHERE page_id % 9 = 0",
     # links
     "product_links_full": f"""
 WITH {SHOWN} SELECT base_url, page_no, {LISTING_URL} AS page_url, link, CAST(0 AS INTEGER) AS selector_rank,
@@ -361,7 +371,7 @@ SELECT n AS total_products, priced AS with_price, skus AS with_sku, brands AS wi
     "summary_rows": SUMMARY_ROWS.format(where=""),
     "summary_rows_empty": SUMMARY_ROWS.format(where="WHERE price_kes < 0"),
     "completeness_shares": f"""
-WITH {PRODUCT} SELECT count(*) AS products, 1.0::DOUBLE AS name_share,
+WITH {PRODUCT} SELECT count(*) AS products, round(count(*) FILTER (k % 5 <> 1) / count(*), 6) AS name_share,
   round(count(price_kes) / count(*), 6) AS price_share, round(count(image) / count(*), 6) AS image_share
 FROM product""",
     "coverage_rate": """
@@ -375,19 +385,25 @@ listed AS (SELECT base_url, CAST(n AS INTEGER) AS page_no
     range(1, 61) AS r(n))
 SELECT base_url, page_no, coalesce(found, 0) AS found FROM listed LEFT JOIN counts USING (base_url, page_no)""",
     "run_stats": f"""
-WITH {LOG}, s AS (
+WITH {LOG}, wanted AS (
+  SELECT DISTINCT 'host' || (user_id % 8) AS host, event_id AS id FROM events WHERE event_type NOT IN ('view', 'error', 'signup')),
+products AS (SELECT count(*) FILTER (id % 8 <> 0) AS found, count(*) FILTER (id % 8 = 0) AS unreadable FROM wanted),
+s AS (
   SELECT run_id, count(*) FILTER (status = 200 AND error IS NULL) AS pages_processed,
-    count(*) FILTER (error IS NULL) AS network_requests, count(error) AS errors, count(*) AS attempts,
-    (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000::DOUBLE AS duration_s FROM log GROUP BY 1)
-SELECT run_id, pages_processed, pages_processed AS products_found, network_requests, errors, duration_s,
-  round(pages_processed / greatest(duration_s, 0.001), 6) AS products_per_second,
+    count(*) FILTER (error IS NULL) AS network_requests, count(error) + any_value(unreadable) AS errors, count(*) AS attempts,
+    any_value(found) AS found,
+    (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000::DOUBLE AS duration_s FROM log, products GROUP BY 1)
+SELECT run_id, pages_processed, found AS products_found, network_requests, errors, duration_s,
+  round(found / greatest(duration_s, 0.001), 6) AS products_per_second,
   round(pages_processed / attempts * 100, 6) AS success_pct, round(errors / attempts * 100, 6) AS error_pct
 FROM s""",
     "run_verdicts": f"""
-WITH {LOG}, s AS (
-  SELECT host || '-' || strftime(ts, '%Y%m%d') AS run_id,
-    count(*) FILTER (status = 200 AND error IS NULL) AS pages,
-    (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000::DOUBLE AS duration_s FROM log GROUP BY 1)
+WITH s AS (
+  SELECT 'host' || (user_id % 8) || '-' || strftime(ts, '%Y%m%d') AS run_id,
+    count(DISTINCT event_id) FILTER (event_type NOT IN ('view', 'error', 'signup')) AS pages,
+    (max((epoch_us(ts) - epoch_us(date_trunc('day', ts))) // CAST(power(10, user_id % 8) AS BIGINT))
+      - min((epoch_us(ts) - epoch_us(date_trunc('day', ts))) // CAST(power(10, user_id % 8) AS BIGINT))) / 1000000::DOUBLE AS duration_s
+  FROM events GROUP BY 1)
 SELECT run_id, CASE WHEN pages / greatest(duration_s, 0.001) > 50 THEN 'top'
   WHEN pages / greatest(duration_s, 0.001) > 20 THEN 'middle' ELSE 'below' END AS rate_tier,
   duration_s < 60 AS time_target_met FROM s""",
@@ -419,6 +435,13 @@ SELECT id, host FROM chained WHERE before IS NULL OR before <= 345600000000""",
     # whole walks
     "site_catalog": walk("p.page_no <= 20", FULL_COLUMNS),
     "full_catalog": walk("p.page_no <= 42", FULL_COLUMNS),
+    "full_catalog_open": f"""
+WITH {PRODUCT}, {SHOWN}, found AS (
+  SELECT p.base_url, p.page_no, source_url, name, price_kes, k FROM product p JOIN shown USING (k) WHERE p.page_no <= 42
+  UNION ALL SELECT base_url, page_no, replace(link, '/product/p', '/product/oil-filter-'), 'Oil filter ' || k,
+    k + 500::DOUBLE, k FROM shown WHERE page_no <= 42)
+SELECT base_url, page_no, source_url, name, price_kes FROM found
+QUALIFY row_number() OVER (PARTITION BY base_url, name ORDER BY page_no, k) = 1""",
     "lean_catalog": f"""
 WITH {PRODUCT}, {SHOWN},
 asked AS (
@@ -432,9 +455,8 @@ FROM product p JOIN asked USING (k) WHERE rn <= 300""",
     "stream_products": product_columns("source_url, name, price_kes, stock_status, has_warranty"),
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_stats": f"""
-WITH {LOG}, mark AS (SELECT max(ts) - INTERVAL 1 HOUR AS reached FROM log)
-SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) FILTER (error IS NULL) AS requests,
+WITH {LOG} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) FILTER (error IS NULL) AS requests,
   count(error) AS errors, avg(elapsed_s) AS mean_response
-FROM log, mark WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= reached GROUP BY 1""",
+FROM log GROUP BY 1""",
 }
 ORACLE["cap_links"] = ORACLE["page_links_capped"]

@@ -72,6 +72,14 @@ def product_pages(parts: DataFrame) -> DataFrame:
         F.when(k % 50 == 0, short).otherwise(page).alias("html"))
 
 
+def oil_filter_pages(parts: DataFrame) -> DataFrame:
+    """The product pages of the oil filters that listings show beside each part: ``url html``."""
+    k = F.col("p_partkey")
+    page = _join('<html><head><title>Shop</title></head><body><h1 class="product_title">Oil filter ', k, "</h1>",
+                 '<div class="summary"><p class="price">KSh ', k + 500, ".00</p></div><footer>", F.repeat(F.lit("x"), 400), "</footer></body></html>")
+    return parts.select(F.concat(shop_root(k), F.lit("/product/oil-filter-"), k).alias("url"), page.alias("html"))
+
+
 def listing_pages(parts: DataFrame, tasks: int | None = None) -> DataFrame:
     """One listing page per 20 parts: ``base_url page_no url html``; some pages are empty.
 

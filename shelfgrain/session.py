@@ -69,8 +69,8 @@ def work_folder(spark: SparkSession) -> str:
     """The shared folder for staged tables and stream checkpoints.
 
     The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a local
-    session gets a temporary folder and any other one a folder in the warehouse,
-    because a machine-local folder would be lost with its executor.
+    session gets a temporary folder and any other one a folder in the warehouse, if that is
+    in a shared store: on a machine-local folder every executor would write to a disk of its own.
     """
     application = spark.sparkContext.applicationId
     folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folders.get(application)
@@ -79,6 +79,8 @@ def work_folder(spark: SparkSession) -> str:
             folder = tempfile.mkdtemp(prefix="shelfgrain-")
         else:
             folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shelfgrain_work"
+            if folder.startswith(("file:", "/")):
+                raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         folder = _own_folders.setdefault(application, folder)
     return folder.rstrip("/")
 
@@ -94,24 +96,34 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     fetch only the columns they use.
     """
     path = work_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path)  # one file per task: callers merge narrow results first, see ``gathered``
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """Narrow rows made by a wide scan, merged into files of a usual size before they are staged."""
+    return df.hint("rebalance")
+
+
 BROADCAST_ROWS = 500_000  # rows of a few short columns: some tens of MB in memory
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def fits(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether ``df``, of a few short columns, has few enough rows to be broadcast."""
+    return df.count() <= (BROADCAST_ROWS if limit is None else limit)
+
+
+def sized(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Hint how to join a side of narrow rows, from its counted size.
 
     Spark's own estimate misses rows made by ``explode`` and overrates aggregates, and a
     wide table is shuffled before adaptive execution could notice.  So the side is counted:
     up to ``limit`` rows it is broadcast, beyond that it is merged on the key.
     """
-    return F.broadcast(df) if df.count() <= limit else df.hint("merge")
+    return F.broadcast(df) if fits(df, limit) else df.hint("merge")
 
 
-def sized_stage(df: DataFrame, label: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+def sized_stage(df: DataFrame, label: str, limit: int | None = None) -> DataFrame:
     """``sized`` for a side that is costly to compute: it is staged, then counted."""
     return sized(stage(df, label), limit)
 

@@ -1,11 +1,17 @@
-"""Listing URLs and their lookup in the stored crawl."""
+"""Listing URLs and their lookup in the stored crawl.
+
+HTML is not shuffled: walks find their listing pages by the page's own URL (``listings_of``), and
+the lookups of arbitrary frontiers join what is asked of a page, not the page.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
-from ..session import sized
+from ..session import fits, sized
 
 
 def pages_for(max_products: int) -> int:
@@ -29,6 +35,35 @@ def listing_frontier(bases: DataFrame, max_pages: int, style: str = "auto") -> D
         "url", page_url(F.col("base_url"), F.col("page_no"), style))
 
 
+def places(url: Column, max_pages: int, style: str = "auto") -> Column:
+    """What a URL can be in a frontier: an array of (base_url, page_no).
+
+    It may be a base itself; or it ends in a page number from 2 on, joined the way ``style`` wants.
+    """
+    base = F.regexp_extract(url, r"(?s)^(.*)[?&]page=[1-9][0-9]{0,8}$", 1)
+    number = F.regexp_extract(url, r"[?&]page=([1-9][0-9]{0,8})$", 1)
+    page_no = F.when(number != "", number).otherwise("1").cast("int")
+    paged = (page_no >= 2) & (page_no <= max_pages) & (page_url(base, page_no, style) == url)
+    struct = lambda b, n: F.struct(b.alias("base_url"), n.cast("int").alias("page_no"))
+    return F.when(paged, F.array(struct(url, F.lit(1)), struct(base, page_no))).otherwise(F.array(struct(url, F.lit(1))))
+
+
+def listings_of(bases: DataFrame, pages: DataFrame, max_pages: int, style: str = "auto") -> tuple[DataFrame, DataFrame | None]:
+    """Stored pages that are listing pages, with ``base_url`` and ``page_no``; and the bases still to be joined.
+
+    The same rows as joining ``listing_frontier`` to the pages, but one row per base takes part,
+    not one per listing page.  Up to ``BROADCAST_ROWS`` bases are broadcast to the pages where
+    these are scanned.  More bases are given back: the caller joins them to what it has
+    parsed, so that no page is shuffled.
+    """
+    placed = pages.withColumn("_place", F.explode(places(F.col("url"), max(max_pages, 1), style)))
+    placed = placed.select(*pages.columns, "_place.base_url", "_place.page_no")
+    asked = bases.select("base_url").distinct()
+    if fits(asked):
+        return placed.join(F.broadcast(asked), "base_url", "left_semi"), None
+    return placed, asked
+
+
 def usable(pages: DataFrame, keep_empty: bool = False) -> DataFrame:
     """Pages with a body: status 200 where there is a status, and HTML present.
 
@@ -40,35 +75,45 @@ def usable(pages: DataFrame, keep_empty: bool = False) -> DataFrame:
     return kept if keep_empty else kept.filter(F.col("html") != "")
 
 
-def fetch_join(frontier: DataFrame, pages: DataFrame, keep_empty: bool = False) -> DataFrame:
-    """Frontier rows with their stored page; rows without a usable page drop out."""
-    return usable(pages, keep_empty).join(sized(frontier), "url")
+def fetch_join(frontier: DataFrame, pages: DataFrame, keep_empty: bool = False,
+               facts: Mapping[str, Column] | None = None) -> DataFrame:
+    """Frontier rows with their stored page; rows without a usable page drop out.
+
+    ``facts`` names what is asked of a page, and only that goes through the join.  Without
+    it the whole page is handed out, and a frontier too large to be broadcast then shuffles
+    the HTML; no walk does that.  A URL that is stored more than once has a row per version.
+    """
+    found = usable(pages, keep_empty)
+    if facts is not None:
+        found = found.select("url", *[column.alias(name) for name, column in facts.items()])
+    return found.join(sized(frontier), "url")
 
 
 def fetch_failures(frontier: DataFrame, pages: DataFrame, keep_empty: bool = False) -> DataFrame:
     """Frontier rows that yield no page, with the reason.
 
-    Only the status and two flags of a page are compared; the HTML itself is not carried.
-    Pages nobody asked for are dropped where they are scanned if the frontier is small.
+    Only the status and two flags of a page take part, not the HTML.  A URL stored more than
+    once fails only if none of its versions is usable; the reason is that of the newest
+    version (largest ``page_id``; without one, the first in alphabetical order).  So every
+    frontier row is either fetched or failed.  A null status is a reason of its own.
     """
     html = F.col("html")
-    asked = pages.join(sized(frontier.select("url").distinct()), "url", "left_semi")
-    state = asked.select(
-        F.col("url"),
-        (F.col("status") if "status" in pages.columns else F.lit(200)).alias("_status"),
-        html.isNull().alias("_missing"),
-        F.coalesce(html == "", F.lit(False)).alias("_empty"),
-        F.lit(True).alias("_crawled"),
-    )
+    status = F.col("status") if "status" in pages.columns else F.lit(200)
     reason = (
-        F.when(F.col("_crawled").isNull(), "not crawled")
-        .when(F.col("_status") != 200, F.concat(F.lit("HTTP "), F.col("_status")))
-        .when(F.col("_missing"), "no body")
+        F.when(status.isNull(), "no status")
+        .when(status != 200, F.concat(F.lit("HTTP "), status))
+        .when(html.isNull(), "no body")
     )
     if not keep_empty:
-        reason = reason.when(F.col("_empty"), "empty body")
+        reason = reason.when(html == "", "empty body")
+    version = F.col("page_id") if "page_id" in pages.columns else F.lit(0)
+    flags = pages.select("url", version.alias("_version"), reason.alias("_reason"))
+    asked = flags.join(sized(frontier.select("url").distinct()), "url", "left_semi")
+    state = asked.groupBy("url").agg(
+        F.max(F.col("_reason").isNull()).alias("_usable"),
+        F.min_by("_reason", F.struct(-F.col("_version"), "_reason")).alias("_reason"))
     return (
         frontier.join(state, "url", "left")
-        .select(*frontier.columns, reason.alias("reason"))
-        .filter(F.col("reason").isNotNull())
+        .filter(F.col("_usable").isNull() | ~F.col("_usable"))
+        .select(*frontier.columns, F.when(F.col("_usable").isNull(), "not crawled").otherwise(F.col("_reason")).alias("reason"))
     )

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..operators.joins import hot_keys
-from ..session import BROADCAST_ROWS, stage
+from ..session import fits, stage
 
 SCHEMAS = {"pages": schemas.PAGES, "part": schemas.PARTS, "events": schemas.EVENTS}
 
@@ -31,26 +33,46 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: i
     return reader.parquet(f"{folder}/{name}.parque[t]")
 
 
-def latest_pages(pages: DataFrame) -> DataFrame:
-    """One row per URL: the one with the highest ``page_id``.
+def repeated_urls(pages: DataFrame) -> DataFrame:
+    """URLs stored more than once, with their largest ``page_id`` and the number of versions; staged.
 
-    The HTML column is too wide to group.  URLs stored more than once are found on the two
-    narrow columns alone and listed in the shared folder; in a usual crawl that list is short
-    or empty, and the anti join that drops the older rows needs no shuffle of the HTML.  If
-    the list is long, URLs with very many versions are still dealt with by broadcast.
+    Found on two narrow columns; in a usual crawl the list is short or empty.
     """
     versions = pages.groupBy("url").agg(
         F.max("page_id").alias("_newest"), F.count(F.lit(1)).alias("_versions"))
-    repeated = stage(versions.filter(F.col("_versions") > 1).select(
+    return stage(versions.filter(F.col("_versions") > 1).select(
         F.col("url").alias("_url"), "_newest", "_versions"), "repeated-urls")
-    stale = (F.col("url") == F.col("_url")) & (F.col("page_id") < F.col("_newest"))
+
+
+def drop_stale(rows: DataFrame, repeated: DataFrame, url: str = "url") -> DataFrame:
+    """``rows`` (``url``, ``page_id``, ...) without those of older versions of ``repeated_urls``.
+
+    A short list is broadcast and rows stay where they are.  With a long one the rows are
+    shuffled, so they should be narrow; URLs with very many versions are still dealt with by broadcast.
+    """
+    stale = (F.col(url) == F.col("_url")) & (F.col("page_id") < F.col("_newest"))
     newest = repeated.drop("_versions")
-    if repeated.count() <= BROADCAST_ROWS:
-        return pages.join(F.broadcast(newest), stale, "left_anti")
+    if fits(repeated):
+        return rows.join(F.broadcast(newest), stale, "left_anti")
     hot = hot_keys(repeated, "_url", "_versions")
     if hot is not None:  # leaves one row of each hot URL for the join below
-        pages = pages.join(F.broadcast(newest.join(hot, "_url", "left_semi")), stale, "left_anti")
-    return pages.join(newest.hint("merge"), stale, "left_anti")
+        rows = rows.join(F.broadcast(newest.join(hot, "_url", "left_semi")), stale, "left_anti")
+    return rows.join(newest.hint("merge"), stale, "left_anti")
+
+
+def latest_pages(pages: DataFrame, facts: Mapping[str, Column] | None = None) -> DataFrame:
+    """One row per URL: the one with the highest ``page_id``.
+
+    ``facts`` names what is asked of a page; only that is carried, and the newest is found by one
+    aggregation.  Without it whole pages are handed out: those of older versions are
+    dropped where they are scanned while the list of repeated URLs is short, and a long list
+    shuffles the HTML.  Walks do not use that form.
+    """
+    if facts is None:
+        return drop_stale(pages, repeated_urls(pages))
+    asked = F.struct(*[column.alias(name) for name, column in facts.items()])
+    newest = pages.groupBy("url").agg(F.max("page_id").alias("page_id"), F.max_by(asked, "page_id").alias("_facts"))
+    return newest.select("page_id", "url", "_facts.*")
 
 
 def read_pages(spark: SparkSession, folder: str, latest: bool = True) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.products import extract_products
 from ..session import work_path
@@ -19,7 +20,9 @@ def stream_dedup(records: DataFrame, key: str | Sequence[str], event_time: str,
     """The first record to arrive per key.
 
     Keys are forgotten ``delay`` after their event time, which bounds the state; a key that
-    returns later than that is let through again.
+    returns later than that is let through again.  A record that arrives more than ``delay`` after
+    younger ones were seen is dropped by the watermark: choose a delay beyond the disorder of
+    the source.  ``run_to_table`` raises if that happened.
     """
     keys = [key] if isinstance(key, str) else list(key)
     return (
@@ -29,11 +32,15 @@ def stream_dedup(records: DataFrame, key: str | Sequence[str], event_time: str,
     )
 
 
-def stream_stats(log: DataFrame, width: str, delay: str = "1 hour") -> DataFrame:
-    """Requests, exceptions and mean response time per tumbling window, once it is complete."""
+def stream_stats(log: DataFrame, width: str) -> DataFrame:
+    """Requests, exceptions and mean response time per tumbling window.
+
+    For ``run_updates``: a window is put out whenever it changes, so every request counts, however
+    late it comes and however the files are batched.  The state is one row per window of
+    the log, not per request, so it needs no watermark.
+    """
     return (
         log.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", delay)
         .groupBy(F.window("ts", width))
         .agg(
             F.count_if(F.col("error").isNull()).alias("requests"),
@@ -44,8 +51,25 @@ def stream_stats(log: DataFrame, width: str, delay: str = "1 hour") -> DataFrame
     )
 
 
-def run_to_table(stream: DataFrame, label: str, timeout_s: int = 600) -> DataFrame:
-    """Run a stream over all that has landed, append to a table, return that table."""
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the watermark has dropped, as far as the query still reports its batches."""
+    return sum(state.get("numRowsDroppedByWatermark", 0) for report in query.recentProgress
+               for state in report["stateOperators"])
+
+
+def _drain(query: StreamingQuery, label: str, timeout_s: float | None) -> None:
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
+        query.stop()
+        raise TimeoutError(f"stream {label} did not finish within {timeout_s} s")
+
+
+def run_to_table(stream: DataFrame, label: str, timeout_s: float | None = None) -> DataFrame:
+    """Run a stream over all that has landed, append to a table, return that table.
+
+    There is no time limit unless one is given.  Raises if rows came too late for the watermark.
+    """
     spark = stream.sparkSession
     target, state = work_path(spark, label), work_path(spark, f"{label}-state")
     query = (
@@ -53,7 +77,29 @@ def run_to_table(stream: DataFrame, label: str, timeout_s: int = 600) -> DataFra
         .option("checkpointLocation", state).option("path", target)
         .trigger(availableNow=True).start()
     )
-    if not query.awaitTermination(timeout_s):
-        query.stop()
-        raise TimeoutError(f"stream {label} did not finish within {timeout_s} s")
+    _drain(query, label, timeout_s)
+    if late := late_rows(query):
+        raise ValueError(f"stream {label}: {late} rows came later than the delay allows and were dropped")
     return spark.read.schema(stream.schema).parquet(target)
+
+
+def run_updates(stream: DataFrame, key: str, label: str, timeout_s: float | None = None) -> DataFrame:
+    """Run an aggregating stream over all that has landed; the last state of every ``key``.
+
+    Each batch writes the rows it changed; the newest batch of a key holds.
+    """
+    spark = stream.sparkSession
+    target, state = work_path(spark, label), work_path(spark, f"{label}-state")
+
+    def write(rows: DataFrame, batch: int) -> None:  # a repeated batch replaces itself
+        rows.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{target}/batch={batch}")
+
+    query = (
+        stream.writeStream.foreachBatch(write).outputMode("update")
+        .option("checkpointLocation", state).trigger(availableNow=True).start()
+    )
+    _drain(query, label, timeout_s)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])).parquet(target)
+    columns = [c for c in stream.columns if c != key]
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*columns), "_batch").alias("_row"))
+    return newest.select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in stream.columns])

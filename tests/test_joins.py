@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from shelfgrain import session
 from shelfgrain.operators import crawl_log as L
 from shelfgrain.operators import joins
 from shelfgrain.plans import catalog
@@ -13,8 +14,7 @@ from test_walks import product
 @pytest.fixture
 def touchy(monkeypatch):
     """Everything is large: no lookup is small, 50 rows make a key hot."""
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(joins, "MIN_HOT_ROWS", 50)
 
 

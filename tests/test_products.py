@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shelfgrain.operators.parse import parse_pages
+from shelfgrain.operators.parse import parse_failures, parse_pages
 from shelfgrain.operators.products import extract_products, named_only
 from shelfgrain.functions import text
 
@@ -166,7 +166,7 @@ def test_bad_pages_keep_their_row(spark):
             (3, "https://s.example.com/", '<a href="/product/ok">x</a>')]
     facts = parse_pages(spark.createDataFrame(rows, "id int, url string, html string"), ("link",), with_text=True)
     got = {r.id: r for r in facts.collect()}
-    assert "ValueError" in got[1].error and got[1].link == [] and not got[1].has_title
+    assert got[1].error is None and [h.url for h in got[1].link] == [None] and not got[1].has_title
     assert got[2].error == "no body" and got[2].text == ""
     assert got[3].error is None and [h.url for h in got[3].link] == ["https://s.example.com/product/ok"]
 
@@ -192,3 +192,36 @@ def test_clean_name_and_urls(spark):
             "https://x.y/products/a": False, "https://x.y/product/a?orderby=p": False}
     made = spark.createDataFrame([(u,) for u in urls], "u string").select("u", text.is_product_url(F.col("u")).alias("v"))
     assert {r.u: r.v for r in made.collect()} == urls
+
+
+def test_a_bad_address_loses_no_product(spark):
+    """The reference reads the first image with an address; a malformed one further on does not matter."""
+    html = page('<h1>Part</h1><div class="product-image"><img src="/ok.jpg"><img src="http://[bad"></div>')
+    got = extract_products(spark.createDataFrame([("https://s.example.com/p", html)], "url string, html string")).first()
+    assert got.name == "Part" and got.primary_image == "https://s.example.com/ok.jpg"
+
+
+def test_parse_failures(spark):
+    rows = [(1, "u", None), (2, "u", "<title>t</title>")]
+    got = parse_failures(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    assert [tuple(r) for r in got] == [(1, "u", "no body")]
+
+
+def test_more_image_selectors_than_usual(spark):
+    html = page("<h1>Part</h1>" + "".join(f'<i class="i{k}" src="/{k}.jpg"></i>' for k in (4, 6)))
+    pages = spark.createDataFrame([("https://s.example.com/p", html)], "url string, html string")
+    got = extract_products(pages, selectors={"image": tuple(f".i{k}" for k in range(8))}).first()
+    assert got.images == ["https://s.example.com/4.jpg", "https://s.example.com/6.jpg"]
+
+
+def test_only_asked_columns_are_parsed_for(spark):
+    pages = spark.createDataFrame([("https://s.example.com/p", page("<h1>Part</h1>"))], "url string, html string")
+    few = extract_products(pages, columns=())
+    assert few.columns == ["source_url", "scraped_at", "name"]
+    plan = few._jdf.queryExecution().analyzed().toString()
+    assert "name#" in plan and not any(f"{field}#" in plan for field in ("jsonld", "words", "image", "price"))
+    both = extract_products(pages, columns=("primary_image", "raw_price_text", "has_warranty"))
+    assert both.columns == ["source_url", "scraped_at", "name", "raw_price_text", "primary_image", "has_warranty"]
+    assert both.first().name == "Part"
+    with pytest.raises(ValueError):
+        extract_products(pages, columns=("colour",))

@@ -145,3 +145,12 @@ def test_sheet_defaults_and_options(spark):
                               None, None, None)
     assert tuple(rows[1]) == (2, "n", 5.0, "KES", "s", "b", "c", "In Stock", "d" * 200 + "...", "i", 2, "u",
                               "2024-05-06 07:08:09", True, True, 10.0, 0.0, "b: w; k: v")
+
+
+def test_unreadable_pages_are_errors(spark):
+    rows = [("r", "h", 1, datetime(2025, 1, 1), "product", "u", 200, None, 0.5), ("r", "h", 2, datetime(2025, 1, 1, 0, 0, 4), "product", "v", 0, "timeout", 0.5)]
+    log = spark.createDataFrame(rows, LOG)
+    assert [tuple(r) for r in L.product_pages(log).collect()] == [("r", "u")]
+    one = spark.createDataFrame([("r",)], "run_id string")
+    stats = L.run_stats(log, one, one).first()
+    assert (stats.products_found, stats.errors, stats.pages_processed, stats.products_per_second) == (1, 2, 1, 0.25)

@@ -128,3 +128,13 @@ def test_latest_pages(spark):
     rows = [(1, "a", "old"), (5, "a", "new"), (2, "b", "only"), (4, "a", "mid"), (3, None, "x")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {(r.page_id, r.html) for r in latest_pages(table).collect()} == {(5, "new"), (2, "only"), (3, "x")}
+
+
+def test_fetched_and_failed_share_the_frontier(spark):
+    """Several versions: usable if any is; the newest gives the reason; a null status has one."""
+    rows = [(1, "a", 404, "x"), (2, "a", 200, "x"), (3, "a", 500, "x"), (4, "b", 200, ""), (5, "b", None, "x"), (6, "c", None, "x"), (7, "d", 200, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, status int, html string")
+    asked = spark.createDataFrame([(u,) for u in "abcde"], "url string")
+    failed = {r.url: r.reason for r in fr.fetch_failures(asked, pages).collect()}
+    assert failed == {"b": "no status", "c": "no status", "e": "not crawled"}
+    assert {r.url for r in fr.fetch_join(asked, pages).collect()} == set("abcde") - set(failed)
