@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
+from . import embeddings, mixing, near_copies as similar, oracle, quality
 from .common import table
 from .embeddings import near_vectors
 from .language import predict_languages
@@ -76,6 +77,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                             op6_packing, op7_url_filters, op8_toxicity, op9_embeddings, op10_sharding)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_mixing": oracle.mixing((1, 2, 3), mixing.MOST_REPEATS),
+    "op2_quality_rules": oracle.quality(quality.LENGTHS, quality.MOST_IN_NGRAMS, quality.MOST_IN_LINES, quality.MOST_SYMBOLS,
+                                        quality.LEAST_WORDS, quality.MOST_REPEATED),
+    "op3_ngram_jaccard": oracle.near_copies(similar.WIDTH, *similar.ABOVE),
+    "op4_warc": oracle.archives(0),
+    "op7_url_filters": oracle.url_rules(URL_RULES, "allow"),
+    "op9_embeddings": oracle.near_vectors(embeddings.LEAST_COSINE),
+}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -1,6 +1,8 @@
 """The pipeline against plain versions of its stages, and the registered queries."""
 
 import plain
+import pytest
+from compare import compare, database
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -48,3 +50,9 @@ def test_no_documents(spark, tmp_path, folder):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_against_sql(spark, folder, name):
+    problem, _, _ = compare(spark, database(folder), folder, name, queries.QUERIES[name], queries.ORACLE[name])
+    assert problem is None, problem
