@@ -35,7 +35,7 @@ POSITIVES = 1200          # toxic texts of a part, about, at most
 UNLABELLED = 3000         # unlabelled texts of a part, about, at most
 LEAST_TEXTS = 4           # toxic texts that must have a feature
 LEAST_LIFT = 4.0          # times as frequent among toxic texts as among unlabelled ones, at least
-LEAST_EXCESS = 4.0        # standard deviations above the number expected from unlabelled texts
+LEAST_EXCESS = 5.0        # standard deviations above the number expected from unlabelled texts
 ROUNDS, RATE, DECAY = 300, 0.05, 1e-4
 AT_LEAST = 0.7            # score from which a text counts as toxic
 
