@@ -6,6 +6,8 @@ computed from ``part`` directly.  Written for DuckDB; table names are views.
 
 from __future__ import annotations
 
+from .selector_pages import CASES, SITE
+
 RUN = "2025-09-22 00:50:44"
 
 # Known values of every rendered product page that passes the validity gate.
@@ -459,4 +461,11 @@ WITH {LOG} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) F
   count(error) AS errors, avg(elapsed_s) AS mean_response
 FROM log GROUP BY 1""",
 }
+SHAPES = {"link": f"'{SITE}/product/' || p_partkey", "image": f"'{SITE}/i/' || p_partkey || '.jpg'",
+          "price": "'KSh ' || p_partkey", "area": "'KSh ' || p_partkey"}
+LISTED = ", ".join(f"({k}, '{field}', '{selector}')" for k, (field, selector, _) in enumerate(CASES))
+ORACLE["selector_matrix"] = f"""
+SELECT p_partkey AS page_id, field, selector,
+  CASE field {" ".join(f"WHEN '{field}' THEN {shape}" for field, shape in SHAPES.items())} ELSE 'value ' || p_partkey END AS value
+FROM part JOIN (VALUES {LISTED}) AS c(k, field, selector) ON p_partkey % {len(CASES)} = k"""
 ORACLE["cap_links"] = ORACLE["page_links_capped"]

@@ -26,7 +26,7 @@ from ..sinks.catalog import run_path, write_catalog, write_summary
 from ..sources import frontier as fr
 from ..sources.tables import crawl_log, latest_pages, read_table, stream_table
 from ..streaming import live
-from . import catalog, storefront
+from . import catalog, selector_pages, storefront
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,6 +120,12 @@ def page_names(spark, folder):
         "page_id", fields.product_name().alias("name"), fields.product_name("lean").alias("raw_name")))
 
 
+@query
+def selector_matrix(spark, folder):
+    """A page for every selector of every field."""
+    return selector_pages.selector_hits(_parts(spark, folder))
+
+
 @query
 def start_url_check(spark, folder):
     urls = read_table(spark, folder, "pages").select("page_id", "url")
