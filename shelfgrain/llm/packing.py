@@ -32,7 +32,7 @@ from .common import as_bytes, positioned
 CAPACITY = 2048
 END = 0
 TOKENIZER = "word_bpe_49k.json"
-KNOWN_WORDS = 500_000    # words whose tokens a worker remembers
+KNOWN_WORDS = 1_200_000  # words whose tokens a worker remembers: some 220 MB
 TEXTS = 256              # texts tokenized at once
 MARK = b"\x01"           # put between words; no letter, digit or white space
 
