@@ -8,14 +8,16 @@ similar sets spoil at most ``differences`` non-empty parts of either, so whateve
 signatures, the first ``differences + 1`` of both have one in common: only those are made.
 
 The order puts parts with shingles that are common in the corpus last.  A pass over all texts finds
-these: shingles that come in many texts of a task, added up over the tasks.  The order never changes the
-result, only the number of candidates.
+these: shingles that come in several texts of a task, added up over the tasks; the most frequent
+``MOST_COMMON`` go out to the tasks, which bounds the broadcast.  The order never changes the result, only the
+number of candidates.
 
 Equal sets are collapsed first.  Buckets of equal signatures are searched in rounds by leaders: in
 each round a few members of a bucket are compared to its members in other components and retire;
 linked components merge; a bucket is done when its members left are in one component.  So no
-bucket sits in one task as a whole, and pairs inside a component are not made.  Every link is
-confirmed on the shingles themselves.
+bucket sits in one task as a whole, and pairs inside a component are not made.  Every pair is decided
+on the shingles themselves: halves of their hashes bound the intersection from above, which
+settles nearly all pairs; pairs so close to the limit that chance could decide take the whole hashes.
 
 Defined cases: null, empty and wordless texts have no shingles, link with nothing and are
 components of their own; texts with fewer words than a shingle have one; rows without id have no
@@ -39,10 +41,11 @@ WIDTH = 5
 ABOVE = (3, 4)             # similarity, as a fraction
 BANDS = 8                  # ratio of the sizes in a band
 INJECTIVE = 32             # below this size, every shingle is a part of its own
-COMMON = 2000              # a shingle is common if one in so many texts has it; so many times the mean set size are
+MOST_COMMON = 1 << 20      # common shingles, at most: 8 MB
+LEAST_COMMON = 3           # texts that have a common shingle, at least
 PENDING = 1 << 21          # shingles counted at once in a task
 SALTS = 64
-LEADERS = (1, 4, 16, 64, 256)  # members of a bucket that are compared in a round; the last number is repeated
+LEADERS = (1, 32, 1024)    # members of a bucket that are compared in a round; the last number is repeated
 
 
 def differences(size: int) -> int:
@@ -107,7 +110,7 @@ def survey(docs: DataFrame) -> DataFrame:
 
         def common() -> pa.RecordBatch:
             shingles, counts = np.unique(np.concatenate(pending), return_counts=True)
-            many = counts >= max(3, len(pending) // COMMON)
+            many = counts > 1
             n = int(many.sum())
             return pa.RecordBatch.from_arrays([pa.nulls(n, ids.type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
                                                pa.array(shingles[many].view(np.int64)), pa.array(counts[many])], names=names)
@@ -155,36 +158,93 @@ def enumerate_signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"signature long, id {docs.schema['doc_id'].dataType.simpleString()}, late boolean")
 
 
-def shingle_table(docs: DataFrame) -> DataFrame:
-    """(id, n, shingles) with the sorted hashes of the shingles as bytes."""
+def most_common(seen: DataFrame) -> np.ndarray:
+    """The most frequent shingles of the survey, sorted: as many whole classes of frequency as fit."""
+    counts = stage(seen.filter("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("n")).filter(F.col("n") >= LEAST_COMMON), "common")
+    # Frequencies by powers of two: at most 64 classes.
+    classes = sorted(((r["power"], r["m"]) for r in counts.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count(F.lit(1)).alias("m")).collect()), reverse=True)
+    least, total = 64, 0
+    for power, m in classes:
+        if total + m > MOST_COMMON:
+            break
+        least, total = power, total + m
+    found = counts.filter(F.floor(F.log2("n")) >= least).select("shingle").toArrow()["shingle"].to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
+def shingle_table(docs: DataFrame, halves: bool) -> DataFrame:
+    """(id, n, shingles): the sorted hashes of the shingles, or their distinct lower halves, as bytes."""
+    def packed(shingles: np.ndarray) -> bytes:
+        return (np.unique(shingles.astype(np.uint32)) if halves else shingles).tobytes()
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column(1))
             for at in range(0, len(texts), 500):
                 sets = [shingle_set(t.as_py(), WIDTH) for t in texts.slice(at, 500)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array([len(s) for s in sets], pa.int64()),
-                                                  pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "shingles"])
+                                                  pa.array([packed(s) for s in sets], pa.binary())], names=["id", "n", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"id {docs.schema['doc_id'].dataType.simpleString()}, n long, shingles binary")
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar, counted on the shingles."""
+def decide(x: np.ndarray, n_x: int, y: np.ndarray, n_y: int) -> bool | None:
+    """Whether two sets are similar, by the distinct halves of their hashes; None if that cannot tell.
+
+    Shingles that are not shared may share a half, so the count is too high by a few at most: the
+    expected number is known, and eight times that and five more are as good as impossible.  It is too low
+    by the halves that coincide within a set.
+    """
     top, bottom = ABOVE
+    least = -(-top * (n_x + n_y) // (top + bottom))       # shared shingles needed
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    if both + min(n_x - len(x), n_y - len(y)) < least:
+        return False
+    by_chance = 5 + 8 * (n_x - min(both, n_x)) * (n_y - min(both, n_y)) / 2.0 ** 32
+    return True if both - by_chance >= least else None
+
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    top, bottom = ABOVE
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both * bottom >= (len(x) + len(y) - both) * top
+
+
+def compared(pairs: DataFrame, sets: DataFrame, halves: bool) -> DataFrame:
+    """``pairs`` (a, b) with ``link``, null where halves cannot tell."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.uint32 if halves else np.uint64
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both * bottom >= (len(x) + len(y) - both) * top)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    side = lambda own, name: sets.select(F.col("id").alias(own), F.col("shingles").alias(name))
-    rows = pairs.join(side("a", "_x"), "a").join(side("b", "_y"), "b").select("a", "b", "_x", "_y")
+            told = []
+            for x, n_x, y, n_y in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5).to_pylist()):
+                x, y = np.frombuffer(x.as_py(), dtype=kind), np.frombuffer(y.as_py(), dtype=kind)
+                told.append(decide(x, n_x, y, n_y) if halves else similar(x, y))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(told, pa.bool_())], names=["a", "b", "link"])
+
+    def side(own: str) -> DataFrame:
+        """The sets that this side of the pairs needs; while they are few, no others are shuffled."""
+        ids = stage(pairs.select(F.col(own).alias("id")).distinct(), "ids")
+        found = sets.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= SMALL_ROWS else sets
+        return found.select(F.col("id").alias(own), F.col("shingles").alias(f"_{own}"), F.col("n").alias(f"_n{own}"))
+
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_a", "_na", "_b", "_nb")
     kind = pairs.schema["a"].dataType.simpleString()
-    return rows.mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.mapInArrow(run, f"a {kind}, b {kind}, link boolean")
+
+
+def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are similar; staged.
+
+    ``sets`` holds halves.  Pairs that these cannot decide are few; their texts are read again.
+    """
+    told = stage(compared(pairs, sets, True), "told")
+    sure = told.filter("link").select("a", "b")
+    unsure = told.filter("link is null").select("a", "b")
+    if unsure.isEmpty():
+        return sure
+    ids = stage(unsure.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    whole = stage(shingle_table(filtered(docs, ids, "left_semi"), False), "shingles")
+    return sure.unionByName(stage(compared(unsure, whole, False).filter("link").select("a", "b"), "linked"))
 
 
 def filtered(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -193,7 +253,7 @@ def filtered(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(side) if side.count() <= SMALL_ROWS else side.hint("merge"), "doc_id", how)
 
 
-def leader_rounds(members: DataFrame, sets: DataFrame) -> DataFrame | None:
+def leader_rounds(members: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame | None:
     """All links (a, b) needed to connect what ``members`` (signature, id) of equal signatures connect."""
     top, bottom = ABOVE
     found: DataFrame | None = None
@@ -205,8 +265,10 @@ def leader_rounds(members: DataFrame, sets: DataFrame) -> DataFrame | None:
         draw = F.xxhash64("id", F.lit(turn))
         buckets = state.groupBy("signature").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("_low"), F.max("c").alias("_high"),
                                                  F.min_by("id", draw).alias("_first")).filter("_low <> _high")
-        lead = (F.col("id") == F.col("_first")) | (F.pmod(draw, F.lit(1 << 20)) < F.lit(leaders << 20) / F.col("m"))
-        opened = stage(state.join(buckets.drop("_low", "_high"), "signature").withColumn("lead", lead).drop("_first", "m"), "open")
+        # Members outside the first component lead: once these have retired, the bucket is done.
+        aside = (F.col("c") != F.col("_low")) & (F.pmod(draw, F.lit(1 << 20)) < F.lit(leaders << 20) / F.col("m"))
+        lead = (F.col("id") == F.col("_first")) | aside
+        opened = stage(state.join(buckets.drop("_high"), "signature").withColumn("lead", lead).drop("_first", "_low", "m"), "open")
         if opened.isEmpty():
             return found
         heads = opened.filter("lead").select("signature", F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("c").alias("_c"))
@@ -218,7 +280,7 @@ def leader_rounds(members: DataFrame, sets: DataFrame) -> DataFrame | None:
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
-        new = stage(linked(pairs.select("a", "b"), sets), "linked")
+        new = linked(pairs.select("a", "b"), sets, docs)
         found = new if found is None else found.unionByName(new)
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         merged = least_reachable(pairs.join(new, ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
@@ -233,10 +295,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     seen = stage(survey(docs), "survey")
     sets_of = seen.filter("digest is not null").select("doc_id", "n", "digest")
     named = sets_of.filter("n > 0 and doc_id is not null")
-    n_docs = named.count()
-    least = max(3, n_docs // COMMON)
-    common = np.sort(np.array([r[0] for r in seen.filter("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("_n"))
-                               .filter(F.col("_n") >= least).select("shingle").toLocalIterator()], dtype=np.int64).view(np.uint64))
+    common = most_common(seen)
     # Equal sets: the smallest id stands for them.
     stands = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_rows"))
     reps = stage(stands, "sets")
@@ -252,8 +311,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     kept = stage(buckets.filter("m > 1").groupBy("m", "x", "y").agg(F.min("signature").alias("signature")).select("signature"), "buckets")
     members = stage(shared.join(kept, "signature").distinct(), "members")
     candidates = stage(members.select(F.col("id").alias("doc_id")).distinct(), "candidates")
-    sets = stage(shingle_table(filtered(alone, candidates, "left_semi")), "shingles")
-    links = leader_rounds(members, sets)
+    sets = stage(shingle_table(filtered(alone, candidates, "left_semi"), True), "shingles")
+    links = leader_rounds(members, sets, alone)
     # Ids with several texts connect these.
     several = sets_of.filter("n > 0 and doc_id is not null").join(reps.select("digest", "rep"), "digest")
     doubles = several.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("doc_id", "a")
