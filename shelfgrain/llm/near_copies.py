@@ -299,10 +299,18 @@ def near_copies(docs: DataFrame) -> DataFrame:
     # Equal sets: the smallest id stands for them.
     stands = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_rows"))
     reps = stage(stands, "sets")
-    others = stage(named.select("doc_id").distinct().join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti"), "copies")
+    ids = stage(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), "ids")
+    others = stage(ids.select("doc_id").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti"), "copies")
     alone = filtered(docs.select("doc_id", "text").filter("doc_id is not null"), others, "left_anti")
+    again = stage(ids.filter("_rows > 1").select("doc_id"), "repeated")
+    repeated = not again.isEmpty()
+    if repeated:
+        texts = stage(filtered(alone, again, "left_semi").distinct(), "texts")
+        alone = filtered(alone, again, "left_anti").unionByName(texts)
     salt = F.when(F.col("late"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0)
     made = enumerate_signatures(alone, common).withColumn("_salt", salt)
+    if repeated:
+        made = made.distinct()   # texts of one id may share signatures; a document is in a bucket once
     bucket = Window.partitionBy("signature", "_salt")
     # A signature of common shingles may be held by very many documents; these are kept unseen.
     shared = stage(made.withColumn("_m", F.count(F.lit(1)).over(bucket)).filter("late or _m > 1").select("signature", "id"), "shared")

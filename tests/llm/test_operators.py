@@ -156,6 +156,22 @@ def test_near_copies_of_many_sizes(spark):
     assert got == expected
 
 
+def test_near_copies_of_repeated_rows(spark):
+    """Rows that come twice, an uneven number of times, or as several versions of one id."""
+    rows = []
+    for group in range(6):
+        base = prose(300 + group, 80)
+        rows += [(2 * group, base), (2 * group + 1, edited(base, group, 0.02))]
+    rows += [(20 + k, prose(400 + k, 80)) for k in range(4)]
+    versions = [(30, prose(500, 80)), (30, prose(500, 80).upper()), (30, edited(prose(500, 80), 1, 0.02)), (31, edited(prose(500, 80), 2, 0.02))]
+    for given in (rows + rows, rows * 4, rows + rows[::2], rows + rows + versions, versions):
+        expected = plain.near_copies(given)
+        assert len(set(expected.values())) < len(expected)
+        docs = spark.createDataFrame(given, "doc_id long, text string")
+        got = near_copies.near_copies(docs).collect()
+        assert order((r.doc_id, r.component_id) for r in got) == order((i, expected[i]) for i, _ in given)
+
+
 def test_signatures_meet():
     """Any two similar sets have a chosen signature in common."""
     draw = np.random.default_rng(3)
