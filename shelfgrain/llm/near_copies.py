@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import ship_package, stage
-from .common import SMALL_ROWS, as_bytes, least_reachable, mixed, shingle_set
+from .common import SMALL_ROWS, as_bytes, fresh, least_reachable, mixed, shingle_set
 
 WIDTH = 5
 ABOVE = (3, 4)             # similarity, as a fraction
@@ -247,10 +247,10 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     return sure.unionByName(stage(compared(unsure, whole, False).filter("link").select("a", "b"), "linked"))
 
 
-def filtered(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """``docs`` whose id is (``left_semi``) or is not (``left_anti``) in ``ids``, without a shuffle while those are few."""
-    side = ids.select("doc_id")
-    return docs.join(F.broadcast(side) if side.count() <= SMALL_ROWS else side.hint("merge"), "doc_id", how)
+def filtered(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
+    """``docs`` whose ``key`` is (``left_semi``) or is not (``left_anti``) a doc_id of ``ids``, without a shuffle while those are few."""
+    side = ids.select(F.col("doc_id").alias(key))
+    return docs.join(F.broadcast(side) if side.count() <= SMALL_ROWS else side.hint("merge"), key, how)
 
 
 def leader_rounds(members: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame | None:
@@ -340,7 +340,25 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: those whose id names it."""
-    components = stage(near_copies(docs), "near-copies")
+    """One row of ``docs`` for each component: of the rows whose id names it, the one with the least digest.
+
+    Rows without id take part under the digest of their text, after all ids.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    key, keyed = "doc_id", docs
+    text = F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit(""))
+    if not docs.filter("doc_id is null").isEmpty():
+        key = fresh(docs, "_key")
+        keyed = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"),
+                                              F.when(F.col("doc_id").isNull(), text).alias("digest")))
+    components = stage(near_copies(keyed.select(F.col(key).alias("doc_id"), "text")), "near-copies")
     dropped = components.filter("component_id <> doc_id").select("doc_id").distinct()
-    return filtered(docs, stage(dropped, "dropped"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = filtered(keyed, stage(dropped, "dropped"), "left_anti", key)
+    again = stage(components.filter("component_id = doc_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return kept.select(*own)
+    row = F.struct(*[c.alias(f"c{k}") for k, c in enumerate(own)])
+    one = (filtered(kept, again, "left_semi", key).groupBy(F.col(key).alias("_id"))
+           .agg(F.min_by(row, F.struct(text, F.to_json(row))).alias("_row"))
+           .select(*[F.col(f"_row.c{k}").alias(c) for k, c in enumerate(docs.columns)]))
+    return filtered(kept, again, "left_anti", key).select(*own).unionByName(one)

@@ -172,6 +172,19 @@ def test_near_copies_of_repeated_rows(spark):
         assert order((r.doc_id, r.component_id) for r in got) == order((i, expected[i]) for i, _ in given)
 
 
+def test_one_of_each_of_repeated_rows(spark):
+    """One row stays of rows with the same id, and of copies without id."""
+    base, other, alone = prose(600, 80), prose(601, 80), prose(602, 80)
+    rows = [(1, base, "a"), (1, base, "b"), (2, edited(base, 1, 0.02), "c"), (None, edited(base, 2, 0.02), "d"),
+            (None, other, "e"), (None, other, "f"), (None, edited(other, 3, 0.02), "g"), (None, alone, "h"), (7, "", "i"), (7, "", "i")]
+    for given in (rows, rows + rows):
+        docs = spark.createDataFrame(given, "doc_id long, text string, `a.b` string").repartition(3)
+        got = near_copies.one_of_each(docs)
+        assert got.columns == docs.columns
+        left = [(r[0], r[2]) for r in got.collect()]
+        assert len(left) == 4 and {(1, "a"), (None, "h"), (7, "i")} < set(left) and set(left) & {(None, "e"), (None, "g")}
+
+
 def test_signatures_meet():
     """Any two similar sets have a chosen signature in common."""
     draw = np.random.default_rng(3)
