@@ -294,6 +294,14 @@ def test_packing(spark, odd, docs):
     assert packing.pack_documents(odd.limit(0)).count() == 0
 
 
+def test_packing_runs_are_bounded():
+    draw = random.Random(5)
+    for capacity in (1, 2, 7, 64, 2048):
+        for most in (1, 3, 1000, 10**9):
+            counts = {n: draw.randint(1, most) for n in range(1, capacity + 1)}
+            assert len(packing.plan_places(counts, capacity)) <= packing.most_runs(len(counts), capacity)
+
+
 def test_packing_plan():
     """The plan for classes against best fit, document by document."""
     for seed in range(30):
