@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -10,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.products import extract_products
 from ..session import work_path
 
+POLL_S = 0.5   # between two looks at the reports of a running stream
+
 
 def stream_products(pages: DataFrame, variant: str = "full", run_ts: Column | None = None) -> DataFrame:
     """Product records of pages as they land; the batch extraction is row-wise and is reused."""
@@ -51,18 +54,30 @@ def stream_stats(log: DataFrame, width: str) -> DataFrame:
     )
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that the watermark has dropped, as far as the query still reports its batches."""
-    return sum(state.get("numRowsDroppedByWatermark", 0) for report in query.recentProgress
-               for state in report["stateOperators"])
+def late_rows(query: StreamingQuery, seen: dict[int, int]) -> None:
+    """Note in ``seen`` how many rows the watermark has dropped in each batch with state that the query still reports."""
+    for report in query.recentProgress:
+        if report["stateOperators"]:
+            dropped = sum(state.get("numRowsDroppedByWatermark", 0) for state in report["stateOperators"])
+            seen[report["batchId"]] = max(dropped, seen.get(report["batchId"], 0))
+
 
+def _drain(query: StreamingQuery, label: str, timeout_s: float | None) -> dict[int, int]:
+    """Wait for the end; rows dropped by the watermark in each batch.
 
-def _drain(query: StreamingQuery, label: str, timeout_s: float | None) -> None:
-    if timeout_s is None:
-        query.awaitTermination()
-    elif not query.awaitTermination(timeout_s):
-        query.stop()
-        raise TimeoutError(f"stream {label} did not finish within {timeout_s} s")
+    A query reports its last batches only (100 unless set otherwise), so it is asked over and over.
+    """
+    seen: dict[int, int] = {}
+    end = None if timeout_s is None else time.monotonic() + timeout_s
+    while True:
+        left = POLL_S if end is None else min(POLL_S, end - time.monotonic())
+        done = left > 0 and query.awaitTermination(left)
+        late_rows(query, seen)
+        if done:
+            return seen
+        if end is not None and time.monotonic() >= end:
+            query.stop()
+            raise TimeoutError(f"stream {label} did not finish within {timeout_s} s")
 
 
 def run_to_table(stream: DataFrame, label: str, timeout_s: float | None = None) -> DataFrame:
@@ -77,9 +92,11 @@ def run_to_table(stream: DataFrame, label: str, timeout_s: float | None = None)
         .option("checkpointLocation", state).option("path", target)
         .trigger(availableNow=True).start()
     )
-    _drain(query, label, timeout_s)
-    if late := late_rows(query):
+    seen = _drain(query, label, timeout_s)
+    if late := sum(seen.values()):
         raise ValueError(f"stream {label}: {late} rows came later than the delay allows and were dropped")
+    if seen and len(seen) <= max(seen):   # batches are numbered from 0
+        raise ValueError(f"stream {label}: {max(seen) + 1 - len(seen)} batches went by unseen, so rows may have been dropped")
     return spark.read.schema(stream.schema).parquet(target)
 
 

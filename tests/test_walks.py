@@ -224,3 +224,25 @@ def test_places_out_of_range_are_refused(spark):
     links = spark.createDataFrame([("b", "l", 1 << 23, 0, 1)], "base_url string, link string, page_no int, selector_rank int, ord int")
     with pytest.raises(Exception, match="out of range"):
         catalog.first_links(links).collect()
+
+
+class Reporting:
+    """A query that runs ten batches between two looks and reports the last ``kept``; the second batch dropped three rows."""
+
+    def __init__(self, kept):
+        self.batch, self.kept = 0, kept
+
+    def awaitTermination(self, timeout=None):
+        self.batch = 60 if timeout is None else self.batch + 10
+        return self.batch >= 60
+
+    @property
+    def recentProgress(self):
+        return [{"batchId": k, "stateOperators": [{"numRowsDroppedByWatermark": 3 * (k == 1)}]} for k in range(max(0, self.batch - self.kept), self.batch)]
+
+
+def test_late_rows_of_batches_no_longer_reported():
+    assert sum(live._drain(Reporting(20), "x", None).values()) == 3
+    seen = live._drain(Reporting(20), "x", 100)
+    assert sorted(seen) == list(range(60)) and seen[1] == 3
+    assert len(live._drain(Reporting(5), "x", None)) < 60   # a gap, which ``run_to_table`` reports
