@@ -13,7 +13,7 @@ margins of sampled texts are all that comes to the driver.
 Defined cases: null, empty and wordless texts get the score of a text without features; labels
 without text, of no document or of a held-out document teach nothing; a document with several
 labels is toxic if any says so; without any toxic label the score is 0 everywhere; texts are read whole;
-repeated rows are scored alike; other columns are not read.
+repeated rows are scored alike, and the least text of an id is the one to learn from; other columns are not read.
 """
 
 from __future__ import annotations
@@ -113,7 +113,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
 
 
 def sample(df: DataFrame, most: int) -> DataFrame:
-    """About ``most`` rows at most, the same ones in every run, chosen by a hash of the id."""
+    """About ``most`` rows at most of distinct ids, the same ones in every run, chosen by a hash of the id."""
     n = df.count()
     return df if n <= most else df.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(most / n * (1 << 30)))
 
@@ -122,15 +122,19 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None
     """Average weights and bias, learnt from documents that are not held out; None without toxic labels."""
     ship_package(docs.sparkSession)
     may = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
-    marks = labels.filter(may & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
+    texts = docs.filter(may & F.col("text").isNotNull()).select("doc_id", "text")
+    ids = stage(texts.select("doc_id").distinct(), "ids")
+    marks = stage(labels.filter(may & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
+                  .join(ids, "doc_id", "left_semi"), "labels")
     n, toxic = marks.agg(F.count(F.lit(1)), F.sum("_toxic")).first()
     if not toxic:
         return None
-    texts = docs.filter(may & F.col("text").isNotNull()).select("doc_id", "text")
-    chosen = sample(marks.filter("_toxic > 0").select("doc_id"), POSITIVES * BAGS)   # bounded, so it may be broadcast
+    chosen = (sample(marks.filter("_toxic > 0").select("doc_id"), POSITIVES * BAGS).withColumn("toxic", F.lit(True))
+              .unionByName(sample(ids, UNLABELLED * BAGS).withColumn("toxic", F.lit(False))))   # bounded, so it may be broadcast
     bag = F.pmod(F.xxhash64("doc_id", F.lit("bag")), F.lit(BAGS)).cast("int").alias("bag")
-    rows = (texts.join(F.broadcast(stage(chosen, "toxic")), "doc_id", "left_semi").select(bag, F.lit(True).alias("toxic"), "text")
-            .unionByName(sample(texts, UNLABELLED * BAGS).select(bag, F.lit(False).alias("toxic"), "text")))
+    # Rows of one id are one text to learn from.
+    rows = (texts.join(F.broadcast(stage(chosen, "chosen")), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+            .select(bag, "toxic", "text"))
     made = stage(annotate_list(rows), "features")
     prior = float(toxic) / n
 

@@ -373,6 +373,21 @@ def test_toxicity(spark, odd):
     assert toxicity.score_documents(odd.limit(0), marks).count() == 0
 
 
+def test_toxicity_of_repeated_rows(spark):
+    """Repeated rows and labels of documents that are not at hand teach nothing more."""
+    rows = [(k, prose(k, 40) + (" loser clown" if k % 6 == 0 else "")) for k in range(200)]
+    schema, marked = "doc_id long, text string", "doc_id long, toxic int"
+    labels = [(k, int(k % 6 == 0)) for k in range(0, 200, 2)]
+
+    def scores(docs, marks):
+        return {r.doc_id: r.score for r in toxicity.score_documents(spark.createDataFrame(docs, schema), spark.createDataFrame(marks, marked)).collect()}
+
+    expected = scores(rows, labels)
+    for docs, marks in ((rows + [rows[6]] * 100 + [rows[8]] * 100, labels), (rows, labels + [(k, 1) for k in range(1000, 1300)])):
+        got = scores(docs, marks)
+        assert all(abs(got[k] - expected[k]) < 1e-6 for k in expected)
+
+
 def test_embeddings(spark, folder):
     draw = np.random.default_rng(8)
     rows = []
