@@ -118,3 +118,62 @@ reach AS (SELECT vec_id, vec_id AS seen FROM v UNION SELECT reach.vec_id, ways.b
 c AS (SELECT vec_id, min(seen) AS component_id FROM reach GROUP BY vec_id),
 n AS (SELECT a AS vec_id, count(*) AS n_links FROM ways GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
+
+def chats(control: str, marks: tuple[str, str, str], opening: tuple[str, ...], learnt: str) -> str:
+    """The formatted length is that of the marks, the texts, and one character for each that opens a control string."""
+    both = "role || text"
+    opened = " + ".join(f"length({both}) - length(replace({both}, '{x}', ''))" for x in opening)
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '{control}'), (-1, 1, 'assistant', '{control}')))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = '{learnt}'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = '{learnt}'), '')) AS loss_sha256,
+  sum({sum(map(len, marks))} + length({both}) + {opened})::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
+def ranked_search(best: int) -> str:
+    terms = r"regexp_extract_all({text}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(text=LOWERED.format(text="coalesce(text, '')"))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {terms} AS terms FROM documents),
+x AS (SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+p AS (SELECT k, doc_id, n, term, count(*) AS tf FROM (SELECT k, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight FROM f, x),
+i AS (SELECT row_number() OVER () AS item, item_id, {terms} AS terms FROM benchmark),
+q AS (SELECT DISTINCT item, item_id, unnest(terms) AS term FROM i),
+s AS (
+  SELECT item, item_id, k, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term), x GROUP BY ALL),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= {best}"""
+
+
+def vector_codes(parts: int, entries: int, rounds: int, scale: int) -> str:
+    """Every part compared to every entry, round by round."""
+    steps = [f"""
+v AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS k, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT k, part, e[part * len(e) // {parts} + 1:(part + 1) * len(e) // {parts}] AS own FROM v, range({parts}) AS r(part)),
+b0 AS (SELECT part, k - 1 AS entry, own FROM p WHERE k <= {entries})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS (
+  SELECT p.k, p.part, min((list_sum(list_transform(range(1, len(p.own) + 1), lambda i: (p.own[i] - b.own[i]) * (p.own[i] - b.own[i])))::BIGINT, entry)) AS best
+  FROM p JOIN b{n} b ON p.part = b.part GROUP BY ALL)""".replace("min((", "min(struct_pack(d := ").replace("::BIGINT, entry))", "::BIGINT, entry := entry))"))
+        if n < rounds:
+            steps.append(f"""
+m{n} AS (
+  SELECT part, entry, list((s - ((s % c) + c) % c) // c ORDER BY i) AS own FROM (
+    SELECT part, best.entry AS entry, i, sum(own[i])::BIGINT AS s, count(*) AS c FROM (
+      SELECT part, best, own, unnest(range(1, len(own) + 1)) AS i FROM a{n} JOIN p USING (k, part)) GROUP BY ALL) GROUP BY ALL),
+b{n + 1} AS (SELECT part, entry, coalesce(m{n}.own, b{n}.own) AS own FROM b{n} LEFT JOIN m{n} USING (part, entry))""")
+    steps.append(f"""
+c AS (SELECT k, string_agg(lower(printf('%02x', best.entry)), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY k),
+h AS (SELECT sha256(string_agg(array_to_string(own, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})""")
+    return "WITH" + ",".join(steps) + """
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM v JOIN c USING (k), h"""

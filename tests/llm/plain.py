@@ -3,6 +3,8 @@
 import base64
 import collections
 import hashlib
+import json
+import math
 import re
 import zlib
 
@@ -125,3 +127,108 @@ def near_vectors(vectors, least=0.95):
             good.append((k, np.array(v, dtype=float) / np.linalg.norm(np.array(v, dtype=float))))
     links = [(a, b) for n, (a, x) in enumerate(good) for b, y in good[:n] if len(x) == len(y) and (x * y).sum() >= least]
     return links
+
+
+def vector_codes(rows, largest, parts=4, entries=256, rounds=4):
+    """Every part compared to every entry in every round; rows are (id, vector, label)."""
+    good = [(i, v, label) for i, v, label in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    if not good:
+        return []
+    each = -(-max(len(v) for _, v, _ in good) // parts)
+    most = largest(each * parts)
+
+    def whole(v):
+        return [int(max(-most, min(most, math.floor(1024 * float(np.float32(x)))))) for x in v] + [0] * (each * parts - len(v))
+
+    good = sorted(((i, whole(v), label) for i, v, label in good), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    vectors = np.array([v for _, v, _ in good], dtype=np.int64).reshape(len(good), parts, each)
+    books = [vectors[:entries, p].copy() for p in range(parts)]
+
+    def nearest(p):
+        distances = np.array([((vectors[:, p] - e) ** 2).sum(axis=1) for e in books[p]])
+        return distances.argmin(axis=0), distances.min(axis=0)
+
+    for _ in range(rounds):
+        for p in range(parts):
+            own = nearest(p)[0]
+            for e in range(len(books[p])):
+                if (own == e).any():
+                    books[p][e] = vectors[own == e, p].sum(axis=0) // (own == e).sum()
+    last = [nearest(p) for p in range(parts)]
+    sha = hashlib.sha256(",".join(str(x) for b in books for x in b.ravel().tolist()).encode()).hexdigest()
+    errors = sum(d for _, d in last)
+    by_label = collections.Counter()
+    for (_, _, label), e in zip(good, errors):
+        by_label[label] += int(e)
+    return [(i, "".join(f"{own[k]:02x}" for own, _ in last), int(errors[k]), by_label[label], sha) for k, (i, _, label) in enumerate(good)]
+
+
+def terms(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lowered(text))
+
+
+def ranked_search(docs, items, best=50):
+    counted = [(i, collections.Counter(terms(t))) for i, t in docs]
+    counted = [(i, c, sum(c.values())) for i, c in counted if c]
+    n_docs, total = len(counted), sum(n for _, _, n in counted)
+    df = collections.Counter(t for _, c, _ in counted for t in c)
+    out = []
+    for item, text in items:
+        scores = []
+        for doc, c, n in counted:
+            m = 100 - 50 + (50 * n * n_docs) // total
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((1000000000 * c[t]) // (1000 * c[t] + 20 * m)) for t in set(terms(text)) if t in c)
+            if score > 0:
+                scores.append((-score, doc is None, doc or 0, doc))
+        out += [(item, k + 1, doc, -score) for k, (score, _, _, doc) in enumerate(sorted(scores, key=lambda s: s[:3])[:best])]
+    return out
+
+
+def chat_text(turns):
+    def safe(x):
+        return re.sub(r"([<\[])", r"\1\\", x or "")
+    return "".join(f"<|im_start|>{safe(role)}<|im_sep|>{safe(text)}<|im_end|>" for role, text in turns)
+
+
+def chats(rows):
+    """Digests of conversations (conv, turn, role, text), from the rows themselves."""
+    out = []
+    for conv in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == conv]
+        # Turns of one number stand in any order that does not depend on their places: here by the digest the operator states.
+        own.sort(key=lambda r: (r[1] is None, r[1] or 0, turn_digest(r[2], r[3])))
+        turns = [(r[2] or "", r[3] or "") for r in own]
+        loss = "".join(t for role, t in turns if role == "assistant")
+        out.append((conv, len(turns), hashlib.sha256("".join(f"{role}\n{t}\n" for role, t in turns).encode()).hexdigest(), len(loss),
+                    hashlib.sha256(loss.encode()).hexdigest(), len(chat_text(turns))))
+    return out
+
+
+def turn_digest(role, text):
+    return hashlib.sha256(json.dumps({k: v for k, v in (("role", role), ("text", text)) if v is not None}, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()[:24]
+
+
+def reply_paths(rows, best):
+    """(tree, formatted) of the best root-to-leaf paths, by walking down from every root."""
+    out = []
+    for tree in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == tree]
+        names = {r[1] for r in own if r[1] is not None}
+        below = collections.defaultdict(list)
+        for r in own:
+            below[r[2] if r[2] in names and r[2] != r[1] else None].append(r)
+        paths = []
+
+        def walk(path):
+            last = path[-1]
+            found = below[last[1]] if last[1] is not None else []
+            if not found:
+                paths.append(path)
+            for r in found:
+                walk([*path, r])
+
+        for r in below[None]:
+            walk([r])
+        paths.sort(key=lambda p: (-sum(r[5] or 0 for r in p), -len(p), json.dumps(p[-1][1] if p[-1][1] is None else f"={p[-1][1]}")))
+        out += [(tree, chat_text([(r[3], r[4]) for r in p])) for p in paths[:best]]
+    return out
