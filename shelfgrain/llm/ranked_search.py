@@ -243,7 +243,10 @@ def search_block(docs: DataFrame, queries: list[set[bytes]]) -> DataFrame | None
         for row in bundles.filter("last is not null").groupBy("query").agg(F.max("last").alias("last")).collect():
             least[row["query"]] = max(least[row["query"]], row["last"])
     bounds = spark.createDataFrame(list(enumerate(least)), "query int, least long")
-    found = sized_stage(unpacked(bundles).join(F.broadcast(bounds), "query").filter("score >= least").drop("least"), "found")
+    # Places of equal score are told apart by id only now; a slice has already left out what its own ids decide.
+    first = Window.partitionBy("query").orderBy(F.desc("score"))
+    found = unpacked(bundles).join(F.broadcast(bounds), "query").filter("score >= least").withColumn("_rank", F.rank().over(first))
+    found = sized_stage(found.filter(F.col("_rank") <= BEST).select("slice", "place", "query", "score"), "found")
     return surveyed.select("slice", "place", "doc_id").join(found, ["slice", "place"]).select("query", "doc_id", "score")
 
 
