@@ -32,11 +32,14 @@ n AS (SELECT doc_id, count(*) AS copies FROM taken WHERE upto <= (SELECT sum(siz
 SELECT doc_id, size, source_size, target, (coalesce(copies, 0) * size)::BIGINT AS taken FROM q LEFT JOIN n USING (doc_id)"""
 
 
-def quality(lengths: tuple[int, ...], in_ngrams: float, in_lines: float, symbols: float, least_words: int, repeated: int) -> str:
+def quality(in_ngrams: dict[int, float], in_lines: float, symbols: float, least_words: int, repeated: int) -> str:
     """Every n-gram written out; a word is covered if a repeated n-gram begins at most n - 1 words before it."""
     grams = "\nUNION ALL ".join(
         f"SELECT doc_id, k, chars, {n} AS n, CASE WHEN k + {n - 1} <= n_words THEN array_to_string(words[k:k + {n - 1}], ' ') END AS gram FROM w"
-        for n in (3, *lengths))
+        for n in (3, *in_ngrams))
+    inside = ", ".join(f"max(chars_inside) FILTER (n = {n}) AS inside_{n}" for n in in_ngrams)
+    share = "coalesce(inside_{n}::DOUBLE / nullif(word_chars, 0), 0)"
+    too_many = " OR ".join(f"{share.format(n=n)} > {limit}" for n, limit in in_ngrams.items())
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS.format(text="coalesce(text, '')")} AS words FROM documents),
 w AS (SELECT doc_id, words, len(words) AS n_words, unnest(range(1, len(words) + 1)) AS k, unnest(list_transform(words, lambda x: length(x))) AS chars FROM d),
@@ -48,7 +51,7 @@ c AS (
   SELECT *, coalesce(max(CASE WHEN again THEN k END) OVER (PARTITION BY doc_id, n ORDER BY k) > k - n, false) AS inside FROM r),
 m AS (SELECT doc_id, n, count(*) FILTER (inside) AS n_inside, coalesce(sum(chars) FILTER (inside), 0) AS chars_inside FROM c GROUP BY ALL),
 b AS (
-  SELECT doc_id, max(n_inside) FILTER (n = 3) AS n_repeat_words, max(chars_inside) FILTER (n <> 3) AS chars_inside FROM m GROUP BY doc_id),
+  SELECT doc_id, max(n_inside) FILTER (n = 3) AS n_repeat_words, {inside} FROM m GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
 x AS (
   SELECT doc_id, k > min(k) OVER (PARTITION BY doc_id, line) AS again, list_sum(list_transform({WORDS.format(text='line')}, lambda x: length(x))) AS chars
@@ -57,12 +60,13 @@ y AS (SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(chars)
 f AS (
   SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
-    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(chars_again, 0)::BIGINT AS chars_again, coalesce(chars_inside, 0)::BIGINT AS chars_inside
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(chars_again, 0)::BIGINT AS chars_again, {', '.join(f'inside_{n}' for n in in_ngrams)}
   FROM d LEFT JOIN b USING (doc_id) LEFT JOIN y USING (doc_id)),
 v AS (
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, coalesce(chars_again::DOUBLE / nullif(word_chars, 0), 0) AS in_lines,
-    coalesce(chars_inside::DOUBLE / nullif(word_chars, 0), 0) AS in_ngrams, n_words < {least_words} OR 100 * n_repeat_words > {repeated} * n_words AS base_failed FROM f)
-SELECT *, NOT (base_failed OR in_ngrams > {in_ngrams} OR in_lines > {in_lines} OR n_symbols > {symbols} * n_words) AS kept FROM v"""
+    greatest({', '.join(share.format(n=n) for n in in_ngrams)}) AS in_ngrams, n_words < {least_words} OR 100 * n_repeat_words > {repeated} * n_words AS base_failed,
+    {too_many} OR coalesce(chars_again::DOUBLE / nullif(word_chars, 0), 0) > {in_lines} AS too_repetitive FROM f)
+SELECT *, NOT (base_failed OR too_repetitive OR n_symbols > {symbols} * n_words) AS kept FROM v"""
 
 
 def near_copies(width: int, top: int, bottom: int) -> str:

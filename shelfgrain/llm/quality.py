@@ -2,11 +2,10 @@
 
 For several lengths n, rolling hashes of all word n-grams show which were seen before in the
 text; the characters of the words that they cover, and those of repeated lines, are measured
-against all characters of words.  A text is dropped when any of these shares passes its limit,
-when symbols abound, or when it fails the base rules.
-
-Lines that only come back once or twice in a short text are usual in good documents; the limits
-leave those alone and catch texts made of repetitions.
+against all characters of words.  A text is too repetitive when any of these shares passes its
+limit; longer n-grams have lower limits, as a longer passage comes back by chance less often.  The
+limits are those published for the filters of MassiveText, far below what the base rules imply (half of the words).
+A text is dropped when it is too repetitive, when symbols abound, or when it fails the base rules.
 
 Defined cases: null and empty texts have no words and fail the base rules; texts of any length are
 measured whole; every row is judged by itself, so ties, repeated rows and other columns do
@@ -21,9 +20,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import WHITE, annotate, fresh, mixed, rolling, word_spans
 
-LENGTHS = (5, 7, 10)
-MOST_IN_NGRAMS = 0.5     # share of characters in n-grams seen before, for any length
-MOST_IN_LINES = 0.5      # share of characters in lines seen before
+MOST_IN_NGRAMS = {5: 0.15, 7: 0.13, 10: 0.10}   # share of characters in n-grams seen before, by length
+MOST_IN_LINES = 0.2      # share of characters in lines seen before
 MOST_SYMBOLS = 0.1       # symbols per word
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS = 50
@@ -32,9 +30,9 @@ MOST_REPEATED = 50       # per cent of words in windows of three words that come
 FIELDS = T.StructType([
     *[T.StructField(name, T.LongType()) for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
     T.StructField("in_lines", T.DoubleType()), T.StructField("in_ngrams", T.DoubleType()),
-    T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())])
+    T.StructField("base_failed", T.BooleanType()), T.StructField("too_repetitive", T.BooleanType()), T.StructField("kept", T.BooleanType())])
 _ARROW = pa.struct([*[(name, pa.int64()) for name in FIELDS.names[:5]], ("in_lines", pa.float64()), ("in_ngrams", pa.float64()),
-                    ("base_failed", pa.bool_()), ("kept", pa.bool_())])
+                    ("base_failed", pa.bool_()), ("too_repetitive", pa.bool_()), ("kept", pa.bool_())])
 _not_symbols = bytes(set(range(256)) - set(SYMBOLS))
 
 
@@ -74,7 +72,7 @@ def measure(text: bytes | None) -> tuple:
     words = text.split()
     n = len(words)
     if not n:
-        return 0, 0, len(text.translate(None, _not_symbols)), 0, 0, 0.0, 0.0, True, False
+        return 0, 0, len(text.translate(None, _not_symbols)), 0, 0, 0.0, 0.0, True, False, False
     known: dict[bytes, int] = {}
     ids = np.fromiter((known.setdefault(w, len(known)) for w in words), dtype=np.int64, count=n)
     begun = np.zeros(len(data) + 1, dtype=np.int64)      # code points begun before each byte
@@ -95,14 +93,15 @@ def measure(text: bytes | None) -> tuple:
             else:
                 seen.add(line)
         at += len(line) + 1
-    shares = [0.0]
+    most, repetitive = 0.0, in_lines / total > MOST_IN_LINES
     hashes = mixed(ids.astype(np.uint64) + np.uint64(1))
-    for width in LENGTHS:
+    for width, limit in MOST_IN_NGRAMS.items():
         if n > width:
-            shares.append(float(chars[covered(repeats(rolling(hashes, width), False), width, n)].sum()) / total)
+            share = float(chars[covered(repeats(rolling(hashes, width), False), width, n)].sum()) / total
+            most, repetitive = max(most, share), repetitive or share > limit
     failed = n < LEAST_WORDS or 100 * repeated > MOST_REPEATED * n
-    kept = not (failed or max(shares) > MOST_IN_NGRAMS or in_lines > MOST_IN_LINES * total or symbols > MOST_SYMBOLS * n)
-    return n, total, symbols, dup_lines, repeated, in_lines / total, max(shares), failed, kept
+    kept = not (failed or repetitive or symbols > MOST_SYMBOLS * n)
+    return n, total, symbols, dup_lines, repeated, in_lines / total, most, failed, repetitive, kept
 
 
 def facts(texts: pa.Array) -> pa.Array:

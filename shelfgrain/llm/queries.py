@@ -100,7 +100,7 @@ QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLE: dict[str, str] = {
     "op1_mixing": oracle.mixing((1, 2, 3), mixing.MOST_REPEATS),
-    "op2_quality_rules": oracle.quality(quality.LENGTHS, quality.MOST_IN_NGRAMS, quality.MOST_IN_LINES, quality.MOST_SYMBOLS,
+    "op2_quality_rules": oracle.quality(quality.MOST_IN_NGRAMS, quality.MOST_IN_LINES, quality.MOST_SYMBOLS,
                                         quality.LEAST_WORDS, quality.MOST_REPEATED),
     "op3_ngram_jaccard": oracle.near_copies(similar.WIDTH, *similar.ABOVE),
     "op4_warc": oracle.archives(0),

@@ -44,18 +44,20 @@ def repeated_share(text, width):
     return sum(len(found[k]) for k in inside) / max(1, sum(map(len, found)))
 
 
-def kept(text):
+def too_repetitive(text):
     found = words(text)
-    if base_measures(text)[5]:
-        return False
     seen, chars = set(), 0
-    for line in text.split("\n"):
+    for line in (text or "").split("\n"):
         if words(line):
             chars += sum(map(len, words(line))) if line in seen else 0
             seen.add(line)
     total = sum(map(len, found))
-    return not (any(len(found) > n and repeated_share(text, n) > 0.5 for n in (5, 7, 10)) or chars > 0.5 * total
-                or sum(text.count(c) for c in "#*$%&|<>") > 0.1 * len(found))
+    limits = {5: 0.15, 7: 0.13, 10: 0.10}
+    return any(len(found) > n and repeated_share(text, n) > limit for n, limit in limits.items()) or total > 0 and chars / total > 0.2
+
+
+def kept(text):
+    return not (base_measures(text)[5] or too_repetitive(text) or sum(text.count(c) for c in "#*$%&|<>") > 0.1 * len(words(text)))
 
 
 def components(nodes, links):

@@ -106,6 +106,25 @@ def test_mixing_near_targets(spark):
         assert abs(r[1] - r[2]) <= 0.02 * r[1] + 20
 
 
+def test_quality_coverage_alone_decides(spark):
+    """Texts that pass the base rules and hold no symbols: whether they stay is decided by coverage."""
+    passage, line = prose(70, 60), "a line of eight words that comes again"
+    own = [prose(100 + k, 70) for k in range(12)]
+    texts = {
+        "passage of 60 words eight times in 1,000": (" ".join(x for k in range(8) for x in (passage, own[k])), False),
+        "two passages of 10 words, often": (" ".join(" ".join([prose(90, 10), *own[k].split()[:20]]) for k in range(12)), False),
+        "a line six times among others": ("\n".join(x for k in range(6) for x in (line, own[k][:120])), False),
+        "a line twice in a long text": ("\n".join([line, *own[:4], line]), True),
+        "a passage quoted once more": (" ".join([*own[:8], " ".join(own[0].split()[:30])]), True),
+        "no repetition": (" ".join(own), True),
+    }
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id string, text string")
+    got = {r.doc_id: r for r in quality.judge_documents(frame).collect()}
+    for name, (text, stays) in texts.items():
+        assert not got[name].base_failed and got[name].n_symbols == 0, name
+        assert (got[name].too_repetitive, got[name].kept) == (not stays, stays) == (plain.too_repetitive(text), plain.kept(text)), name
+
+
 def test_quality(spark, odd, docs):
     for given in (odd, docs):
         texts = {}
@@ -115,7 +134,7 @@ def test_quality(spark, odd, docs):
         assert len(got) == sum(map(len, texts.values()))
         for r in got:
             measured = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
-            assert (measured, r.kept) in [(plain.base_measures(t), plain.kept(t)) for t in texts[r.doc_id]]
+            assert (measured, r.too_repetitive, r.kept) in [(plain.base_measures(t), plain.too_repetitive(t), plain.kept(t)) for t in texts[r.doc_id]]
         good = quality.good_documents(given)
         assert good.columns == given.columns and good.count() == sum(r.kept for r in got)
     assert quality.judge_documents(odd.limit(0)).count() == 0
