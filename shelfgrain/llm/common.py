@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Send rows to Python by hundreds, not by ten thousands: a row may hold a whole text or set."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(500, rows) if rows > 0 else 500))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows no model may learn from: crc32 of the id as text leaves 1 when divided by 3.
 

@@ -12,12 +12,16 @@ these: shingles that come in several texts of a task, added up over the tasks; t
 ``MOST_COMMON`` go out to the tasks, which bounds the broadcast.  The order never changes the result, only the
 number of candidates.
 
-Equal sets are collapsed first.  Buckets of equal signatures are searched in rounds by leaders: in
-each round a few members of a bucket are compared to its members in other components and retire;
-linked components merge; a bucket is done when its members left are in one component.  So no
-bucket sits in one task as a whole, and pairs inside a component are not made.  Every pair is decided
-on the shingles themselves: halves of their hashes bound the intersection from above, which
-settles nearly all pairs; pairs so close to the limit that chance could decide take the whole hashes.
+Equal sets are collapsed first.  Up to ``FEW`` members of a bucket of equal signatures are compared with each other.
+A larger bucket has a leader, the member that shares the most of its signatures, and all members are compared to it.  Those linked to it are in one
+component, whatever links them to each other.  For the rest the domain is partitioned anew, into
+what is common with the leader and what differs from it: with D(x) the shingles in which x and its leader differ, x and y of
+sizes a and b are similar only if D(x) and D(y) share (|D(x)| + |D(y)| - (a + b)(1 - g)/(1 + g)) / 2
+shingles.  If one of them is not linked to the leader, that is at least one, and usually more than
+half of them: the signatures of a member on this level are the first shingles of its D, own ones
+before those it lacks, as many as that bound asks for, and the place of a shared one bounds what can still be shared.  So a group of near copies
+is a star around its leader plus few pairs, whatever its size.  Pairs inside a component are not made.
+All pairs are decided on the shingles themselves, by 48 bits of their hashes.
 
 Defined cases: null, empty and wordless texts have no shingles, link with nothing and are
 components of their own; texts with fewer words than a shingle have one; rows without id have no
@@ -29,13 +33,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import ship_package, stage
-from .common import SMALL_ROWS, as_bytes, fresh, least_reachable, mixed, shingle_set
+from ..operators.joins import lookup_join
+from ..session import ship_package, sized, stage
+from .common import SMALL_ROWS, as_bytes, fresh, least_reachable, mixed, shingle_set, short_batches
 
 WIDTH = 5
 ABOVE = (3, 4)             # similarity, as a fraction
@@ -45,7 +51,9 @@ MOST_COMMON = 1 << 20      # common shingles, at most: 8 MB
 LEAST_COMMON = 3           # texts that have a common shingle, at least
 PENDING = 1 << 21          # shingles counted at once in a task
 SALTS = 64
-LEADERS = (1, 32, 1024)    # members of a bucket that are compared in a round; the last number is repeated
+BYTES = 6                  # of a shingle's hash, where sets are compared
+GROUP = 64                 # sets compared to a leader in one go
+FEW = 8                    # members of a bucket that need no leader
 
 
 def differences(size: int) -> int:
@@ -172,79 +180,158 @@ def most_common(seen: DataFrame) -> np.ndarray:
     return np.sort(found.astype(np.int64).view(np.uint64))
 
 
-def shingle_table(docs: DataFrame, halves: bool) -> DataFrame:
-    """(id, n, shingles): the sorted hashes of the shingles, or their distinct lower halves, as bytes."""
-    def packed(shingles: np.ndarray) -> bytes:
-        return (np.unique(shingles.astype(np.uint32)) if halves else shingles).tobytes()
+def packed(shingles: np.ndarray) -> bytes:
+    return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
 
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // BYTES, 8), dtype=np.uint8)
+    out[:, :BYTES] = np.frombuffer(data, dtype=np.uint8).reshape(-1, BYTES)
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+def shortened(shingles: np.ndarray) -> np.ndarray:
+    """Sorted distinct low bytes of hashes."""
+    return np.unique(shingles & np.uint64((1 << 8 * BYTES) - 1))
+
+
+def shingle_table(docs: DataFrame) -> DataFrame:
+    """(id, n, shingles): the sorted hashes of the shingles, shortened, as bytes."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column(1))
             for at in range(0, len(texts), 500):
-                sets = [shingle_set(t.as_py(), WIDTH) for t in texts.slice(at, 500)]
+                sets = [shortened(shingle_set(t.as_py(), WIDTH)) for t in texts.slice(at, 500)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array([len(s) for s in sets], pa.int64()),
                                                   pa.array([packed(s) for s in sets], pa.binary())], names=["id", "n", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"id {docs.schema['doc_id'].dataType.simpleString()}, n long, shingles binary")
 
 
-def decide(x: np.ndarray, n_x: int, y: np.ndarray, n_y: int) -> bool | None:
-    """Whether two sets are similar, by the distinct halves of their hashes; None if that cannot tell.
+def linked(d: Column, n: Column, m: Column) -> Column:
+    """Whether sets of sizes n and m that differ in d shingles are similar."""
+    top, bottom = ABOVE
+    return d * (top + bottom) <= (n + m) * (bottom - top)
+
 
-    Shingles that are not shared may share a half, so the count is too high by a few at most: the
-    expected number is known, and eight times that and five more are as good as impossible.  It is too low
-    by the halves that coincide within a set.
+def listed(d: int, n: int, leader: int, near: bool) -> int:
+    """How many of the differences to its leader a set lists.
+
+    All that may be the first one shared with a similar set.  If the set is ``near``, linked to
+    the leader, only similar sets that are not matter.
     """
     top, bottom = ABOVE
-    least = -(-top * (n_x + n_y) // (top + bottom))       # shared shingles needed
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    if both + min(n_x - len(x), n_y - len(y)) < least:
-        return False
-    by_chance = 5 + 8 * (n_x - min(both, n_x)) * (n_y - min(both, n_y)) / 2.0 ** 32
-    return True if both - by_chance >= least else None
+    least = max(1, d - n * (bottom - top) // top)                                # the other set is at most n/g in size
+    if near:
+        least = max(least, -(-((top + bottom) * d + (leader - n) * (bottom - top) + 1) // (2 * (top + bottom))))
+    return max(0, d - least + 1)
 
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
-    top, bottom = ABOVE
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both * bottom >= (len(x) + len(y) - both) * top
+def told(pairs: DataFrame, sets: DataFrame, common: np.ndarray) -> DataFrame:
+    """``pairs`` (c, id, led) with sizes nc and n, the number d of shingles in which they differ and, where c leads, those the set lists; staged."""
+    late = shortened(common).astype(np.int64)
+    kind = pairs.schema["c"].dataType.simpleString()
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, d, lists = [], [], [], []
+            before, head = None, np.empty(0, dtype=np.int64)
+            for x, c, led in zip(batch.column("shingles").to_pylist(), batch.column("head").to_pylist(), batch.column("led").to_pylist()):
+                if c != before:
+                    before, head = c, unpacked(c)
+                own = unpacked(x)
+                shared = np.isin(own, head, assume_unique=True)
+                both = int(shared.sum())
+                n.append(len(own))
+                m.append(len(head))
+                d.append(len(own) + len(head) - 2 * both)
+                near = d[-1] * sum(ABOVE) <= (n[-1] + m[-1]) * (ABOVE[1] - ABOVE[0])
+                count = listed(d[-1], n[-1], m[-1], near) if led else 0
+                added = own[~shared] if led else own[:0]
+                if len(added) and len(late):
+                    added = added[np.argsort(late[np.minimum(np.searchsorted(late, added), len(late) - 1)] == added, kind="stable")]
+                if count > len(added):
+                    added = np.concatenate((added, np.setdiff1d(head, own, assume_unique=True)))
+                lists.append(packed(added[:count].astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("id"), batch.column("led"), pa.array(m, pa.int64()), pa.array(n, pa.int64()),
+                                              pa.array(d, pa.int64()), pa.array(lists, pa.binary())], names=["c", "id", "led", "nc", "n", "d", "differences"])
+
+    heads = stage(pairs.groupBy("c").agg(F.count(F.lit(1)).alias("_rows")), "leaders").withColumn("blocks", F.ceil(F.col("_rows") / GROUP))
+    rows = lookup_join(pairs, heads.select("c", "blocks"), heads, "c").select("c", "id", "led", F.pmod(F.xxhash64("id"), "blocks").alias("block"))
+    own = sets.select("id", "shingles").join(sized(rows), "id")
+    whole = (sets.select(F.col("id").alias("c"), F.col("shingles").alias("head")).join(sized(heads.select("c", "blocks")), "c")
+             .select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "head"))
+    return stage(own.join(whole, ["c", "block"]).select("c", "id", "led", "shingles", "head")
+                 .mapInArrow(run, f"c {kind}, id {kind}, led boolean, nc long, n long, d long, differences binary"), "told")
+
+
+def differences_listed(rows: DataFrame) -> DataFrame:
+    """One row per listed shingle of ``rows`` (c, id, n, d, component, differences), with its place and a key for leader and shingle."""
+    kind = rows.schema["c"].dataType.simpleString()
 
-def compared(pairs: DataFrame, sets: DataFrame, halves: bool) -> DataFrame:
-    """``pairs`` (a, b) with ``link``, null where halves cannot tell."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.uint32 if halves else np.uint64
         for batch in batches:
-            told = []
-            for x, n_x, y, n_y in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5).to_pylist()):
-                x, y = np.frombuffer(x.as_py(), dtype=kind), np.frombuffer(y.as_py(), dtype=kind)
-                told.append(decide(x, n_x, y, n_y) if halves else similar(x, y))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(told, pa.bool_())], names=["a", "b", "link"])
+            lists = [unpacked(x) for x in batch.column("differences").to_pylist()]
+            sizes = np.array([len(x) for x in lists], dtype=np.int64)
+            if sizes.sum():
+                at = pa.array(np.repeat(np.arange(len(lists)), sizes))
+                place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                leader = np.repeat(batch.column("leader").to_numpy().view(np.uint64), sizes)
+                key = mixed(leader ^ mixed(np.concatenate(lists).astype(np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in ("id", "n", "d", "component")], pa.array(place.astype(np.int32)), pa.array(key)],
+                                                 names=["id", "n", "d", "component", "place", "key"])
+
+    return rows.select(F.xxhash64("c").alias("leader"), "id", F.col("n").cast("int"), F.col("d").cast("int"), "component", "differences").mapInArrow(
+        run, f"id {kind}, n int, d int, component {kind}, place int, key long")
 
-    def side(own: str) -> DataFrame:
-        """The sets that this side of the pairs needs; while they are few, no others are shuffled."""
-        ids = stage(pairs.select(F.col(own).alias("id")).distinct(), "ids")
-        found = sets.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= SMALL_ROWS else sets
-        return found.select(F.col("id").alias(own), F.col("shingles").alias(f"_{own}"), F.col("n").alias(f"_n{own}"))
 
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_a", "_na", "_b", "_nb")
-    kind = pairs.schema["a"].dataType.simpleString()
-    return rows.mapInArrow(run, f"a {kind}, b {kind}, link boolean")
+def with_component(rows: DataFrame, key: str, components: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the component of ``key``, which is itself where nothing is linked."""
+    moved = components.filter("node <> component").select(F.col("node").alias(key), F.col("component").alias("_to"))
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    return lookup_join(rows, moved, counts, key, "left").withColumn(name, F.coalesce("_to", key)).drop("_to")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar; staged.
+def bucket_links(members: DataFrame, sets: DataFrame, common: np.ndarray) -> DataFrame:
+    """Links (a, b) that connect all that similar ``members`` (signature, id, m) of equal signatures connect; staged.
 
-    ``sets`` holds halves.  Pairs that these cannot decide are few; their texts are read again.
+    ``m`` is the number of members that a signature has.
     """
-    told = stage(compared(pairs, sets, True), "told")
-    sure = told.filter("link").select("a", "b")
-    unsure = told.filter("link is null").select("a", "b")
-    if unsure.isEmpty():
-        return sure
-    ids = stage(unsure.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    whole = stage(shingle_table(filtered(docs, ids, "left_semi"), False), "shingles")
-    return sure.unionByName(stage(compared(unsure, whole, False).filter("link").select("a", "b"), "linked"))
+    top, bottom = ABOVE
+    few = members.filter(F.col("m") <= FEW).groupBy("signature").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    first = few.select("ids", F.explode(F.sequence(F.lit(1), F.size("ids") - 1)).alias("k"))
+    among = first.select(F.element_at("ids", F.col("k")).alias("c"), F.explode(F.slice("ids", F.col("k") + 1, F.lit(FEW))).alias("id"), F.lit(False).alias("led"))
+    many = members.filter(F.col("m") > FEW)
+    weights = stage(many.groupBy("id").agg(F.count(F.lit(1)).alias("_in")).join(sets.select("id", "n"), "id")
+                    .select("id", (F.col("_in") / F.col("n")).alias("w")), "weights")
+    heads = stage(many.join(sized(weights), "id").groupBy("signature").agg(F.max(F.struct("w", "id"))["id"].alias("c"), F.count(F.lit(1)).alias("_rows")), "heads")
+    led = lookup_join(many, heads.select("signature", "c"), heads, "signature").filter("id <> c").select("c", "id", F.lit(True).alias("led"))
+    pairs = stage(among.unionByName(led).groupBy("c", "id").agg(F.max("led").alias("led")), "pairs")
+    known = told(pairs, sets, common)
+    links = known.filter(linked(F.col("d"), F.col("n"), F.col("nc"))).select(F.col("c").alias("a"), F.col("id").alias("b"))
+    if heads.isEmpty():
+        return links
+    components = least_reachable(links)
+    placed = with_component(with_component(known.filter("led"), "id", components, "component"), "c", components, "_own")
+    # Members of other components than their leader, and all those they may be linked to.
+    placed = stage(placed.withColumn("open", F.col("component") != F.col("_own")).drop("_own"), "placed")
+    groups = stage(placed.groupBy("c").agg(F.count(F.lit(1)).alias("_rows"), F.max("open").alias("_open")).filter("_open and _rows > 1").select("c", "_rows"), "groups")
+    if groups.isEmpty():
+        return links
+    inside = lookup_join(placed, groups.select("c"), groups, "c")
+    probes = differences_listed(inside.filter("open"))
+    least = F.ceil(((top + bottom) * F.col("d") + (F.col("nc") - F.col("n")) * (bottom - top) + 1) / (2 * (top + bottom)))
+    kept = F.greatest(F.lit(0), F.least(F.octet_length("differences") / BYTES, F.col("d") - least + 1)).cast("int")
+    index = differences_listed(inside.withColumn("differences", F.substring(F.col("differences"), F.lit(1), kept * BYTES)))
+    index = index.select("key", *[F.col(k).alias(f"_{k}") for k in ("id", "n", "d", "component", "place")])
+    shared = F.least(F.col("d") - F.col("place"), F.col("_d") - F.col("_place"))
+    possible = (2 * (top + bottom) * shared >= (top + bottom) * (F.col("d") + F.col("_d")) - (bottom - top) * (F.col("n") + F.col("_n")))
+    sizes = F.least("n", "_n") * bottom >= F.greatest("n", "_n") * top
+    meets = [probes["key"] == index["key"], F.col("component") != F.col("_component"), sizes, possible]
+    found = (probes.join(index, reduce(lambda x, y: x & y, meets)).select(F.least("id", "_id").alias("c"), F.greatest("id", "_id").alias("id")).distinct()
+             .withColumn("led", F.lit(False)))
+    more = told(stage(found, "pairs"), sets, common).filter(linked(F.col("d"), F.col("n"), F.col("nc")))
+    return stage(links.unionByName(more.select(F.col("c").alias("a"), F.col("id").alias("b"))), "links")
 
 
 def filtered(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
@@ -253,45 +340,10 @@ def filtered(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") ->
     return docs.join(F.broadcast(side) if side.count() <= SMALL_ROWS else side.hint("merge"), key, how)
 
 
-def leader_rounds(members: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """All links (a, b) needed to connect what ``members`` (signature, id) of equal signatures connect."""
-    top, bottom = ABOVE
-    found: DataFrame | None = None
-    tested: DataFrame | None = None
-    state = stage(members.join(sets.select("id", "n"), "id").select("signature", "id", "n", F.col("id").alias("c")), "members")
-    turn = 0
-    while True:
-        leaders = LEADERS[min(turn, len(LEADERS) - 1)]
-        draw = F.xxhash64("id", F.lit(turn))
-        buckets = state.groupBy("signature").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("_low"), F.max("c").alias("_high"),
-                                                 F.min_by("id", draw).alias("_first")).filter("_low <> _high")
-        # Members outside the first component lead: once these have retired, the bucket is done.
-        aside = (F.col("c") != F.col("_low")) & (F.pmod(draw, F.lit(1 << 20)) < F.lit(leaders << 20) / F.col("m"))
-        lead = (F.col("id") == F.col("_first")) | aside
-        opened = stage(state.join(buckets.drop("_high"), "signature").withColumn("lead", lead).drop("_first", "_low", "m"), "open")
-        if opened.isEmpty():
-            return found
-        heads = opened.filter("lead").select("signature", F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("c").alias("_c"))
-        pairs = (opened.join(heads, "signature")
-                 .filter((F.col("c") != F.col("_c")) & (F.least("n", "_n") * bottom >= F.greatest("n", "_n") * top))
-                 .select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b"),
-                         F.when(F.col("id") < F.col("_id"), F.col("c")).otherwise(F.col("_c")).alias("ca"),
-                         F.when(F.col("id") < F.col("_id"), F.col("_c")).otherwise(F.col("c")).alias("cb")).distinct())
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        new = linked(pairs.select("a", "b"), sets, docs)
-        found = new if found is None else found.unionByName(new)
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        merged = least_reachable(pairs.join(new, ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        state = stage(opened.filter(~F.col("lead")).join(merged.withColumnRenamed("node", "c"), "c", "left")
-                      .select("signature", "id", "n", F.coalesce("component", "c").alias("c")), "members")
-        turn += 1
-
-
 def near_copies(docs: DataFrame) -> DataFrame:
     """Components of near copies: (doc_id, n_shingles, component_id), one row for each row of ``docs`` (doc_id, text)."""
     ship_package(docs.sparkSession)
+    short_batches(docs.sparkSession)
     seen = stage(survey(docs), "survey")
     sets_of = seen.filter("digest is not null").select("doc_id", "n", "digest")
     named = sets_of.filter("n > 0 and doc_id is not null")
@@ -305,22 +357,25 @@ def near_copies(docs: DataFrame) -> DataFrame:
     again = stage(ids.filter("_rows > 1").select("doc_id"), "repeated")
     repeated = not again.isEmpty()
     if repeated:
-        texts = stage(filtered(alone, again, "left_semi").distinct(), "texts")
-        alone = filtered(alone, again, "left_anti").unionByName(texts)
+        # Texts of one id are told apart here and brought together at the end.
+        alone = filtered(alone, again, "left_anti").unionByName(filtered(alone, again, "left_semi").distinct())
+        alone = stage(alone.withColumn("doc_id", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))), "texts")
     salt = F.when(F.col("late"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0)
     made = enumerate_signatures(alone, common).withColumn("_salt", salt)
-    if repeated:
-        made = made.distinct()   # texts of one id may share signatures; a document is in a bucket once
     bucket = Window.partitionBy("signature", "_salt")
     # A signature of common shingles may be held by very many documents; these are kept unseen.
     shared = stage(made.withColumn("_m", F.count(F.lit(1)).over(bucket)).filter("late or _m > 1").select("signature", "id"), "shared")
     # Of buckets with the same members, one is enough.
     buckets = shared.groupBy("signature").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
-    kept = stage(buckets.filter("m > 1").groupBy("m", "x", "y").agg(F.min("signature").alias("signature")).select("signature"), "buckets")
+    kept = stage(buckets.filter("m > 1").groupBy("m", "x", "y").agg(F.min("signature").alias("signature")).select("signature", "m"), "buckets")
     members = stage(shared.join(kept, "signature").distinct(), "members")
     candidates = stage(members.select(F.col("id").alias("doc_id")).distinct(), "candidates")
-    sets = stage(shingle_table(filtered(alone, candidates, "left_semi"), True), "shingles")
-    links = leader_rounds(members, sets, alone)
+    links = None
+    if not candidates.isEmpty():
+        sets = shingle_table(filtered(alone, candidates, "left_semi"))
+        links = bucket_links(members, stage(sets, "shingles"), common)
+        if repeated:
+            links = links.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     # Ids with several texts connect these.
     several = sets_of.filter("n > 0 and doc_id is not null").join(reps.select("digest", "rep"), "digest")
     doubles = several.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("doc_id", "a")

@@ -175,6 +175,62 @@ def test_near_copies_of_many_sizes(spark):
     assert got == expected
 
 
+def reworded(draw, words, edits, kinds=3):
+    out = list(words)
+    for _ in range(edits):
+        at = draw.randrange(len(out))
+        kind = draw.randrange(kinds)
+        out[at:at + (kind != 1)] = [] if kind == 2 else [f"new{draw.randrange(10 ** 6)}"]
+    return out
+
+
+def test_near_copies_in_groups(spark, monkeypatch):
+    """Groups around a text that is there or is missing, chains of edits, halves, and a passage that many share; links that only the second level of signatures finds."""
+    draw, texts = random.Random(11), []
+    for group in range(6):
+        base = prose(200 + group, 60 + 15 * group).split()
+        texts += [base] if group % 2 else []
+        texts += [reworded(draw, base, 1 + k % 7, 1 + group % 3) for k in range(45)]
+    chain = prose(300, 100).split()
+    for _ in range(60):
+        texts.append(chain)
+        chain = reworded(draw, chain, 1 + draw.randrange(3))
+    long = prose(301, 160).split()
+    texts += [long[:160 - 4 * k] for k in range(20)] + [long[4 * k:] for k in range(20)]
+    texts += [prose(302, 30).split() + prose(400 + k, 10 + k).split() for k in range(40)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    draw.shuffle(rows)
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    made = []
+    told = near_copies.told
+    monkeypatch.setattr(near_copies, "told", lambda *given: made.append(told(*given)) or made[-1])
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain.near_copies(rows)
+    assert made[0].count() < 6 * len(rows) and all(m.count() < 6 * len(rows) for m in made[1:])
+
+
+def test_listed_differences_meet():
+    """Sets of which one is not linked to the leader are similar only if they share a listed difference."""
+    draw = random.Random(3)
+    for _ in range(3000):
+        size = draw.randrange(8, 60)
+        leader = set(range(size))
+        def member():
+            own = set(leader)
+            for _ in range(draw.randrange(size // 2 + 1)):
+                own.discard(draw.randrange(size))
+            return own | {100 + draw.randrange(40) for _ in range(draw.randrange(size // 2 + 1))}
+        x = member()
+        y = member() if draw.random() < 0.3 else {e for e in x if draw.random() < 0.95} | {200 + k for k in range(draw.randrange(3))}
+        near = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+        if not x or not y or not near(x, y) or near(x, leader):
+            continue
+        def parted(own, as_near):
+            ordered = sorted(own - leader) + sorted(leader - own)
+            return set(ordered[:near_copies.listed(len(ordered), len(own), size, as_near)])
+        assert parted(x, False) & parted(y, True)
+
+
 def test_near_copies_of_repeated_rows(spark):
     """Rows that come twice, an uneven number of times, or as several versions of one id."""
     rows = []
