@@ -12,7 +12,8 @@ these: shingles that come in several texts of a task, added up over the tasks; t
 ``MOST_COMMON`` go out to the tasks, which bounds the broadcast.  The order never changes the result, only the
 number of candidates.
 
-Equal sets are collapsed first.  Up to ``FEW`` members of a bucket of equal signatures are compared with each other.
+Equal sets are collapsed first.  Up to ``FEW`` members of a bucket of equal signatures are compared with each other
+if they share as many signatures as similar sets of their sizes have to: the subsets of so many parts, counted rather than written out.
 A larger bucket has a leader, the member that shares the most of its signatures, and all members are compared to it.  Those linked to it are in one
 component, whatever links them to each other.  For the rest the domain is partitioned anew, into
 what is common with the leader and what differs from it: with D(x) the shingles in which x and its leader differ, x and y of
@@ -214,6 +215,13 @@ def linked(d: Column, n: Column, m: Column) -> Column:
     return d * (top + bottom) <= (n + m) * (bottom - top)
 
 
+def least_shared(n: Column, m: Column) -> Column:
+    """Signatures that similar sets of sizes n and m share: those they have, less those their differences can spoil."""
+    top, bottom = ABOVE
+    made = F.floor(F.least(n, m) * (bottom - top) / top) + 1
+    return F.greatest(F.lit(1), made - F.floor((n + m) * (bottom - top) / (top + bottom)))
+
+
 def listed(d: int, n: int, leader: int, near: bool) -> int:
     """How many of the differences to its leader a set lists.
 
@@ -293,20 +301,24 @@ def with_component(rows: DataFrame, key: str, components: DataFrame, name: str)
 
 
 def bucket_links(members: DataFrame, sets: DataFrame, common: np.ndarray) -> DataFrame:
-    """Links (a, b) that connect all that similar ``members`` (signature, id, m) of equal signatures connect; staged.
+    """Links (a, b) that connect all that similar ``members`` (signature, id, m, times) of equal signatures connect; staged.
 
-    ``m`` is the number of members that a signature has.
+    ``m`` is the number of members that a signature has, ``times`` that of signatures with the same members.
     """
     top, bottom = ABOVE
-    few = members.filter(F.col("m") <= FEW).groupBy("signature").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    first = few.select("ids", F.explode(F.sequence(F.lit(1), F.size("ids") - 1)).alias("k"))
-    among = first.select(F.element_at("ids", F.col("k")).alias("c"), F.explode(F.slice("ids", F.col("k") + 1, F.lit(FEW))).alias("id"), F.lit(False).alias("led"))
+    sizes = sets.select("id", "n")
+    few = members.filter(F.col("m") <= FEW).groupBy("signature").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("times").alias("times"))
+    first = few.select("ids", "times", F.explode(F.sequence(F.lit(1), F.size("ids") - 1)).alias("k"))
+    among = first.select(F.element_at("ids", F.col("k")).alias("c"), F.explode(F.slice("ids", F.col("k") + 1, F.lit(FEW))).alias("id"), "times")
+    among = (among.groupBy("c", "id").agg(F.sum("times").alias("times")).join(sizes, "id")
+             .join(sizes.select(F.col("id").alias("c"), F.col("n").alias("nc")), "c")
+             .filter(F.col("times") >= least_shared(F.col("n"), F.col("nc"))).filter(F.least("n", "nc") * bottom >= F.greatest("n", "nc") * top))
     many = members.filter(F.col("m") > FEW)
-    weights = stage(many.groupBy("id").agg(F.count(F.lit(1)).alias("_in")).join(sets.select("id", "n"), "id")
+    weights = stage(many.groupBy("id").agg(F.count(F.lit(1)).alias("_in")).join(sizes, "id")
                     .select("id", (F.col("_in") / F.col("n")).alias("w")), "weights")
     heads = stage(many.join(sized(weights), "id").groupBy("signature").agg(F.max(F.struct("w", "id"))["id"].alias("c"), F.count(F.lit(1)).alias("_rows")), "heads")
     led = lookup_join(many, heads.select("signature", "c"), heads, "signature").filter("id <> c").select("c", "id", F.lit(True).alias("led"))
-    pairs = stage(among.unionByName(led).groupBy("c", "id").agg(F.max("led").alias("led")), "pairs")
+    pairs = stage(among.select("c", "id", F.lit(False).alias("led")).unionByName(led).groupBy("c", "id").agg(F.max("led").alias("led")), "pairs")
     known = told(pairs, sets, common)
     links = known.filter(linked(F.col("d"), F.col("n"), F.col("nc"))).select(F.col("c").alias("a"), F.col("id").alias("b"))
     if heads.isEmpty():
@@ -326,8 +338,8 @@ def bucket_links(members: DataFrame, sets: DataFrame, common: np.ndarray) -> Dat
     index = index.select("key", *[F.col(k).alias(f"_{k}") for k in ("id", "n", "d", "component", "place")])
     shared = F.least(F.col("d") - F.col("place"), F.col("_d") - F.col("_place"))
     possible = (2 * (top + bottom) * shared >= (top + bottom) * (F.col("d") + F.col("_d")) - (bottom - top) * (F.col("n") + F.col("_n")))
-    sizes = F.least("n", "_n") * bottom >= F.greatest("n", "_n") * top
-    meets = [probes["key"] == index["key"], F.col("component") != F.col("_component"), sizes, possible]
+    alike = F.least("n", "_n") * bottom >= F.greatest("n", "_n") * top
+    meets = [probes["key"] == index["key"], F.col("component") != F.col("_component"), alike, possible]
     found = (probes.join(index, reduce(lambda x, y: x & y, meets)).select(F.least("id", "_id").alias("c"), F.greatest("id", "_id").alias("id")).distinct()
              .withColumn("led", F.lit(False)))
     more = told(stage(found, "pairs"), sets, common).filter(linked(F.col("d"), F.col("n"), F.col("nc")))
@@ -367,7 +379,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     shared = stage(made.withColumn("_m", F.count(F.lit(1)).over(bucket)).filter("late or _m > 1").select("signature", "id"), "shared")
     # Of buckets with the same members, one is enough.
     buckets = shared.groupBy("signature").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
-    kept = stage(buckets.filter("m > 1").groupBy("m", "x", "y").agg(F.min("signature").alias("signature")).select("signature", "m"), "buckets")
+    kept = stage(buckets.filter("m > 1").groupBy("m", "x", "y").agg(F.min("signature").alias("signature"), F.count(F.lit(1)).alias("times")).select("signature", "m", "times"), "buckets")
     members = stage(shared.join(kept, "signature").distinct(), "members")
     candidates = stage(members.select(F.col("id").alias("doc_id")).distinct(), "candidates")
     links = None
