@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,7 +21,7 @@ from ..operators.crawl_log import within_budget
 from ..operators.dedup import dedup_products
 from ..operators.joins import hot_keys
 from ..operators.links import limit_links, product_links
-from ..operators.paging import page_yield, stop_after_empty
+from ..operators.paging import last_page, page_yield, stop_after_empty
 from ..operators.parse import parse_pages
 from ..operators.products import extract_products
 from ..session import fits, gathered, sized, stage
@@ -28,6 +29,7 @@ from ..sources.frontier import fetch_join, listing_frontier, listings_of, usable
 from ..sources.tables import drop_stale, repeated_urls
 
 ORDER = ("page_no", "selector_rank", "ord", "source_url")
+FIRST_WAVE = 8               # listing pages of a base read in the first wave
 BROADCAST_BYTES = 64 << 20   # of linked URLs sent to the tasks that scan pages
 
 
@@ -73,8 +75,8 @@ def newest(pages: DataFrame, stored: DataFrame, made_url: str, make: Callable[[D
 
 
 def listing_links(bases: DataFrame, pages: DataFrame, max_pages: int, style: str = "auto", variant: str = "full",
-                  per_page: int | None = None, rules: Rules = USUAL, in_time: DataFrame | None = None) -> DataFrame:
-    """Product links of the listing pages of all bases.
+                  per_page: int | None = None, rules: Rules = USUAL, in_time: DataFrame | None = None, first_page: int = 1) -> DataFrame:
+    """Product links of the listing pages of all bases, from ``first_page`` to ``max_pages``.
 
     ``in_time`` (base_url, page_no) limits the pages that are walked.
     """
@@ -82,6 +84,8 @@ def listing_links(bases: DataFrame, pages: DataFrame, max_pages: int, style: str
     found = usable(pages, keep_empty=variant == "lean")
     version = ["page_id"] if "page_id" in pages.columns else []
     listings, open_bases = listings_of(bases, found.select(*version, "url", "html"), max_pages, style)
+    if first_page > 1:   # a filter on the URL, before anything is parsed
+        listings = listings.filter(F.col("page_no") >= first_page)
     selectors = (rules.selectors or {}).get("link", V.LINK_SELECTORS)
 
     def links(of: DataFrame) -> DataFrame:
@@ -188,6 +192,47 @@ def full_catalog(
     return dedup_products(kept, "name", ORDER, within=["base_url"]).drop("page_url")
 
 
+def full_catalog_waves(
+    pages: DataFrame, bases: DataFrame, per_page: int = V.LINKS_PER_PAGE,
+    max_pages: int = V.FULL_LISTING_PAGES, run_ts: Column | None = None, max_time: float | None = None,
+    rules: Rules = USUAL, first_wave: int = FIRST_WAVE, **options,
+) -> DataFrame:
+    """The full walk in waves of listing pages, each twice as wide as the one before.
+
+    The same records as ``full_catalog``, but a base takes part only until it has stopped: a wave parses
+    its own listing pages of the bases that are still open, looks up the products these link, and the
+    bases that have met enough empty pages are closed.  So at most about as many pages are
+    parsed beyond the stop of a base as before it, whatever ``max_pages`` is, and the number of waves grows with its logarithm.
+    The state is one row per open base: how many empty pages its walk ends with so far.
+    """
+    in_time = None
+    if max_time is not None:
+        in_time = within_time(listing_frontier(bases, max_pages, style="full"), pages, max_time)
+    state = stage(bases.select("base_url").distinct().withColumn("_streak", F.lit(0)), "open-bases")
+    low, width, walked = 1, max(first_wave, 1), []
+    while low <= max(max_pages, 1) and not state.isEmpty():
+        high = min(low + width - 1, max(max_pages, 1))
+        links = listing_links(state.select("base_url"), pages, high, "full", per_page=per_page, rules=rules, in_time=in_time, first_page=low)
+        products = stage(gathered(product_lookup(links, pages, run_ts=run_ts, rules=rules, **options)), "wave-products")
+        numbers = F.explode(F.sequence(F.lit(low), F.lit(high)))
+        yields = stage(page_yield(products, state.select("base_url", numbers.alias("page_no"))), "wave-yields")
+        stops = stage(last_page(yields.unionByName(streaks(state, low))), "stops")
+        closed = sized(stops)
+        kept = products.join(closed, "base_url", "left").filter(F.col("last_page").isNull() | (F.col("page_no") <= F.col("last_page")))
+        walked.append(kept.select(*products.columns))
+        ends = yields.groupBy("base_url").agg(F.max(F.when(F.col("found") > 0, F.col("page_no"))).alias("_full"))
+        state = stage(state.join(closed, "base_url", "left_anti").join(ends, "base_url").select(
+            "base_url", (F.lit(high) - F.coalesce("_full", F.lit(low - 1) - F.col("_streak"))).alias("_streak")), "open-bases")
+        low, width = high + 1, 2 * width
+    return dedup_products(reduce(DataFrame.unionByName, walked), "name", ORDER, within=["base_url"]).drop("page_url")
+
+
+def streaks(state: DataFrame, low: int) -> DataFrame:
+    """The empty pages just before page ``low`` that the walk of each open base ends with."""
+    pages = F.explode(F.sequence(F.lit(low) - F.col("_streak"), F.lit(low - 1)))
+    return state.filter("_streak > 0").select("base_url", pages.alias("page_no"), F.lit(0).cast("long").alias("found"))
+
+
 def lean_catalog(
     pages: DataFrame, bases: DataFrame, max_pages: int = V.LEAN_LISTING_PAGES,
     limit: int = V.LEAN_LINKS_TOTAL, run_ts: Column | None = None,

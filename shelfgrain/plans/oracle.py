@@ -461,6 +461,15 @@ WITH {LOG} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) F
   count(error) AS errors, avg(elapsed_s) AS mean_response
 FROM log GROUP BY 1""",
 }
+ORACLE["full_catalog_waves"] = ORACLE["full_catalog"]
+ORACLE["stream_first_records"] = ORACLE["dedup_pair"]
+ORACLE["stream_health"] = ORACLE["health_signal"].replace("SELECT host, id,", "SELECT host, id, mean_response, error_pressure,")
+ORACLE["published_run"] = f"""
+WITH {PRODUCT}, {SHOWN}, found AS (
+  SELECT p.*, s.place, row_number() OVER (PARTITION BY p.base_url, p.name ORDER BY p.page_no, s.place) AS rn
+  FROM product p JOIN shown s USING (k) WHERE p.page_no <= 42),
+sheet AS (SELECT{SHEET.rsplit("SELECT", 1)[1].replace("ORDER BY k", "ORDER BY base_url, page_no, place").replace("FROM product", "FROM found WHERE rn = 1")})
+SELECT *, count(*) OVER () AS total_products FROM sheet"""
 SHAPES = {"link": f"'{SITE}/product/' || p_partkey", "image": f"'{SITE}/i/' || p_partkey || '.jpg'",
           "price": "'KSh ' || p_partkey", "area": "'KSh ' || p_partkey"}
 LISTED = ", ".join(f"({k}, '{field}', '{selector}')" for k, (field, selector, _) in enumerate(CASES))

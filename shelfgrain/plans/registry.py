@@ -23,10 +23,14 @@ from ..operators.products import extract_products, named_only
 from ..operators.summary import catalog_summary, completeness, coverage, summary_long
 from ..session import spread, tune, work_path
 from ..sinks.catalog import run_path, write_catalog, write_summary
+from ..sinks.published import read_run
 from ..sources import frontier as fr
 from ..sources.tables import crawl_log, latest_pages, read_table, stream_table
 from ..streaming import live
+from ..streaming.first_records import run_first_records
+from ..streaming.health import stream_health as health_of_stream
 from . import catalog, selector_pages, storefront
+from .run import catalog_run
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -546,24 +550,24 @@ def spec_text(spark, folder):
 # --- duplicates -------------------------------------------------------------
 
 
-def _repeated(spark: SparkSession, folder: str) -> DataFrame:
+def _repeated(parts: DataFrame) -> DataFrame:
     """Records with repeated names, URLs and pairs; some keys are empty."""
     k = F.col("p_partkey")
     url = F.when(k % 10 == 9, "").otherwise(storefront.product_url(F.floor(k / 6) * 2 + k % 2))
-    return read_table(spark, folder, "part").select(
+    return parts.select(
         k.alias("page_id"), F.col("p_name").alias("name"), url.alias("source_url"),
         F.col("p_retailprice").alias("price_kes"))
 
 
 @query
 def dedup_pair(spark, folder):
-    records = _repeated(spark, folder).filter(F.col("source_url") != "")
+    records = _repeated(read_table(spark, folder, "part")).filter(F.col("source_url") != "")
     return dedup_products(records, ["name", "source_url"])
 
 
 @query
 def dedup_url(spark, folder):
-    return dedup_products(_repeated(spark, folder), "source_url")
+    return dedup_products(_repeated(read_table(spark, folder, "part")), "source_url")
 
 
 # --- sheets -----------------------------------------------------------------
@@ -775,6 +779,23 @@ def full_catalog(spark, folder):
     return _flat(catalog.full_catalog(pages, bases, run_ts=run_ts()))
 
 
+@query
+def full_catalog_waves(spark, folder):
+    """The full walk again, in waves that leave out what lies beyond the stop."""
+    pages, bases = _shops(spark, folder)
+    return _flat(catalog.full_catalog_waves(pages, bases, run_ts=run_ts()))
+
+
+@query
+def published_run(spark, folder):
+    """One call for a run over all shops; its product sheet and summary, read back once published."""
+    pages, bases = _shops(spark, folder)
+    target = work_path(spark, "published")
+    made = read_run(spark, target, catalog_run(pages, bases, target, datetime.fromisoformat(RUN_TS)))
+    total = made["summary"].filter("place = 1").select(F.col("value").cast("long").alias("total_products"))
+    return made["products"].join(F.broadcast(total), F.lit(True), "left")
+
+
 @query
 def full_catalog_open(spark, folder):
     """The full walk with an exclusion list of its own: pages that the default list rejects are kept.
@@ -826,6 +847,20 @@ def stream_stats(spark, folder):
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "requests", "errors", "mean_response")
 
 
+@query
+def stream_health(spark, folder):
+    """Health of every response, from keyed state that is updated as files land."""
+    made = health_of_stream(crawl_log(stream_table(spark, folder, "events")), 3600.0)
+    return live.run_updates(made, ["host", "id"], "stream-health").select("host", "id", "mean_response", "error_pressure", "signal")
+
+
+@query
+def stream_first_records(spark, folder):
+    """The whole first record of each pair of name and URL, in crawl order, from a stream of files."""
+    landed = _repeated(stream_table(spark, folder, "part")).filter(F.col("source_url") != "")
+    return run_first_records(landed, ["name", "source_url"], ["page_id"])
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Stored pages to distinct named records."""
     pages = spread(read_table(tune(spark), folder, "pages"), "page_id")

@@ -100,23 +100,28 @@ def run_to_table(stream: DataFrame, label: str, timeout_s: float | None = None)
     return spark.read.schema(stream.schema).parquet(target)
 
 
-def run_updates(stream: DataFrame, key: str, label: str, timeout_s: float | None = None) -> DataFrame:
-    """Run an aggregating stream over all that has landed; the last state of every ``key``.
+def run_updates(stream: DataFrame, key: str | Sequence[str], label: str, timeout_s: float | None = None) -> DataFrame:
+    """Run an updating stream over all that has landed; the last state of every ``key``.
 
-    Each batch writes the rows it changed; the newest batch of a key holds.
+    Each batch writes the rows it changed; the newest batch of a key holds.  Nothing landed gives an empty table.
     """
     spark = stream.sparkSession
+    keys = [key] if isinstance(key, str) else list(key)
     target, state = work_path(spark, label), work_path(spark, f"{label}-state")
+    written: list[int] = []
 
     def write(rows: DataFrame, batch: int) -> None:  # a repeated batch replaces itself
         rows.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{target}/batch={batch}")
+        written.append(batch)
 
     query = (
         stream.writeStream.foreachBatch(write).outputMode("update")
         .option("checkpointLocation", state).trigger(availableNow=True).start()
     )
     _drain(query, label, timeout_s)
+    if not written:
+        return spark.createDataFrame([], stream.schema)
     rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])).parquet(target)
-    columns = [c for c in stream.columns if c != key]
-    newest = rows.groupBy(key).agg(F.max_by(F.struct(*columns), "_batch").alias("_row"))
-    return newest.select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in stream.columns])
+    columns = [c for c in stream.columns if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_batch").alias("_row"))
+    return newest.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in stream.columns])
