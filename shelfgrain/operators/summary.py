@@ -27,6 +27,52 @@ def catalog_summary(products: DataFrame, order: Sequence[str] = ("page_id",)) ->
     )
 
 
+def summary_state(products: DataFrame, by: Sequence[str], order: Sequence[str] = ("page_id",)) -> DataFrame:
+    """What summary and completeness need of the products of each run or slice ``by``; one narrow row that can be merged.
+
+    Stored per run, it answers for any set of runs without reading products again.
+    """
+    price = F.col("price_kes")
+    priced = F.when(price > 0, price)
+    return products.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total_products"),
+        F.count(priced).alias("with_price"),
+        F.count_if(F.length("sku") > 0).alias("with_sku"),
+        F.count_if(F.length("brand") > 0).alias("with_brand"),
+        F.count_if(F.size("images") > 0).alias("with_images"),
+        F.count_if(F.length("name") > 0).alias("with_name"),
+        F.count_if(F.length("primary_image") > 0).alias("with_primary_image"),
+        F.sum(priced).alias("price_sum"), F.max(priced).alias("max_price"), F.min(priced).alias("min_price"),
+        F.min(F.struct(*order, "source_url")).alias("first_record"),
+    )
+
+
+COUNTS = ("total_products", "with_price", "with_sku", "with_brand", "with_images", "with_name", "with_primary_image")
+
+
+def merged_states(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """States of slices merged into one per ``by``, or into a single one (zeros if there are none)."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]
+    rest = [F.sum("price_sum").alias("price_sum"), F.max("max_price").alias("max_price"), F.min("min_price").alias("min_price"),
+            F.min("first_record").alias("first_record")]
+    return states.groupBy(*by).agg(*sums, *rest)
+
+
+def summary_of_states(states: DataFrame) -> DataFrame:
+    """``catalog_summary`` of all products behind the states."""
+    return merged_states(states).select(
+        *COUNTS[:5], F.try_divide("price_sum", "with_price").alias("mean_price"), "max_price", "min_price",
+        F.col("first_record.source_url").alias("source_site"))
+
+
+def completeness_of_states(states: DataFrame) -> DataFrame:
+    """``completeness`` of all products behind the states."""
+    share = lambda name: F.try_divide(F.col(name), F.col("total_products"))
+    return merged_states(states).select(
+        F.col("total_products").alias("products"), share("with_name").alias("name_share"),
+        share("with_price").alias("price_share"), share("with_primary_image").alias("image_share"))
+
+
 def summary_long(summary: DataFrame, run_stamp: Column) -> DataFrame:
     """The summary sheet: ``metric`` and ``value`` rows in sheet order."""
     shown = lambda name: F.coalesce(fmt2(F.col(name)), F.lit("0"))

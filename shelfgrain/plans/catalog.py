@@ -203,7 +203,8 @@ def full_catalog_waves(
     its own listing pages of the bases that are still open, looks up the products these link, and the
     bases that have met enough empty pages are closed.  So at most about as many pages are
     parsed beyond the stop of a base as before it, whatever ``max_pages`` is, and the number of waves grows with its logarithm.
-    The state is one row per open base: how many empty pages its walk ends with so far.
+    The state is one row per open base: how many empty pages its walk ends with so far.  Each wave scans the
+    stored pages again, so this walk pays where parsing outweighs scanning: many pages beyond the stops, or a store that prunes by URL.
     """
     in_time = None
     if max_time is not None:

@@ -461,6 +461,11 @@ WITH {LOG} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) F
   count(error) AS errors, avg(elapsed_s) AS mean_response
 FROM log GROUP BY 1""",
 }
+ORACLE["catalog_merge"] = ORACLE["dedup_pair"]
+ORACLE["summary_from_states"] = ORACLE["summary_rows"]
+ORACLE["completeness_from_states"] = f"""
+WITH {PRODUCT} SELECT count(*) AS products, 1.0::DOUBLE AS name_share, round(count(price_kes) / count(*), 6) AS price_share,
+  round(count(image) / count(*), 6) AS image_share FROM product"""
 ORACLE["full_catalog_waves"] = ORACLE["full_catalog"]
 ORACLE["stream_first_records"] = ORACLE["dedup_pair"]
 ORACLE["stream_health"] = ORACLE["health_signal"].replace("SELECT host, id,", "SELECT host, id, mean_response, error_pressure,")

@@ -20,10 +20,12 @@ from ..operators.export import catalog_export, catalog_short
 from ..operators.numbering import with_product_id
 from ..operators.parse import FULL_FIELDS, parse_failures as parse_failures_of, parse_pages, valid_page
 from ..operators.products import extract_products, named_only
-from ..operators.summary import catalog_summary, completeness, coverage, summary_long
-from ..session import spread, tune, work_path
+from ..operators.summary import (
+    catalog_summary, completeness, completeness_of_states, coverage, summary_long, summary_of_states, summary_state)
+from ..session import spread, stage, tune, work_path
 from ..sinks.catalog import run_path, write_catalog, write_summary
 from ..sinks.published import read_run
+from ..sinks.snapshots import merge_catalog, read_snapshot
 from ..sources import frontier as fr
 from ..sources.tables import crawl_log, latest_pages, read_table, stream_table
 from ..streaming import live
@@ -570,6 +572,16 @@ def dedup_url(spark, folder):
     return dedup_products(_repeated(read_table(spark, folder, "part")), "source_url")
 
 
+@query
+def catalog_merge(spark, folder):
+    """Two crawls, each with about half of the records, merged into a stored catalog, the later one first."""
+    records = _repeated(read_table(spark, folder, "part")).filter(F.col("source_url") != "")
+    target = work_path(spark, "catalog")
+    for half in (1, 0):
+        version = merge_catalog(records.filter(F.floor(F.col("page_id") / 7) % 2 == half), target, ["name", "source_url"])
+    return read_snapshot(spark, target, version)
+
+
 # --- sheets -----------------------------------------------------------------
 
 
@@ -652,6 +664,24 @@ def summary_rows_empty(spark, folder):
     return summary_long(catalog_summary(none), F.date_format(run_ts(), "yyyyMMdd_HHmmss"))
 
 
+def _states(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored states of thirty runs, each of which brought a part of the products."""
+    products = _products(spark, folder).withColumn("run_id", F.concat(F.lit("day"), F.col("page_id") % 30))
+    return stage(summary_state(products, ["run_id"]), "run-states")
+
+
+@query
+def summary_from_states(spark, folder):
+    """The summary of a month of runs from their states alone."""
+    return summary_long(summary_of_states(_states(spark, folder)), F.date_format(run_ts(), "yyyyMMdd_HHmmss"))
+
+
+@query
+def completeness_from_states(spark, folder):
+    made = completeness_of_states(_states(spark, folder))
+    return made.select("products", *[F.round(c, 6).alias(c) for c in made.columns[1:]])
+
+
 @query
 def completeness_shares(spark, folder):
     """Over all valid pages, a fifth of which are taken to have no name."""
