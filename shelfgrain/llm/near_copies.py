@@ -14,7 +14,7 @@ number of candidates.
 
 Equal sets are collapsed first.  Up to ``FEW`` members of a bucket of equal signatures are compared with each other
 if they share as many signatures as similar sets of their sizes have to: the subsets of so many parts, counted rather than written out.
-A larger bucket has a leader, the member that shares the most of its signatures, and all members are compared to it.  Those linked to it are in one
+A larger bucket is cut by the sizes of its sets first; what is still large has a leader, the member that shares the most of its signatures, and all members are compared to it.  Those linked to it are in one
 component, whatever links them to each other.  For the rest the domain is partitioned anew, into
 what is common with the leader and what differs from it: with D(x) the shingles in which x and its leader differ, x and y of
 sizes a and b are similar only if D(x) and D(y) share (|D(x)| + |D(y)| - (a + b)(1 - g)/(1 + g)) / 2
@@ -33,6 +33,7 @@ read whole; an empty table stays empty; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -55,6 +56,7 @@ SALTS = 64
 BYTES = 6                  # of a shingle's hash, where sets are compared
 GROUP = 64                 # sets compared to a leader in one go
 FEW = 8                    # members of a bucket that need no leader
+SIZE_STEP = 1.34           # more than 4/3, the ratio of the sizes of similar sets
 
 
 def differences(size: int) -> int:
@@ -300,6 +302,15 @@ def with_component(rows: DataFrame, key: str, components: DataFrame, name: str)
     return lookup_join(rows, moved, counts, key, "left").withColumn(name, F.coalesce("_to", key)).drop("_to")
 
 
+def by_size(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Large buckets cut by the sizes of their sets, in steps a little wider than similar sets can differ: a set is in its own and the next one."""
+    step = F.floor(F.log(F.col("n")) / math.log(SIZE_STEP))
+    cut = members.join(sizes, "id").select(
+        F.explode(F.array(step, step + 1)).alias("_step"), "signature", "id", "times").select(F.xxhash64("signature", "_step").alias("signature"), "id", "times")
+    counts = stage(cut.groupBy("signature").agg(F.count(F.lit(1)).alias("m")).withColumn("_rows", F.col("m")), "cut-buckets")
+    return lookup_join(cut, counts.select("signature", "m"), counts, "signature").filter("m > 1").select("signature", "id", "m", "times")
+
+
 def bucket_links(members: DataFrame, sets: DataFrame, common: np.ndarray) -> DataFrame:
     """Links (a, b) that connect all that similar ``members`` (signature, id, m, times) of equal signatures connect; staged.
 
@@ -307,6 +318,7 @@ def bucket_links(members: DataFrame, sets: DataFrame, common: np.ndarray) -> Dat
     """
     top, bottom = ABOVE
     sizes = sets.select("id", "n")
+    members = members.filter(F.col("m") <= FEW).unionByName(by_size(members.filter(F.col("m") > FEW), sizes))
     few = members.filter(F.col("m") <= FEW).groupBy("signature").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("times").alias("times"))
     first = few.select("ids", "times", F.explode(F.sequence(F.lit(1), F.size("ids") - 1)).alias("k"))
     among = first.select(F.element_at("ids", F.col("k")).alias("c"), F.explode(F.slice("ids", F.col("k") + 1, F.lit(FEW))).alias("id"), "times")
