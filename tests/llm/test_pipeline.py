@@ -42,7 +42,7 @@ def test_pipeline(spark, folder):
 
 
 def test_registered(spark):
-    assert [name.split("_")[0] for name in queries.QUERIES] == [f"op{n}" for n in range(1, 11)] + ["pipeline"]
+    assert [name.split("_")[0] for name in queries.QUERIES] == [f"op{n}" for n in range(1, 14)] + ["pipeline"]
     assert set(queries.ORACLE) <= set(queries.QUERIES)
 
 
