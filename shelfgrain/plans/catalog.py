@@ -26,6 +26,7 @@ from ..operators.parse import parse_pages
 from ..operators.products import extract_products
 from ..session import fits, gathered, sized, stage
 from ..sources.frontier import fetch_join, listing_frontier, listings_of, usable
+from ..sources.page_store import asked_in_store
 from ..sources.tables import drop_stale, repeated_urls
 
 ORDER = ("page_no", "selector_rank", "ord", "source_url")
@@ -100,22 +101,25 @@ def listing_links(bases: DataFrame, pages: DataFrame, max_pages: int, style: str
     return made
 
 
-def wanted_pages(pages: DataFrame, asked: DataFrame) -> DataFrame:
-    """Those of ``pages`` that ``asked`` (source_url) names if these are few enough to be broadcast, else all."""
+def wanted_pages(pages: DataFrame, asked: DataFrame, by_url: bool = False) -> DataFrame:
+    """Those of ``pages`` that ``asked`` (source_url) names if these are few enough to be broadcast, else all.
+
+    Pages of a store laid out ``by_url`` meet any number of URLs where they lie.
+    """
     urls = stage(gathered(asked.select(F.col("source_url").alias("url")).distinct()), "asked-urls")
     size = urls.agg(F.sum(F.octet_length("url"))).first()[0] or 0
     if fits(urls) and size <= BROADCAST_BYTES:
         return pages.join(F.broadcast(urls), "url", "left_semi")
-    return pages
+    return asked_in_store(pages, urls) if by_url else pages
 
 
 def product_lookup(links: DataFrame, pages: DataFrame, variant: str = "full",
-                   run_ts: Column | None = None, rules: Rules = USUAL, **options) -> DataFrame:
+                   run_ts: Column | None = None, rules: Rules = USUAL, by_url: bool = False, **options) -> DataFrame:
     """Product records of the linked pages, with the columns of ``links``.
 
     Pages that no link names are not parsed: while the linked URLs are few they are broadcast to
-    the scan of the pages; beyond that the URL test of ``rules``, which all links have passed,
-    is applied.  Records, not pages, go through the join.  A product that is linked from very
+    the scan of the pages; beyond that they are shuffled to pages that a store holds ``by_url``, and of
+    any other pages those are parsed that pass the URL test of ``rules``, which all links have passed.  Records, not pages, go through the join.  A product that is linked from very
     many pages is joined by broadcast, its rows staying where they are.  The links are staged
     because they are counted first.
     """
@@ -123,7 +127,7 @@ def product_lookup(links: DataFrame, pages: DataFrame, variant: str = "full",
     stored = usable(pages, keep_empty=variant == "lean").filter(
         is_product_url(F.col("url"), rules.must_contain, rules.exclude))
     columns = [c for c in ("page_id", "url", "html", "fetched_at") if c in pages.columns]
-    candidates = wanted_pages(stored.select(*columns), asked)
+    candidates = wanted_pages(stored.select(*columns), asked, by_url)
     selectors = dict(rules.selectors) if rules.selectors else None
 
     def records(of: DataFrame) -> DataFrame:

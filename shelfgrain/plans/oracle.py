@@ -461,6 +461,18 @@ WITH {LOG} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) F
   count(error) AS errors, avg(elapsed_s) AS mean_response
 FROM log GROUP BY 1""",
 }
+ORACLE["first_distinct_links"] = ORACLE["limit_links"]
+ORACLE["product_lookup_stored"] = ORACLE["product_lookup"]
+ORACLE["newest_stored_pages"] = """
+SELECT page_id + 1000000000 AS page_id, url,
+  CAST(CASE WHEN page_id % 2 = 0 THEN 500 WHEN page_id % 7 = 0 THEN NULL ELSE 200 END AS INTEGER) AS status,
+  md5(CASE WHEN page_id % 11 = 0 THEN '' ELSE html END) AS html_md5
+FROM pages QUALIFY page_id = max(page_id) OVER (PARTITION BY url)"""
+ORACLE["stream_failures"] = CRAWL + """
+SELECT url || '/gone/' || page_id AS url, 'not crawled' AS reason FROM stored
+UNION ALL SELECT url, CASE WHEN page_id % 8 = 7 THEN 'not crawled' WHEN status <> 200 THEN 'HTTP ' || status
+  WHEN html IS NULL THEN 'no body' ELSE 'empty body' END
+FROM stored WHERE page_id % 8 = 7 OR status <> 200 OR html IS NULL OR html = ''"""
 ORACLE["catalog_merge"] = ORACLE["dedup_pair"]
 ORACLE["summary_from_states"] = ORACLE["summary_rows"]
 ORACLE["completeness_from_states"] = f"""

@@ -27,8 +27,10 @@ from ..sinks.catalog import run_path, write_catalog, write_summary
 from ..sinks.published import read_run
 from ..sinks.snapshots import merge_catalog, read_snapshot
 from ..sources import frontier as fr
+from ..sources.page_store import newest_in_store, write_page_store
 from ..sources.tables import crawl_log, latest_pages, read_table, stream_table
 from ..streaming import live
+from ..streaming import failures as lost
 from ..streaming.first_records import run_first_records
 from ..streaming.health import stream_health as health_of_stream
 from . import catalog, selector_pages, storefront
@@ -37,6 +39,7 @@ from .run import catalog_run
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 RUN_TS = "2025-09-22 00:50:44"
+CRAWL_START = 1_758_500_000   # seconds; a stream takes rows of the epoch itself for late ones
 
 
 def query(run: Query) -> Query:
@@ -177,6 +180,12 @@ def limit_links(spark, folder):
     return links.limit_links(found, V.LEAN_LINKS_TOTAL)
 
 
+@query
+def first_distinct_links(spark, folder):
+    """The same first links, each task holding no more of them than are asked for."""
+    return links.first_distinct_links(_nav_links(spark, folder))
+
+
 @query
 def dedup_by_name(spark, folder):
     facts = parse_pages(_pages(spark, folder), ("name",), min_text=V.MIN_PAGE_TEXT)
@@ -210,10 +219,9 @@ def page_budget(spark, folder):
     return fr.listing_frontier(_supplier_bases(spark, folder), fr.pages_for(100))
 
 
-def _crawl(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _crawl(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored pages with mixed outcomes, and a frontier that also asks for unknown URLs."""
     key = F.col("page_id")
-    pages = read_table(spark, folder, "pages")
     stored = pages.select(
         "page_id", "url", F.when(key % 7 == 0, 404).otherwise(200).alias("status"),
         F.when(key % 11 == 0, None).when(key % 13 == 0, "").otherwise(F.col("html")).alias("html"))
@@ -228,20 +236,20 @@ def _asked_of_page() -> dict[str, Column]:
 
 @query
 def fetch_join(spark, folder):
-    asked, stored = _crawl(spark, folder)
+    asked, stored = _crawl(read_table(spark, folder, "pages"))
     return fr.fetch_join(asked, stored, facts=_asked_of_page()).select("page_id", "url", "html_len")
 
 
 @query
 def fetch_join_lean(spark, folder):
     """The lean lookup keeps empty bodies."""
-    asked, stored = _crawl(spark, folder)
+    asked, stored = _crawl(read_table(spark, folder, "pages"))
     return fr.fetch_join(asked, stored, keep_empty=True, facts=_asked_of_page()).select("page_id", "url", "html_len")
 
 
 @query
 def fetch_failures(spark, folder):
-    return fr.fetch_failures(*_crawl(spark, folder))
+    return fr.fetch_failures(*_crawl(read_table(spark, folder, "pages")))
 
 
 def _recrawled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -301,6 +309,29 @@ def product_lookup(spark, folder):
     return records.select("base_url", "page_no", "source_url", "name", "price_kes", "sku")
 
 
+def _page_store(spark: SparkSession, pages: DataFrame, label: str) -> DataFrame:
+    path = work_path(spark, label)
+    buckets = max(8, pages.rdd.getNumPartitions())
+    return write_page_store(pages, path, buckets, path.rsplit("/", 1)[1].replace("-", "_"))
+
+
+@query
+def product_lookup_stored(spark, folder):
+    """The same lookup in product pages that are stored by URL."""
+    found = links.product_links(_listing_facts(spark, folder), carried=["base_url", "page_no"])
+    store = _page_store(spark, storefront.product_pages(_parts(spark, folder)), "product-pages")
+    records = catalog.product_lookup(found, store, run_ts=run_ts(), by_url=True, columns=("price_kes", "sku"))
+    return records.select("base_url", "page_no", "source_url", "name", "price_kes", "sku")
+
+
+@query
+def newest_stored_pages(spark, folder):
+    """Whole pages of two crawls stored by URL, each URL in its newest version."""
+    _, crawled = _recrawled(spark, folder)
+    newest = newest_in_store(_page_store(spark, crawled, "crawled-pages"))
+    return newest.select("page_id", "url", "status", F.md5("html").alias("html_md5"))
+
+
 @query
 def product_url_test(spark, folder):
     """Product-URL test on page URLs and on the links a shop would show."""
@@ -891,6 +922,31 @@ def stream_first_records(spark, folder):
     return run_first_records(landed, ["name", "source_url"], ["page_id"])
 
 
+def _beat(spark: SparkSession, pages: DataFrame, at: str) -> DataFrame:
+    """A stream of one row beyond all requests and their deadlines, which closes them."""
+    path = work_path(spark, "beat")
+    pages.agg(F.lit(lost.BEAT).alias("url"), F.timestamp_seconds(F.max("page_id") * 60 + CRAWL_START + 10_000).alias(at)).write.parquet(path)
+    return spark.readStream.schema(f"url string, {at} timestamp").parquet(path)
+
+
+@query
+def stream_failures(spark, folder):
+    """Requests and landed pages as streams: what is not there an hour after it was asked for has failed.
+
+    A request a minute; every eighth page lands too late.  Unknown URLs were asked for with each.
+    """
+    stored, landing = read_table(spark, folder, "pages"), stream_table(spark, folder, "pages")
+    minute = F.col("page_id") * 60 + CRAWL_START
+    asked = landing.select(
+        F.explode(F.array(F.col("url"), F.concat("url", F.lit("/gone/"), F.col("page_id")))).alias("url"),
+        F.timestamp_seconds(minute).alias("asked_at"))
+    landed = _crawl(landing)[1].withColumn("landed_at", F.timestamp_seconds(minute + F.col("page_id") % 8 * 600))
+    made = lost.stream_outcomes(
+        asked.unionByName(_beat(spark, stored, "asked_at")),
+        landed.unionByName(_beat(spark, stored, "landed_at"), allowMissingColumns=True), "1 HOUR", "10 minutes")
+    return lost.failures(live.run_to_table(made, "stream-failures")).select("url", "reason")
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Stored pages to distinct named records."""
     pages = spread(read_table(tune(spark), folder, "pages"), "page_id")

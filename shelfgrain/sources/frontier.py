@@ -89,6 +89,18 @@ def fetch_join(frontier: DataFrame, pages: DataFrame, keep_empty: bool = False,
     return found.join(sized(frontier), "url")
 
 
+def why_unusable(pages: DataFrame, keep_empty: bool = False) -> Column:
+    """Why a stored page cannot be used; null if it can.  A null status is a reason of its own."""
+    html = F.col("html")
+    status = F.col("status") if "status" in pages.columns else F.lit(200)
+    reason = (
+        F.when(status.isNull(), "no status")
+        .when(status != 200, F.concat(F.lit("HTTP "), status))
+        .when(html.isNull(), "no body")
+    )
+    return reason if keep_empty else reason.when(html == "", "empty body")
+
+
 def fetch_failures(frontier: DataFrame, pages: DataFrame, keep_empty: bool = False) -> DataFrame:
     """Frontier rows that yield no page, with the reason.
 
@@ -97,15 +109,7 @@ def fetch_failures(frontier: DataFrame, pages: DataFrame, keep_empty: bool = Fal
     version (largest ``page_id``; without one, the first in alphabetical order).  So every
     frontier row is either fetched or failed.  A null status is a reason of its own.
     """
-    html = F.col("html")
-    status = F.col("status") if "status" in pages.columns else F.lit(200)
-    reason = (
-        F.when(status.isNull(), "no status")
-        .when(status != 200, F.concat(F.lit("HTTP "), status))
-        .when(html.isNull(), "no body")
-    )
-    if not keep_empty:
-        reason = reason.when(html == "", "empty body")
+    reason = why_unusable(pages, keep_empty)
     version = F.col("page_id") if "page_id" in pages.columns else F.lit(0)
     flags = pages.select("url", version.alias("_version"), reason.alias("_reason"))
     asked = flags.join(sized(frontier.select("url").distinct()), "url", "left_semi")
