@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections.abc import Collection
+from bisect import bisect_left, bisect_right
+from collections.abc import Collection, Iterator
 from typing import NamedTuple
 from urllib.parse import urljoin
 
@@ -35,6 +36,7 @@ PLAIN_ADDRESS = re.compile(r"https?://[a-z0-9-]+(?:\.[a-z0-9-]+)*" + PLAIN_PATH.
 SITE_ROOT = re.compile(r"https?://[a-z0-9-]+(?:\.[a-z0-9-]+)*(?=[/?#]|\Z)", re.ASCII)
 COMPOUND = re.compile(r"([\w-]*)((?:\.[\w-]+)*)((?:\[[^\]]+\])*)\Z")
 ATTRIBUTE_TEST = re.compile(r'\[([\w-]+)(?:\*="([^"]*)")?\]')
+DIGIT = re.compile("[0-9]")
 CLASS_WORD = re.compile("class", re.IGNORECASE)
 NOTHING = ()
 ASCII_BLANKS = " \n\t\f\r"
@@ -171,28 +173,71 @@ def attributes_of(source: str) -> dict[str, str]:
 
 
 class PageHits:
-    """What one page yields: flags, text and, per field, ``(rank, ord, area, value)`` hits."""
+    """What one page yields: flags, text and, per field, ``(rank, ord, area, value)`` hits.
 
-    __slots__ = ("has_title", "text", "text_len", "jsonld", "hits", "area")
+    The texts of hits may contain each other, so a hit keeps where its text begins and ends in one
+    buffer of the page, ``glued``; texts are cut out when they are asked for.
+    """
+
+    __slots__ = ("has_title", "text", "text_len", "jsonld", "spans", "glued", "area")
 
     def __init__(self, html: str, url: str, matcher: Matcher, jsonld_type: str):
         self.has_title = False
         self.jsonld: list[str] = []
-        self.hits: dict[str, list] = {field: [] for field in matcher.takes}
+        self.spans: dict[str, list] = {field: [] for field in matcher.takes}
         self.area = None
         self._walk(html, url, matcher, jsonld_type)
 
+    def found(self, field: str) -> Iterator[list]:
+        """Hits of a field by rank and order, each with its whole text or its address."""
+        for rank, order, areas, value in self.spans[field]:
+            yield [rank, order, areas, value if field in REFERENCES else self.glued[value[0]:value[1]]]
+
+    @property
+    def hits(self) -> dict[str, list]:
+        return {field: list(self.found(field)) for field in self.spans}
+
+    def amounts(self, field: str, marks: tuple[str, ...]) -> Iterator[list]:
+        """Hits of a field, each with the part of its text that decides about an amount.
+
+        That is the first of ``marks`` the text contains, if any, and what follows from its first digit on for as long as it may
+        belong to the number: digits, points, commas and letters of the marks.  Found from places noted in one pass, so
+        thousands of elements inside each other cost no more than as many side by side.
+        """
+        spans = self.spans[field]
+        if not spans:
+            return
+        low, high = min(hit[3][0] for hit in spans), max(hit[3][1] for hit in spans)
+        places = [(mark, [m.start() for m in re.finditer(re.escape(mark), self.glued[low:high])]) for mark in marks]
+        inside = re.escape("".join(sorted(set("".join(marks)))))
+        runs = [m.span() for m in re.finditer(f"[0-9][0-9.,{inside}]*", self.glued[low:high])]
+        ends = [end for _, end in runs]
+        for rank, order, areas, (start, end) in spans:
+            mark = next((mark for mark, at in places if (k := bisect_left(at, start - low)) < len(at)
+                         and at[k] + len(mark) <= end - low), "")
+            number = ""
+            for k in range(bisect_right(ends, start - low), len(runs)):
+                first, last = max(runs[k][0] + low, start), min(runs[k][1] + low, end)
+                digit = DIGIT.search(self.glued, first, last) if first < last else None
+                if digit:
+                    number = self.glued[digit.start():last]
+                if digit or first >= end:
+                    break
+            yield [rank, order, areas, mark + number]
+
     def _walk(self, html: str, url: str, matcher: Matcher, jsonld_type: str) -> None:
         stack: list[tuple] = []      # (tag, selector bits, area bits, hits waiting for their text)
         buffer: list[str] = []       # pieces of the current text node
         nodes: list[str] = []        # all text nodes, as they are
         stripped: list[str] = []     # the same nodes stripped, empties left out
+        filled = 0                   # their length so far
         opened: dict[str, list[int]] = {}  # where in the stack each tag is open
         counts: dict[tuple, int] = {}
         joined: dict[str, str] = {}  # references made absolute
         hidden = 0                   # open elements whose strings are not page text
 
         def end_node() -> None:
+            nonlocal filled
             node = decode("".join(buffer))
             buffer.clear()
             if hidden or not stack and not node.strip():
@@ -200,6 +245,7 @@ class PageHits:
             bare = node.strip()
             if bare:
                 stripped.append(bare)
+                filled += len(bare)
             elif not node.strip(ASCII_BLANKS):
                 node = "\n" if "\n" in node else " "
             nodes.append(node)
@@ -212,7 +258,7 @@ class PageHits:
                 if tag in NOT_TEXT:
                     hidden -= 1
                 for hit in waiting:
-                    hit[3] = "".join(stripped[hit[3]:])
+                    hit[3] = (hit[3], filled)
 
         position, size = 0, len(html)
         # No tag can end behind the last ">"; without that bound each unclosed tag would be
@@ -290,9 +336,9 @@ class PageHits:
                                 joined[reference] = None
                         hit = [step.rank, count, areas, joined[reference]]
                     else:
-                        hit = [step.rank, count, areas, len(stripped)]
+                        hit = [step.rank, count, areas, filled]
                         waiting = [*waiting, hit]
-                    self.hits[step.field].append(hit)
+                    self.spans[step.field].append(hit)
 
             opened.setdefault(tag, []).append(len(stack))
             stack.append((tag, own_bits, own_areas, waiting))
@@ -312,7 +358,8 @@ class PageHits:
         close(0)
         self.text = "".join(nodes)
         self.text_len = len(self.text)
-        for field, found in self.hits.items():
+        self.glued = "".join(stripped)
+        for found in self.spans.values():
             found.sort(key=lambda hit: (hit[0], hit[1]))
 
 

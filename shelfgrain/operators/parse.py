@@ -51,7 +51,9 @@ def parse_pages(
     ``fields`` names the columns to produce (Catalyst cannot prune inside the Python
     step, so the caller does): any key of ``SELECTORS`` plus ``jsonld`` (scripts that are JSON) and
     ``words`` (which of the watched words the page text contains, so that the text itself
-    need not come back).  ``selectors`` replaces the ranked selectors of single fields.
+    need not come back).  ``selectors`` replaces the ranked selectors of single fields.  The text
+    of a price hit is what decides about its amount, see ``PageHits.amounts``: elements inside each
+    other would repeat the page's text over and over.
 
     With ``min_text`` set, pages that cannot be products - no title, or less text - are
     dropped: those without any ``<title`` or with too little HTML never leave the JVM.  Pages that
@@ -150,7 +152,11 @@ def _watched(page: PageHits | None) -> list[str]:
 def _hit_column(field: str, pages: list[PageHits | None]) -> pa.Array:
     offsets, ranks, ords, areas, values = [0], [], [], [], []
     for page in pages:
-        for rank, order, area, value in page.hits[field] if page else ():
+        if page is None:
+            hits = ()
+        else:
+            hits = page.amounts(field, V.CURRENCY_MARKS) if field == "price" else page.found(field)
+        for rank, order, area, value in hits:
             if field == "price":
                 inside = page.area is not None and bool(area >> page.area & 1)
                 if not inside and order > V.LEAN_PRICES_PER_SELECTOR:

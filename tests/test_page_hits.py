@@ -1,5 +1,6 @@
 """The parse helper on hand-made markup, and against the standard tokenizer."""
 
+import re
 import time
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -221,3 +222,49 @@ def test_hostile_pages_take_linear_time(name):
         return best
 
     assert seconds(24_000) < 10 * max(seconds(6_000), 0.002)
+
+
+def nested(n, text="KSh 5 "):
+    return '<div class="summary">' + ("<b class=price>" + text) * n + "</b>" * n + "</div>"
+
+
+def flat(n, text="KSh 5 "):
+    return '<div class="summary">' + ("<b class=price>" + text + "</b>") * n + "</div>"
+
+
+def test_nested_prices_cost_no_more_than_flat_ones():
+    def seconds(page):
+        best = 9e9
+        for _ in range(5):
+            start = time.perf_counter()
+            list(parse(page).amounts("price", V.CURRENCY_MARKS))
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    for text in ("KSh 5 ", "five ", ""):
+        assert seconds(nested(10_000, text)) < 2 * seconds(flat(10_000, text))
+
+
+PRICE_TEXT = st.lists(st.sampled_from(
+    ["KSh", "KES", "K", "S", "h", "E", ",", ".", "5", "12", "0", " ", "\n", "x", "é", "٣", "$", "<b class=price>", "</b>", "<i>", "</i>"]),
+    max_size=25).map("".join)
+
+
+def amount(text, removed, pattern):
+    for part in removed:
+        text = text.replace(part, "")
+    found = re.search(pattern, text)
+    return found and found[0]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(PRICE_TEXT)
+def test_amounts_are_those_of_the_whole_texts(text):
+    """Both price rules find the same in what is kept of a text as in the whole of it."""
+    page = parse(f'<div class="summary"><b class=price>{text}</div>')
+    short = list(page.amounts("price", V.CURRENCY_MARKS))
+    assert [h[:3] for h in short] == [h[:3] for h in page.hits["price"]]
+    for (*_, kept), (*_, whole) in zip(short, page.hits["price"]):
+        assert any(m in kept for m in V.CURRENCY_MARKS) == any(m in whole for m in V.CURRENCY_MARKS)
+        for removed, pattern in ((V.CURRENCY_MARKS + (",",), r"[0-9]+(\.[0-9]+)?"), ((",",), r"[0-9]+\.?[0-9]*")):
+            assert amount(kept, removed, pattern) == amount(whole, removed, pattern)
