@@ -45,15 +45,17 @@ def parse_pages(
     selectors: dict[str, tuple[str, ...]] | None = None,
     min_text: int | None = None,
     with_text: bool = False,
+    whole_prices: bool = True,
 ) -> DataFrame:
     """Parse each page once and return its facts.
 
     ``fields`` names the columns to produce (Catalyst cannot prune inside the Python
     step, so the caller does): any key of ``SELECTORS`` plus ``jsonld`` (scripts that are JSON) and
     ``words`` (which of the watched words the page text contains, so that the text itself
-    need not come back).  ``selectors`` replaces the ranked selectors of single fields.  The text
-    of a price hit is what decides about its amount, see ``PageHits.amounts``: elements inside each
-    other would repeat the page's text over and over.
+    need not come back).  ``selectors`` replaces the ranked selectors of single fields.
+
+    Without ``whole_prices`` the text of a price hit is only what decides about its amount, see
+    ``PageHits.amounts``; whole texts of elements inside each other repeat the page's text over and over.
 
     With ``min_text`` set, pages that cannot be products - no title, or less text - are
     dropped: those without any ``<title`` or with too little HTML never leave the JVM.  Pages that
@@ -110,7 +112,7 @@ def parse_pages(
                 columns["jsonld"] = pa.array(
                     [list(filter(_is_json, p.jsonld)) if p else [] for p, _ in parsed], pa.list_(pa.string()))
             for field in hit_fields:
-                columns[field] = _hit_column(field, [p for p, _ in parsed])
+                columns[field] = _hit_column(field, [p for p, _ in parsed], whole_prices)
             made = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
             if min_text is not None:
                 made = made.filter(pa.array(
@@ -149,13 +151,13 @@ def _watched(page: PageHits | None) -> list[str]:
     return [word for word in WATCH_WORDS if word in text]
 
 
-def _hit_column(field: str, pages: list[PageHits | None]) -> pa.Array:
+def _hit_column(field: str, pages: list[PageHits | None], whole_prices: bool) -> pa.Array:
     offsets, ranks, ords, areas, values = [0], [], [], [], []
     for page in pages:
         if page is None:
             hits = ()
         else:
-            hits = page.amounts(field, V.CURRENCY_MARKS) if field == "price" else page.found(field)
+            hits = page.found(field) if field != "price" or whole_prices else page.amounts(field, V.CURRENCY_MARKS)
         for rank, order, area, value in hits:
             if field == "price":
                 inside = page.area is not None and bool(area >> page.area & 1)

@@ -53,7 +53,7 @@ def extract_products(
                 raise ValueError(f"unknown columns: {sorted(unknown)}")
             off |= set(FULL_FIELDS) - {"name"} - {f for c in columns for f in MADE_OF[c]}
         wanted = tuple(f for f in FULL_FIELDS if f not in off)
-    facts = parse_pages(pages, wanted, selectors, min_text=V.MIN_PAGE_TEXT).filter(valid_page())
+    facts = parse_pages(pages, wanted, selectors, min_text=V.MIN_PAGE_TEXT, whole_prices=False).filter(valid_page())
     carried = [c for c in pages.columns if c not in ("url", "html")]
     return products_from_facts(facts, carried, variant, run_ts, columns)
 

@@ -495,3 +495,11 @@ SELECT p_partkey AS page_id, field, selector,
   CASE field {" ".join(f"WHEN '{field}' THEN {shape}" for field, shape in SHAPES.items())} ELSE 'value ' || p_partkey END AS value
 FROM part JOIN (VALUES {LISTED}) AS c(k, field, selector) ON p_partkey % {len(CASES)} = k"""
 ORACLE["cap_links"] = ORACLE["page_links_capped"]
+
+ORACLE["prices_nested"] = """
+SELECT p_partkey, CAST(p_size + 1 AS INTEGER) AS hits,
+  CASE WHEN p_partkey > 100 THEN CAST(p_partkey AS DOUBLE) ELSE CAST(CAST(p_retailprice AS DECIMAL(15,2)) AS DOUBLE) END AS full_price,
+  CASE WHEN p_partkey BETWEEN 10 AND 10000000 THEN CAST(p_partkey AS DOUBLE)
+       WHEN p_size = 1 THEN CAST(CAST(p_retailprice AS DECIMAL(15,2)) AS DOUBLE) END AS lean_price
+FROM part
+"""

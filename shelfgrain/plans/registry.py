@@ -74,7 +74,7 @@ def _pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def _full_facts(spark: SparkSession, folder: str, *wanted: str) -> DataFrame:
     pages = storefront.product_pages(_parts(spark, folder))
-    return parse_pages(pages, wanted or FULL_FIELDS, min_text=V.MIN_PAGE_TEXT).filter(valid_page())
+    return parse_pages(pages, wanted or FULL_FIELDS, min_text=V.MIN_PAGE_TEXT, whole_prices=False).filter(valid_page())
 
 
 def _products(spark: SparkSession, folder: str, variant: str = "full") -> DataFrame:
@@ -135,6 +135,18 @@ def selector_matrix(spark, folder):
     return selector_pages.selector_hits(_parts(spark, folder))
 
 
+@query
+def prices_nested(spark, folder):
+    """Prices on pages whose price elements lie inside each other, up to fifty deep, one more following."""
+    page = F.concat(
+        F.lit('<html><head><title>t</title></head><body><div class="summary">'), F.expr("repeat('<b class=\"price\">x ', p_size)"),
+        F.lit("KSh "), F.col("p_partkey").cast("string"), F.expr("repeat('</b>', p_size)"),
+        F.lit('<b class="price">KES '), F.col("p_retailprice").cast("decimal(15,2)").cast("string"), F.lit("</b></div></body></html>"))
+    pages = _parts(spark, folder).select("p_partkey", F.lit("https://shop.example.com/").alias("url"), page.alias("html"))
+    facts = parse_pages(pages, ("price",), whole_prices=False)
+    return facts.select("p_partkey", F.size("price").alias("hits"), price.price_from_area().alias("full_price"), price.price_lean().alias("lean_price"))
+
+
 @query
 def start_url_check(spark, folder):
     urls = read_table(spark, folder, "pages").select("page_id", "url")
