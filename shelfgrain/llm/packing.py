@@ -1,13 +1,13 @@
 """Best-fit packing of token pieces into sequences, in bulk-synchronous rounds.
 
-Pieces are range-sorted by length.  All pieces of one length, and all sequences with one gap, are
-interchangeable, so a round places every piece of a length at once: it sweeps the sorted gaps from
-the smallest that fits to its successors, the pieces taking places by rank; then the gaps are
-updated and the next length follows.  Longest first, this is best-fit decreasing.  Lengths and
-gaps are at most ``capacity`` values, so a round handles runs of equal gaps, not sequences, and the
-runs, of which there are at most ``most_runs``, are all that the driver sees; it plans them in one
-loop, and the number of tokens or pieces does not enter.  Ranks come from the distributed sort, and every
-piece finds its place by joining its rank to the runs.
+As many sequences are opened as the pieces need at least.  A round range-sorts pieces and gaps together by size and sweeps every
+slice in its own task, from small to large: a gap takes the largest piece that fits, then the largest that fits what is left, for
+as long as the slice holds one; pieces of one length go by rank, so no two gaps want the same piece.  Gaps that found nothing in
+their slice want pieces of the slices before.  Which slices those are follows from one row of counts and limits per slice, which
+is all that the driver sees (``carried``): runs of pieces go to runs of gaps by rank, as many to each gap as surely fit, and
+piece and gap meet by a shuffle on the gap.  Then gaps are updated, those smaller than every piece are closed, and the next round
+follows.  A round that places nothing opens sequences for what is left.  With one slice a round is first-fit decreasing.  Rounds are written to the
+shared folder; unplaced pieces shrink from round to round, and adaptive execution merges slices that have become small.
 
 Defined cases: a null or empty text is one piece, the end token; a document that ends at
 a multiple of the capacity has no empty piece; equal rows are placed one by one; an empty table gives no pieces; other columns are not read.
@@ -15,19 +15,22 @@ a multiple of the capacity has no empty piece; equal rows are placed one by one;
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
+from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from ..session import ship_package
-from .common import as_bytes, positioned
+from ..session import ship_package, stage
+from .common import as_bytes
 
 CAPACITY = 2048
 END = 0
@@ -128,82 +131,155 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
                            + ", ids array<int>" * with_ids)
 
 
-def most_runs(lengths: int, capacity: int) -> int:
-    """A bound for the runs of a plan: 47,104 for 2,048 lengths.
-
-    Filling a gap as far as it goes leaves less than half of it, so a run of gaps is filled at most as often as
-    its gap has bits.  A length adds two runs at most, by opening or by splitting, and one fill besides.
+PIECE, GAP, PLACED, FILLED = range(4)    # rows of a round: left, untouched, placed here, gap after placements
+RANKS = 40                               # bits of a rank in a slice
+SWEPT = "what int, slice int, rank long, id long, size long, sequence_id long, offset long"
+
+
+def sweep(size: list[int], gap: list[bool], capacity: int) -> tuple[list[tuple[int, int, int]], dict[int, int]]:
+    """Best fit in one slice, whose rows come by size, pieces first: placements (row of the piece, of the gap, offset), and what is left of each gap."""
+    held: dict[int, list[int]] = defaultdict(list)    # unplaced pieces of each length
+    lengths: list[int] = []                           # those lengths, ascending
+    placed, left = [], {}
+    for row, (n, is_gap) in enumerate(zip(size, gap)):
+        if not is_gap:
+            if not held[n]:
+                lengths.append(n)
+            held[n].append(row)
+            continue
+        while lengths and lengths[0] <= n:
+            k = bisect_right(lengths, n) - 1
+            rows = held[lengths[k]]
+            placed.append((rows.pop(), row, capacity - n))
+            n -= lengths[k]
+            if not rows:
+                del lengths[k]
+        left[row] = n
+    return placed, left
+
+
+def carried(slices: Iterable[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Runs (slice, rank, n, each, slice of gaps, rank of gap) that send pieces on to gaps of later slices.
+
+    ``slices`` has (slice, pieces, longest, gaps, least gap) in order.  The nearest pieces below come
+    first; a run uses up pieces or gaps of a slice, so there are fewer than two runs per slice.
     """
-    return lengths * (2 * (capacity - 1).bit_length() + 1)
+    waiting: list[tuple[int, int, int, int]] = []     # (slice, rank, pieces, longest): a stack
+    runs = []
+    for number, pieces, longest, gaps, least in slices:
+        first = 0
+        while first < gaps and waiting:
+            below, rank, n, most = waiting.pop()
+            each = least // most
+            taken = min(n, (gaps - first) * each)
+            runs.append((below, rank, taken, each, number, first))
+            first += -(-taken // each)
+            if n > taken:
+                waiting.append((below, rank + taken, n - taken, most))
+        if pieces:
+            waiting.append((number, 0, pieces, longest))
+    return runs
 
 
-def plan_places(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Runs (length, rank, n, sequence, each, offset) that place ``counts`` pieces of each length.
+def sweeper(capacity: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The sweep as a task: rows (size, kind, id) of a sorted slice to rows of ``SWEPT``."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [[c.to_numpy() for c in batch.columns] for batch in batches]
+        if not columns:
+            return
+        number = TaskContext.get().partitionId()
+        size, kind, ident = (np.concatenate(c) for c in zip(*columns))
+        placed, left = sweep(size.tolist(), (kind == GAP).tolist(), capacity)
+        what = kind.astype(np.int32)
+        sequence, offset = np.zeros(len(size), dtype=np.int64), np.zeros(len(size), dtype=np.int64)
+        if placed:
+            piece, gap, at = np.array(placed, dtype=np.int64).T
+            what[piece], sequence[piece], offset[piece] = PLACED, ident[gap], at
+            what[gap] = FILLED
+        rows, rest = np.array(list(left), dtype=np.int64), np.array(list(left.values()), dtype=np.int64)
+        size = size.copy()
+        size[rows] = rest
+        rank = np.zeros(len(size), dtype=np.int64)
+        for of in (PIECE, GAP):                       # the longest piece and the smallest gap first
+            own = np.flatnonzero(what == of)
+            rank[own[::-1] if of == PIECE else own] = np.arange(len(own))
+        yield pa.RecordBatch.from_arrays([pa.array(what), pa.array(np.full(len(size), number, dtype=np.int32)), pa.array(rank), pa.array(ident),
+                                          pa.array(size), pa.array(sequence), pa.array(offset)],
+                                         names=["what", "slice", "rank", "id", "size", "sequence_id", "offset"])
+    return run
+
+
+def meeting(runs: list[tuple[int, int, int, int, int, int]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (what, slice, rank, id, size) with the gap, by slice and rank, at which they meet; null for rows of no run."""
+    below, rank, n, each, above, first = (np.array(c, dtype=np.int64) for c in zip(*runs))
+    code = (below << RANKS) + rank
+    by_piece = np.argsort(code)
+    gap_code = (above << RANKS) + first
+    by_gap = np.argsort(gap_code)
 
-    The ``n`` pieces of the length from ``rank`` on go to the sequences from ``sequence`` on,
-    ``each`` of them to one, from ``offset`` on.
-    """
-    runs: list[tuple[int, int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)   # gap: runs (first sequence, how many)
-    opened = 0
-
-    def fill(length: int, rank: int, gap: int, first: int, many: int, each: int) -> int:
-        """Put ``each`` pieces into ``many`` sequences with this gap; the next rank."""
-        if many and each:
-            runs.append((length, rank, many * each, first, each, capacity - gap))
-            if gap > each * length:
-                gaps[gap - each * length].append((first, many))
-        return rank + many * each
-
-    for length in sorted(counts, reverse=True):
-        rank, n = 0, counts[length]
-        for gap in sorted(g for g in gaps if g >= length):
-            each, waiting = gap // length, gaps.pop(gap)
-            while rank < n and waiting:
-                first, many = waiting.pop()
-                whole = min(many, (n - rank) // each)
-                rank = fill(length, rank, gap, first, whole, each)
-                first, many = first + whole, many - whole
-                if many and rank < n:                      # fewer pieces than one more sequence would take
-                    rank = fill(length, rank, gap, first, 1, n - rank)
-                    first, many = first + 1, many - 1
-                if many:
-                    waiting.append((first, many))
-            if waiting:
-                gaps[gap] = waiting
-            if rank == n:
-                break
-        each = capacity // length
-        whole = (n - rank) // each
-        rank = fill(length, rank, capacity, opened, whole, each)
-        opened += whole
-        if rank < n:
-            fill(length, rank, capacity, opened, 1, n - rank)
-            opened += 1
-    return runs
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            what, number, place = (batch.column(k).to_numpy().astype(np.int64) for k in range(3))
+            own = (number << RANKS) + place
+            at = by_piece[np.maximum(np.searchsorted(code[by_piece], own, "right") - 1, 0)]
+            key = gap_code[at] + (own - code[at]) // each[at]
+            met = (what == PIECE) & (own >= code[at]) & (own < code[at] + n[at])
+            at = by_gap[np.maximum(np.searchsorted(gap_code[by_gap], own, "right") - 1, 0)]
+            gaps = (what == GAP) & (own >= gap_code[at]) & (own < gap_code[at] + -(-n[at] // each[at]))
+            key = np.where(gaps, own, key)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, mask=~(met | gaps))], names=[*batch.schema.names, "key"])
+    return run
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ...) with ``sequence_id`` and ``offset``."""
-    order = ["length", "doc_id", "piece", *[c for c in pieces.columns if c in ("start", "ids_crc32")]]
-    placed = positioned(pieces, order, "pieces", "_at")
-    classes = sorted((r["length"], r["n"]) for r in placed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect())  # at most ``capacity``
-    before, total = {}, 0
-    for length, n in classes:
-        before[length], total = total, total + n
-    runs = plan_places(dict(classes), capacity)
     spark = pieces.sparkSession
-    # At most ``most_runs`` rows, whatever the number of pieces.
-    table = spark.createDataFrame([(r[0], before[r[0]] + r[1] + 1, before[r[0]] + r[1] + r[2], *r[3:]) for r in runs],
-                                  "length long, _first long, _last long, _sequence long, _each long, _offset long")
-    nth = F.col("_at") - F.col("_first")
-    return (
-        placed.join(F.broadcast(table), "length")
-        .filter((F.col("_at") >= F.col("_first")) & (F.col("_at") <= F.col("_last")))
-        .withColumn("sequence_id", F.col("_sequence") + F.expr("(_at - _first) div _each"))
-        .withColumn("offset", F.col("_offset") + (nth % F.col("_each")) * F.col("length"))
-        .select(*pieces.columns, "sequence_id", "offset")
-    )
+    ship_package(spark)
+    row = F.struct(*[F.col(f"`{c}`") for c in pieces.columns]).alias("row")
+    held = stage(pieces.select(row, F.col("length").alias("size"), F.monotonically_increasing_id().alias("id")), "pieces")
+    # A piece as long as a sequence is one; its number is below zero.
+    full = held.filter(F.col("size") >= capacity).select("row", (-1 - F.col("id")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    state = held.filter(F.col("size") < capacity).select("size", F.lit(PIECE).alias("kind"), "id")
+    left = state.agg(F.sum("size")).first()[0] or 0   # tokens of unplaced pieces
+    opened, moved, placed = 0, False, []
+    while left:
+        if not moved:
+            more = -(-left // capacity)
+            state = state.unionByName(spark.range(opened, opened + more).select(F.lit(capacity).cast("long").alias("size"), F.lit(GAP).alias("kind"), "id"))
+            opened += more
+        order = ["size", "kind", "id"]
+        swept = stage(state.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(sweeper(capacity), SWEPT), "swept")
+        facts = {(r["slice"], r["what"]): r for r in swept.groupBy("slice", "what").agg(
+            F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("most"), F.sum("size").alias("total")).collect()}
+        found = lambda number, what, name: facts[number, what][name] if (number, what) in facts else 0
+        runs = carried((k, found(k, PIECE, "n"), found(k, PIECE, "most"), found(k, GAP, "n"), found(k, GAP, "least"))
+                       for k in sorted({k for k, _ in facts}))
+        moved = bool(runs) or any(what == PLACED for _, what in facts)
+        placed.append(swept.filter(F.col("what") == PLACED).select("id", "sequence_id", "offset"))
+        rest = swept.filter(F.col("what").isin(PIECE, GAP)).select("what", "slice", "rank", "id", "size")
+        filled = swept.filter(F.col("what") == FILLED).select("size", F.lit(GAP).alias("kind"), "id")
+        left = sum(r["total"] for (_, what), r in facts.items() if what == PIECE)
+        least = min((r["least"] for (_, what), r in facts.items() if what == PIECE), default=0)
+        if runs:
+            met = rest.mapInArrow(meeting(runs), "what int, slice int, rank long, id long, size long, key long")
+            own = Window.partitionBy("key")
+            by_rank = own.orderBy(F.col("what").desc(), F.col("rank"))         # the gap, then its pieces: ``capacity`` rows at most
+            length = F.when(F.col("what") == PIECE, F.col("size")).otherwise(0)
+            sent = stage(met.filter("key is not null").select(
+                "what", "id", "size", F.first("id").over(by_rank).alias("sequence_id"),
+                (capacity - F.first("size").over(by_rank) + F.sum(length).over(by_rank) - length).alias("offset"),
+                (F.first("size").over(by_rank) - F.sum(length).over(own)).alias("rest")), "sent")
+            pieces_sent = sent.filter(F.col("what") == PIECE)
+            placed.append(pieces_sent.select("id", "sequence_id", "offset"))
+            left -= pieces_sent.agg(F.sum("size")).first()[0]
+            filled = filled.unionByName(sent.filter(F.col("what") == GAP).select(F.col("rest").alias("size"), F.lit(GAP).alias("kind"), "id"))
+            rest = met.filter("key is null")
+        state = (rest.select("size", F.col("what").alias("kind"), "id").unionByName(filled)
+                 .filter((F.col("kind") == PIECE) | (F.col("size") >= least)))  # smaller gaps can take nothing any more
+    if placed:
+        full = full.unionByName(held.filter(F.col("size") < capacity).join(functools.reduce(DataFrame.unionByName, placed), "id")
+                                .select("row", "sequence_id", "offset"))
+    return full.select("row.*", "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -234,3 +234,58 @@ def reply_paths(rows, best):
         paths.sort(key=lambda p: (-sum(r[5] or 0 for r in p), -len(p), json.dumps(p[-1][1] if p[-1][1] is None else f"={p[-1][1]}")))
         out += [(tree, chat_text([(r[3], r[4]) for r in p])) for p in paths[:best]]
     return out
+
+
+def most_runs(lengths: int, capacity: int) -> int:
+    """A bound for the runs of a plan: 47,104 for 2,048 lengths.
+
+    Filling a gap as far as it goes leaves less than half of it, so a run of gaps is filled at most as often as
+    its gap has bits.  A length adds two runs at most, by opening or by splitting, and one fill besides.
+    """
+    return lengths * (2 * (capacity - 1).bit_length() + 1)
+
+
+def plan_places(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Runs (length, rank, n, sequence, each, offset) that place ``counts`` pieces of each length.
+
+    The ``n`` pieces of the length from ``rank`` on go to the sequences from ``sequence`` on,
+    ``each`` of them to one, from ``offset`` on.
+    """
+    runs: list[tuple[int, int, int, int, int, int]] = []
+    gaps: dict[int, list[tuple[int, int]]] = collections.defaultdict(list)   # gap: runs (first sequence, how many)
+    opened = 0
+
+    def fill(length: int, rank: int, gap: int, first: int, many: int, each: int) -> int:
+        """Put ``each`` pieces into ``many`` sequences with this gap; the next rank."""
+        if many and each:
+            runs.append((length, rank, many * each, first, each, capacity - gap))
+            if gap > each * length:
+                gaps[gap - each * length].append((first, many))
+        return rank + many * each
+
+    for length in sorted(counts, reverse=True):
+        rank, n = 0, counts[length]
+        for gap in sorted(g for g in gaps if g >= length):
+            each, waiting = gap // length, gaps.pop(gap)
+            while rank < n and waiting:
+                first, many = waiting.pop()
+                whole = min(many, (n - rank) // each)
+                rank = fill(length, rank, gap, first, whole, each)
+                first, many = first + whole, many - whole
+                if many and rank < n:                      # fewer pieces than one more sequence would take
+                    rank = fill(length, rank, gap, first, 1, n - rank)
+                    first, many = first + 1, many - 1
+                if many:
+                    waiting.append((first, many))
+            if waiting:
+                gaps[gap] = waiting
+            if rank == n:
+                break
+        each = capacity // length
+        whole = (n - rank) // each
+        rank = fill(length, rank, capacity, opened, whole, each)
+        opened += whole
+        if rank < n:
+            fill(length, rank, capacity, opened, 1, n - rank)
+            opened += 1
+    return runs

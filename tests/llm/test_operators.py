@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -369,12 +370,58 @@ def test_packing(spark, odd, docs):
     assert packing.pack_documents(odd.limit(0)).count() == 0
 
 
+def test_packing_rounds(spark, docs):
+    """Slices that adaptive execution may not merge, so that pieces have to be carried on; against best fit piece by piece."""
+    draw = random.Random(8)
+    lengths = [draw.choice((draw.randint(1, 2048), draw.randint(1, 300), 2048, 700)) for _ in range(3000)] + [1025] * 400
+    made = spark.createDataFrame([(k, 0, n) for k, n in enumerate(lengths)], "doc_id long, piece int, length long")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        for given in (made, made.filter("length > 1024"), made.filter("length < 3"), made.limit(1), packing.tokenize(docs).select("doc_id", "piece", "length")):
+            got = packing.pack(given).collect()
+            assert order((r.doc_id, r.piece, r.length) for r in got) == order(tuple(r) for r in given.collect())
+            ends = {}
+            for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+                assert ends.get(r.sequence_id, 0) == r.offset
+                ends[r.sequence_id] = r.offset + r.length
+            assert max(ends.values()) <= 2048
+            counts = Counter(r.length for r in got)
+            best = max(first + -(-n // each) for _, _, n, first, each, _ in plain.plan_places(counts, 2048))
+            assert len(ends) <= 1.02 * best + 1
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_packing_carried_runs():
+    """Runs use every piece and gap once at most, pieces fit, and nothing that fits is left to an open gap."""
+    for seed in range(200):
+        draw = random.Random(seed)
+        size, slices = 1, []
+        for number in range(draw.randint(1, 9)):
+            longest = size + draw.randint(0, 20)
+            least = longest + draw.randint(0, 20)
+            size = least
+            slices.append((number, draw.choice((0, draw.randint(1, 30))), longest, draw.choice((0, draw.randint(1, 30))), least))
+        pieces, gaps = {}, Counter()
+        for below, rank, n, each, above, first in packing.carried(slices):
+            assert below < above and n > 0 and each * slices[below][2] <= slices[above][4]
+            assert rank == pieces.get(below, 0) and first == gaps[above]
+            pieces[below] = rank + n
+            gaps[above] += -(-n // each)
+        for number, n, _, m, _ in slices:
+            assert pieces.get(number, 0) <= n and gaps[number] <= m
+            if gaps[number] < m:
+                assert all(pieces.get(k, 0) == slices[k][1] for k in range(number))
+
+
 def test_packing_runs_are_bounded():
     draw = random.Random(5)
     for capacity in (1, 2, 7, 64, 2048):
         for most in (1, 3, 1000, 10**9):
             counts = {n: draw.randint(1, most) for n in range(1, capacity + 1)}
-            assert len(packing.plan_places(counts, capacity)) <= packing.most_runs(len(counts), capacity)
+            assert len(plain.plan_places(counts, capacity)) <= plain.most_runs(len(counts), capacity)
 
 
 def test_packing_plan():
@@ -393,7 +440,7 @@ def test_packing_plan():
                     gaps.remove(fit)
                     gaps.append(fit - length)
         used = {}
-        for length, rank, n, first, each, offset in packing.plan_places(counts, capacity):
+        for length, rank, n, first, each, offset in plain.plan_places(counts, capacity):
             for k in range(n):
                 used.setdefault(first + k // each, []).append((offset + k % each * length, length))
         assert len(used) == len(gaps)
