@@ -6,8 +6,8 @@ as long as the slice holds one; pieces of one length go by rank, so no two gaps
 their slice want pieces of the slices before.  Which slices those are follows from one row of counts and limits per slice, which
 is all that the driver sees (``carried``): runs of pieces go to runs of gaps by rank, as many to each gap as surely fit, and
 piece and gap meet by a shuffle on the gap.  Then gaps are updated, those smaller than every piece are closed, and the next round
-follows.  A round that places nothing opens sequences for what is left.  With one slice a round is first-fit decreasing.  Rounds are written to the
-shared folder; unplaced pieces shrink from round to round, and adaptive execution merges slices that have become small.
+follows.  A round that places nothing opens sequences for what is left.  With one slice a round is first-fit decreasing, and ends the packing but for sequences still to open; the last
+``slice_rows`` pieces and gaps are one slice.  Rounds are written to the shared folder.
 
 Defined cases: a null or empty text is one piece, the end token; a document that ends at
 a multiple of the capacity has no empty piece; equal rows are placed one by one; an empty table gives no pieces; other columns are not read.
@@ -132,6 +132,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
 
 
 PIECE, GAP, PLACED, FILLED = range(4)    # rows of a round: left, untouched, placed here, gap after placements
+SLICE_ROWS = 50_000                      # pieces and gaps that one task sweeps without a range sort
 RANKS = 40                               # bits of a rank in a slice
 SWEPT = "what int, slice int, rank long, id long, size long, sequence_id long, offset long"
 
@@ -231,7 +232,7 @@ def meeting(runs: list[tuple[int, int, int, int, int, int]]) -> Callable[[Iterab
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ...) with ``sequence_id`` and ``offset``."""
     spark = pieces.sparkSession
     ship_package(spark)
@@ -248,13 +249,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             state = state.unionByName(spark.range(opened, opened + more).select(F.lit(capacity).cast("long").alias("size"), F.lit(GAP).alias("kind"), "id"))
             opened += more
         order = ["size", "kind", "id"]
-        swept = stage(state.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(sweeper(capacity), SWEPT), "swept")
+        sliced = state.coalesce(1) if state.count() <= slice_rows else state.repartitionByRange(*order)
+        swept = stage(sliced.sortWithinPartitions(*order).mapInArrow(sweeper(capacity), SWEPT), "swept")
         facts = {(r["slice"], r["what"]): r for r in swept.groupBy("slice", "what").agg(
             F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("most"), F.sum("size").alias("total")).collect()}
         found = lambda number, what, name: facts[number, what][name] if (number, what) in facts else 0
         runs = carried((k, found(k, PIECE, "n"), found(k, PIECE, "most"), found(k, GAP, "n"), found(k, GAP, "least"))
                        for k in sorted({k for k, _ in facts}))
-        moved = bool(runs) or any(what == PLACED for _, what in facts)
+        # What a single slice leaves fits into none of its gaps.
+        moved = len({k for k, _ in facts}) > 1 and (bool(runs) or any(what == PLACED for _, what in facts))
         placed.append(swept.filter(F.col("what") == PLACED).select("id", "sequence_id", "offset"))
         rest = swept.filter(F.col("what").isin(PIECE, GAP)).select("what", "slice", "rank", "id", "size")
         filled = swept.filter(F.col("what") == FILLED).select("size", F.lit(GAP).alias("kind"), "id")

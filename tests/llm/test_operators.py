@@ -380,7 +380,7 @@ def test_packing_rounds(spark, docs):
     spark.conf.set(key, "false")
     try:
         for given in (made, made.filter("length > 1024"), made.filter("length < 3"), made.limit(1), packing.tokenize(docs).select("doc_id", "piece", "length")):
-            got = packing.pack(given).collect()
+            got = packing.pack(given, slice_rows=200).collect()
             assert order((r.doc_id, r.piece, r.length) for r in got) == order(tuple(r) for r in given.collect())
             ends = {}
             for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
