@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from ..operators.joins import lookup_join
 from ..operators.numbering import with_position
 from ..session import ship_package, stage
 
@@ -161,12 +162,12 @@ def positioned(df: DataFrame, order: list[str], label: str, name: str = "_positi
 def lookup(rows: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join to a stored table with one narrow row per key.
 
-    Up to ``SMALL_ROWS`` counted rows are broadcast.  Beyond that, rows are merged on the key
-    and adaptive execution splits a key that holds many rows.
+    Up to ``SMALL_ROWS`` counted rows are broadcast.  Beyond that, the rows per key are counted: keys that hold
+    many are joined by broadcast, so that their rows stay in their tasks, and the others are merged on the key.
     """
     if small.count() <= SMALL_ROWS:
         return rows.join(F.broadcast(small), key, how)
-    return rows.join(small.hint("merge"), key, how)
+    return lookup_join(rows, small, rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")), key, how)
 
 
 def least_reachable(links: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import plain
-from shelfgrain.llm import embeddings, language, mixing, near_copies, packing, quality, queries, sharding, toxicity, url_rules, warc
+from shelfgrain.llm import common, embeddings, language, mixing, near_copies, packing, quality, queries, sharding, toxicity, url_rules, warc
 from shelfgrain.llm.common import least_reachable, rolling, shingle_set, word_hashes
 
 WORDS = "the of and river stone house light green seven paper window garden music yellow travel market simple".split()
@@ -370,6 +370,20 @@ def test_packing(spark, odd, docs):
     assert packing.pack_documents(odd.limit(0)).count() == 0
 
 
+def test_lookup_keeps_hot_keys_in_their_tasks(spark, monkeypatch):
+    """A third of the rows under one key: it is broadcast, rows without key stay, and no row is doubled."""
+    monkeypatch.setattr(common, "SMALL_ROWS", 10)
+    monkeypatch.setattr("shelfgrain.session.BROADCAST_ROWS", 10)
+    monkeypatch.setattr("shelfgrain.operators.joins.MIN_HOT_ROWS", 100)
+    rows = spark.range(6000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN 'k' || id % 90 WHEN id % 9 = 2 THEN NULL ELSE 'none' || id END AS key")
+    small = spark.range(90).selectExpr("'k' || id AS key", "id AS v").unionByName(spark.sql("SELECT 'hot' AS key, -1L AS v"))
+    joined = common.lookup(rows, small, "key")
+    known = {r.key: r.v for r in small.collect()}
+    assert order((r.id, r.key, r.v) for r in joined.select("id", "key", "v").collect()) == order((r.id, r.key, known.get(r.key)) for r in rows.collect())
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "strategy=merge" in plan
+
+
 def test_packing_rounds(spark, docs):
     """Slices that adaptive execution may not merge, so that pieces have to be carried on; against best fit piece by piece."""
     draw = random.Random(8)
