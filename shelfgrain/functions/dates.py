@@ -8,8 +8,8 @@ STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
 def stamp_text(moment: Column) -> Column:
-    """Timestamp as text, fraction of the second cut."""
-    return F.date_format(moment, STAMP)
+    """Timestamp as text, fraction of the second cut; years beyond 9999 have five digits and no sign."""
+    return F.ltrim(F.date_format(moment, STAMP), F.lit("+"))
 
 
 def epoch_text(seconds: Column) -> Column:
