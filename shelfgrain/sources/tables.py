@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -60,19 +60,21 @@ def drop_stale(rows: DataFrame, repeated: DataFrame, url: str = "url") -> DataFr
     return rows.join(newest.hint("merge"), stale, "left_anti")
 
 
-def latest_pages(pages: DataFrame, facts: Mapping[str, Column] | None = None) -> DataFrame:
+def latest_pages(pages: DataFrame, facts: Mapping[str, Column] | None = None, by: Sequence[str] = ("url",)) -> DataFrame:
     """One row per URL: the one with the highest ``page_id``.
 
     ``facts`` names what is asked of a page; only that is carried, and the newest is found by one
     aggregation.  Without it whole pages are handed out: those of older versions are
     dropped where they are scanned while the list of repeated URLs is short, and a long list
-    shuffles the HTML.  Walks do not use that form.
+    shuffles the HTML.  Walks do not use that form.  With ``facts``, ``by`` may name other columns that tell pages apart.
     """
     if facts is None:
+        if tuple(by) != ("url",):
+            raise ValueError("whole pages are told apart by their URL")
         return drop_stale(pages, repeated_urls(pages))
     asked = F.struct(*[column.alias(name) for name, column in facts.items()])
-    newest = pages.groupBy("url").agg(F.max("page_id").alias("page_id"), F.max_by(asked, "page_id").alias("_facts"))
-    return newest.select("page_id", "url", "_facts.*")
+    newest = pages.groupBy(*by).agg(F.max("page_id").alias("page_id"), F.max_by(asked, "page_id").alias("_facts"))
+    return newest.select("page_id", *by, "_facts.*")
 
 
 def read_pages(spark: SparkSession, folder: str, latest: bool = True) -> DataFrame:

@@ -41,3 +41,7 @@ def test_lookup_of_repeated_urls(spark, versions, name):
 
 def test_failures_of_repeated_urls(spark, versions):
     assert differs(spark, versions, "fetch_failures") is None
+
+
+def test_newest_copies_of_pages_that_share_a_url(spark, versions):
+    assert differs(spark, versions, "latest_page_per_url") is None
