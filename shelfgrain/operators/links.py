@@ -6,7 +6,7 @@ and the per-page distinct are array expressions: no shuffle, no window.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as V
 from ..functions.text import is_product_url
+from ..session import fits
 
 
 def product_links(
@@ -69,6 +70,28 @@ def cap_links(links: DataFrame, limit: int = V.LINKS_PER_PAGE) -> DataFrame:
     return links.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
 
 
+def of_each_url(pages: DataFrame, repeated: DataFrame, make: Callable[[DataFrame], DataFrame],
+                per_page: int | None = None) -> DataFrame:
+    """``make(pages)`` (``page_url``, ``link``, ...) with the stored versions of a URL put together as one page.
+
+    Each link once per URL, at its best place in any version.  ``repeated`` is that of ``repeated_urls``: while it is short, only
+    links of its URLs are shuffled, and the others stay in the row they were found in.  ``per_page`` says that ``make`` keeps
+    the first links of each version; those of all versions hold the first ones of the URL.
+    """
+    def together(links: DataFrame) -> DataFrame:
+        best = links.groupBy("page_url", "link").agg(F.min(F.struct("selector_rank", "ord")).alias("_place"))
+        best = best.select("page_url", "link", "_place.selector_rank", "_place.ord")
+        return best if per_page is None else cap_links(best, per_page)
+
+    if repeated.isEmpty():
+        return make(pages)
+    if not fits(repeated):
+        return together(make(pages))
+    urls = F.broadcast(repeated.select(F.col("_url").alias("url")))
+    return make(pages.join(urls, "url", "left_anti")).unionByName(
+        together(make(pages.join(urls, "url", "left_semi"))))
+
+
 def distinct_links(*links: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Union of link tables, each URL once (per ``by``)."""
     keys = [*by, "link"]

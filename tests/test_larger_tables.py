@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from compare import compare
+from shelfgrain import session
 
 
 def differs(spark, folder, name):
@@ -45,3 +46,10 @@ def test_failures_of_repeated_urls(spark, versions):
 
 def test_newest_copies_of_pages_that_share_a_url(spark, versions):
     assert differs(spark, versions, "latest_page_per_url") is None
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+@pytest.mark.parametrize("name", ["page_links", "page_links_capped", "cap_links"])
+def test_links_of_repeated_urls(spark, versions, monkeypatch, name, most):
+    monkeypatch.setattr(session, "BROADCAST_ROWS", most)
+    assert differs(spark, versions, name) is None
