@@ -14,9 +14,9 @@ from ..session import work_path
 POLL_S = 0.5   # between two looks at the reports of a running stream
 
 
-def stream_products(pages: DataFrame, variant: str = "full", run_ts: Column | None = None) -> DataFrame:
-    """Product records of pages as they land; the batch extraction is row-wise and is reused."""
-    return extract_products(pages, variant, run_ts)
+def stream_products(pages: DataFrame, variant: str = "full", run_ts: Column | None = None, **options) -> DataFrame:
+    """Product records of pages as they land; the batch extraction is row-wise and is reused, with its options."""
+    return extract_products(pages, variant, run_ts, **options)
 
 
 def stream_dedup(records: DataFrame, key: str | Sequence[str], event_time: str, delay: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from __spark_entry__ import oracle_sql, queries
 from compare import compare
 from shelfgrain import session
+from shelfgrain.plans import registry
+from shelfgrain.sources.tables import stream_table
 
 
 def differs(spark, folder, name):
@@ -53,3 +55,19 @@ def test_newest_copies_of_pages_that_share_a_url(spark, versions):
 def test_links_of_repeated_urls(spark, versions, monkeypatch, name, most):
     monkeypatch.setattr(session, "BROADCAST_ROWS", most)
     assert differs(spark, versions, name) is None
+
+
+def test_pages_are_rendered_where_they_are_parsed(spark, folder):
+    """One split of a small file: a filter on the page must not go through an exchange to it."""
+    frame = queries()["products_full"](spark, folder)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[plan.index("MapInArrow"):]
+    assert frame.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_small_file_is_streamed_in_many_tasks(spark, folder, monkeypatch):
+    landed = []
+    monkeypatch.setattr(registry, "stream_table", lambda *args: landed.append(args) or stream_table(*args))
+    assert queries()["stream_products"](spark, folder).count() > 0
+    read = spark.read.parquet(f"{landed[0][1]}/part.parquet")
+    assert read.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
