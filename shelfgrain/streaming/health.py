@@ -9,10 +9,11 @@ folded into the ring and the counter and its figures are final.
 
 from __future__ import annotations
 
-import bisect
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -21,6 +22,8 @@ from .. import fixed_values as V
 from ..operators.crawl_log import succeeded
 from ..session import ship_package
 
+TAKEN = ("_us", "id", "elapsed_s", "_step", "_failed")
+CHUNK = 10_000   # rows held as Python objects at a time
 RESULT = "host string, id long, mean_response double, error_pressure long, signal int, late boolean"
 
 
@@ -49,33 +52,79 @@ class HostHealth:
 
     def take(self, rows: list[list], delay_us: int) -> list[tuple]:
         """New rows [ts, id, elapsed, step, failed]; what is now said of them and of all after them."""
-        out = []
-        fresh = sorted(rows)
-        if self.upto is not None:
-            behind = [r for r in fresh if r[:2] <= self.upto]
-            for r in behind:       # older than what is final: judged where the host stands, and marked
+        return list(self.said(Responses.of(rows), delay_us))
+
+    def said(self, fresh: Responses, delay_us: int) -> Iterator[tuple]:
+        """The same one by one, so that a batch with very many rows of a host is never held as Python objects.
+
+        The state is up to date once all has been taken.
+        """
+        if self.upto is not None:   # older than what is final: judged where the host stands, and marked
+            late = fresh.upto(self.upto)
+            behind, fresh = fresh[late], fresh[~late]
+            for r in behind.ordered():
                 self.ring, self.pressure, mean, signal = self.judged(self.ring, self.pressure, *r[2:])
-                out.append((r[1], mean, self.pressure, signal, True))
-            fresh = fresh[len(behind):]
-            first = self.waiting[0][:2] if behind and self.waiting else None
+                yield r[1], mean, self.pressure, signal, True
+            first = self.waiting[0][:2] if len(behind) and self.waiting else None
         else:
             first = None
-        if fresh:
-            first = min(first, fresh[0][:2]) if first else fresh[0][:2]
-        self.waiting = sorted([*self.waiting, *fresh])
-        if not self.waiting:
-            return out
-        final = self.waiting[-1][0] - delay_us
-        ring, pressure, folded = self.ring, self.pressure, 0
-        start = bisect.bisect_left([r[:2] for r in self.waiting], first) if first else len(self.waiting)
-        for k, r in enumerate(self.waiting):
+        if len(fresh):
+            first = min(first, fresh.first()) if first else fresh.first()
+        if not len(fresh) and not self.waiting:
+            return
+        together = fresh.with_rows(self.waiting)
+        final = int(together.us.max()) - delay_us
+        ring, pressure, waiting = self.ring, self.pressure, []
+        for r in together.ordered():
             ring, pressure, mean, signal = self.judged(ring, pressure, *r[2:])
-            if k >= start:
-                out.append((r[1], mean, pressure, signal, False))
+            if first is not None and r[:2] >= first:
+                yield r[1], mean, pressure, signal, False
             if r[0] < final:
-                self.ring, self.pressure, self.upto, folded = ring, pressure, r[:2], k + 1
-        self.waiting = self.waiting[folded:]
-        return out
+                self.ring, self.pressure, self.upto = ring, pressure, r[:2]
+            else:
+                waiting.append(r)
+        self.waiting = waiting
+
+
+class Responses:
+    """Rows (ts, id, elapsed, step, failed) of a host as arrays, some tens of bytes each."""
+
+    TYPES = ("int64", "int64", "float64", "int8", "bool")
+
+    def __init__(self, arrays: Sequence[np.ndarray]):
+        self.arrays = [np.asarray(a, t) for a, t in zip(arrays, self.TYPES)]
+        self.us, self.id = self.arrays[:2]
+
+    @classmethod
+    def of(cls, rows: list[list]) -> Responses:
+        return cls([[np.nan if r[k] is None else r[k] for r in rows] for k in range(5)])
+
+    @classmethod
+    def joined(cls, parts: list[Responses]) -> Responses:
+        return cls([np.concatenate([p.arrays[k] for p in parts]) for k in range(5)]) if parts else cls.of([])
+
+    def __len__(self) -> int:
+        return len(self.us)
+
+    def __getitem__(self, which: np.ndarray) -> Responses:
+        return Responses([a[which] for a in self.arrays])
+
+    def upto(self, place: list) -> np.ndarray:
+        return (self.us < place[0]) | (self.us == place[0]) & (self.id <= place[1])
+
+    def first(self) -> list:
+        us = int(self.us.min())
+        return [us, int(self.id[self.us == us].min())]
+
+    def with_rows(self, rows: list[list]) -> Responses:
+        return Responses.joined([self, Responses.of(rows)]) if rows else self
+
+    def ordered(self) -> Iterator[list]:
+        """The rows by time and id."""
+        order = np.lexsort(self.arrays[::-1])
+        for at in range(0, len(order), CHUNK):
+            for us, i, elapsed, step, failed in zip(*[a[order[at:at + CHUNK]].tolist() for a in self.arrays]):
+                yield [us, i, None if elapsed != elapsed else elapsed, step, failed]
 
 
 def stream_health(log: DataFrame, delay_s: float) -> DataFrame:
@@ -90,13 +139,14 @@ def stream_health(log: DataFrame, delay_s: float) -> DataFrame:
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         health = HostHealth(state.get[0] if state.exists else None)
-        rows = [[int(t), int(i), None if pd.isna(e) else float(e), int(s), bool(f)]
-                for batch in batches for t, i, e, s, f in zip(batch["_us"], batch["id"], batch["elapsed_s"], batch["_step"], batch["_failed"])]
-        said = health.take(rows, delay_us)
+        fresh = Responses.joined([Responses([batch[c].to_numpy(t, copy=True) for c, t in zip(TAKEN, Responses.TYPES)]) for batch in batches])
+        said = health.said(fresh, delay_us)
+        del fresh
+        while some := list(islice(said, CHUNK)):
+            made = pd.DataFrame(some, columns=["id", "mean_response", "error_pressure", "signal", "late"])
+            made.insert(0, "host", key[0])
+            yield made
         state.update((health.stored(),))
-        made = pd.DataFrame(said, columns=["id", "mean_response", "error_pressure", "signal", "late"])
-        made.insert(0, "host", key[0])
-        yield made
 
     asked = log.select(
         "host", "id", "elapsed_s", F.unix_micros("ts").alias("_us"), F.when(succeeded(), -1).otherwise(1).alias("_step"),

@@ -1,5 +1,8 @@
 """Queries against their SQL on what only larger tables hold."""
 
+import tracemalloc
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +11,7 @@ from compare import compare
 from shelfgrain import session
 from shelfgrain.plans import registry
 from shelfgrain.sources.tables import stream_table
+from shelfgrain.streaming.health import HostHealth, Responses
 
 
 def differs(spark, folder, name):
@@ -71,3 +75,18 @@ def test_a_small_file_is_streamed_in_many_tasks(spark, folder, monkeypatch):
     assert queries()["stream_products"](spark, folder).count() > 0
     read = spark.read.parquet(f"{landed[0][1]}/part.parquet")
     assert read.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_health_of_very_many_responses_takes_little_memory():
+    """All responses of a host in one batch are held as arrays: some tens of bytes each, not hundreds."""
+    n = 100_000
+    rng = np.random.default_rng(1)
+    rows = Responses([rng.permutation(n) * 1_000, np.arange(n), rng.integers(0, 9, n) / 4, rng.choice([-1, 1], n), np.zeros(n)])
+    health, said, most = HostHealth(), 0, 0
+    tracemalloc.start()
+    for _ in health.said(rows, 1_000_000):
+        said += 1
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert said == n and len(health.waiting) == 1_001
+    assert most < 80 * n
