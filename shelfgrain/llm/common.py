@@ -50,6 +50,28 @@ def as_bytes(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
 
 
+_remembered: dict[str, dict] = {}
+
+
+def remembered(operator: str) -> dict:
+    """What a Python worker keeps from task to task for an operator; it serves all of them in turn, so what others kept goes."""
+    if operator not in _remembered:
+        _remembered.clear()
+    return _remembered.setdefault(operator, {})
+
+
+def tidy(operator: str, run: Callable[[Iterable[pa.RecordBatch]], Iterable[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` in a worker that keeps nothing of other operators meanwhile, and no spare memory of Arrow's afterwards."""
+    def tidied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered(operator)
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return tidied
+
+
 def annotate(df: DataFrame, source: str, name: str, schema: T.StructType,
              facts: Callable[[pa.Array], pa.Array]) -> DataFrame:
     """``df`` with a struct column ``name`` that ``facts`` makes of column ``source``, row by row.
@@ -66,7 +88,7 @@ def annotate(df: DataFrame, source: str, name: str, schema: T.StructType,
             made = facts(as_bytes(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "made"])
 
-    return plain.mapInArrow(run, out).toDF(*df.columns, name)
+    return plain.mapInArrow(tidy(name, run), out).toDF(*df.columns, name)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.joins import lookup_join
 from ..session import ship_package, sized, stage
-from .common import SMALL_ROWS, as_bytes, fresh, least_reachable, mixed, shingle_set, short_batches
+from .common import SMALL_ROWS, as_bytes, fresh, least_reachable, mixed, shingle_set, short_batches, tidy
 
 WIDTH = 5
 ABOVE = (3, 4)             # similarity, as a fraction
@@ -144,7 +144,7 @@ def survey(docs: DataFrame) -> DataFrame:
         if pending:
             yield common()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type.simpleString()}, n long, digest binary, shingle long, count long")
+    return docs.select("doc_id", "text").mapInArrow(tidy("near copies", run), f"doc_id {id_type.simpleString()}, n long, digest binary, shingle long, count long")
 
 
 def enumerate_signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
@@ -166,7 +166,7 @@ def enumerate_signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
                         [pa.array(np.concatenate(found).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(late))],
                         names=["signature", "id", "late"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"signature long, id {docs.schema['doc_id'].dataType.simpleString()}, late boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy("near copies", run), f"signature long, id {docs.schema['doc_id'].dataType.simpleString()}, late boolean")
 
 
 def most_common(seen: DataFrame) -> np.ndarray:
@@ -208,7 +208,7 @@ def shingle_table(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array([len(s) for s in sets], pa.int64()),
                                                   pa.array([packed(s) for s in sets], pa.binary())], names=["id", "n", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"id {docs.schema['doc_id'].dataType.simpleString()}, n long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy("near copies", run), f"id {docs.schema['doc_id'].dataType.simpleString()}, n long, shingles binary")
 
 
 def linked(d: Column, n: Column, m: Column) -> Column:
@@ -272,7 +272,7 @@ def told(pairs: DataFrame, sets: DataFrame, common: np.ndarray) -> DataFrame:
     whole = (sets.select(F.col("id").alias("c"), F.col("shingles").alias("head")).join(sized(heads.select("c", "blocks")), "c")
              .select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "head"))
     return stage(own.join(whole, ["c", "block"]).select("c", "id", "led", "shingles", "head")
-                 .mapInArrow(run, f"c {kind}, id {kind}, led boolean, nc long, n long, d long, differences binary"), "told")
+                 .mapInArrow(tidy("near copies", run), f"c {kind}, id {kind}, led boolean, nc long, n long, d long, differences binary"), "told")
 
 
 def differences_listed(rows: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ def differences_listed(rows: DataFrame) -> DataFrame:
                                                  names=["id", "n", "d", "component", "place", "key"])
 
     return rows.select(F.xxhash64("c").alias("leader"), "id", F.col("n").cast("int"), F.col("d").cast("int"), "component", "differences").mapInArrow(
-        run, f"id {kind}, n int, d int, component {kind}, place int, key long")
+        tidy("near copies", run), f"id {kind}, n int, d int, component {kind}, place int, key long")
 
 
 def with_component(rows: DataFrame, key: str, components: DataFrame, name: str) -> DataFrame:

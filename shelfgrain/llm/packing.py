@@ -30,17 +30,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
 from ..session import ship_package, stage
-from .common import as_bytes
+from .common import as_bytes, remembered, tidy
 
 CAPACITY = 2048
 END = 0
 TOKENIZER = "word_bpe_49k.json"
 KNOWN_WORDS = 1_200_000  # words whose tokens a worker remembers: some 220 MB
 TEXTS = 256              # texts tokenized at once
+OPERATOR = "packing"     # tasks of others in the same worker drop that memory
 MARK = b"\x01"           # put between words; no letter, digit or white space
 
-_encoders: dict[str, "WordEncoder"] = {}
-
 
 class WordEncoder:
     """Token ids of whole texts, with a memory of words seen before.
@@ -89,12 +88,13 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
+    kept = remembered(OPERATOR)
+    if path not in kept:
         made = WordEncoder(path)
         if len(made.mark) != 1:
             raise ValueError("the mark between words must be one token")
-        _encoders[path] = made
-    return _encoders[path]
+        kept[path] = made
+    return kept[path]
 
 
 def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -127,7 +127,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=heads + ["ids"] * with_ids)
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
+    return rows.mapInArrow(tidy(OPERATOR, run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
                            + ", ids array<int>" * with_ids)
 
 

@@ -6,9 +6,10 @@ from toxic texts among them is subtracted, and the rest is kept from going below
 
 Features are the words of a text, without regard to case and punctuation, and their first four, five
 and six bytes, hashed.  A bounded sample is cut into parts; classifiers are trained
-side by side, each in one task on all parts but one; their weights are averaged.  The margin that counts as toxic is the one
-with the least prior-corrected risk on sampled texts that a classifier did not learn from.  Non-zero weights and the
-margins of sampled texts are all that comes to the driver.
+side by side, each in one task on all parts but one; their weights are averaged.  Spark counts in how many texts each feature
+is; those that stand out among toxic texts are what a classifier has weights for, and the only ones that go to its task.  The
+margin that counts as toxic is the one with the least prior-corrected risk on sampled texts that a classifier did not learn from.
+Features with weights and the margins of sampled texts are all that comes to the driver.
 
 Defined cases: null, empty and wordless texts get the score of a text without features; labels
 without text, of no document or of a held-out document teach nothing; a document with several
@@ -26,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import ship_package, stage
-from .common import BASE, INVERSE, SLICE_BYTES, annotate, fresh, held_out, mixed, powers, word_spans
+from .common import BASE, INVERSE, SLICE_BYTES, annotate, fresh, held_out, mixed, powers, short_batches, tidy, word_spans
 
 BINS = 1 << 18            # hashed features
 PREFIXES = (4, 5, 6)
 BAGS = 4                  # parts of the sample; each classifier learns from all but one
 POSITIVES = 1200          # toxic texts of a part, about, at most
 UNLABELLED = 3000         # unlabelled texts of a part, about, at most
+TEXTS = 256               # texts whose features are looked up at once
 LEAST_TEXTS = 4           # toxic texts that must have a feature
 LEAST_LIFT = 4.0          # times as frequent among toxic texts as among unlabelled ones, at least
 LEAST_EXCESS = 5.0        # standard deviations above the number expected from unlabelled texts
@@ -71,25 +73,62 @@ def feature_lists(texts: pa.Array) -> pa.Array:
     return pa.array([features(t.as_py()) for t in texts], pa.list_(pa.int32()))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Feature numbers, their weights and the bias of a classifier with little non-negative risk."""
-    def frequency(rows: list[np.ndarray]) -> np.ndarray:
-        return np.bincount(np.concatenate([*rows, np.empty(0, dtype=np.int32)]), minlength=BINS)
-
-    in_p, in_u = frequency(positive), frequency(unlabelled)
-    # A word that only toxic texts have is 1 / prior times as frequent among them as among the unlabelled.
-    expected = in_u * len(positive) / max(1, len(unlabelled))
-    least = np.maximum(min(LEAST_LIFT, 0.5 / prior) * expected, expected + LEAST_EXCESS * np.sqrt(expected + 0.25))
-    used = np.flatnonzero(in_p >= np.maximum(min(LEAST_TEXTS, len(positive)), least))
-    place = np.full(BINS, -1)
-    place[used] = np.arange(len(used))
+def standing_out(made: DataFrame, prior: float) -> dict[int, np.ndarray]:
+    """By classifier, the features that it has weights for, in order; without those that lack toxic or unlabelled texts.
 
+    ``made`` (bag, toxic, features) is counted in Spark, to one row per feature; those that stand out come to the driver.
+    """
+    texts = {(r.bag, r.toxic): r.n for r in made.groupBy("bag", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = made.select("bag", "toxic", F.explode("features").alias("bin")).groupBy("bin").agg(
+        *[F.count_if((F.col("bag") == k) & (F.col("toxic") == t)).alias(f"_{k}{t}") for k in range(BAGS) for t in (True, False)])
+    least = {}
+    for bag in range(BAGS):
+        others = [k for k in range(BAGS) if k != bag]
+        n_p, n_u = (sum(texts.get((k, t), 0) for k in others) for t in (True, False))
+        if not n_p or not n_u:
+            continue
+        in_p, in_u = (sum((F.col(f"_{k}{t}") for k in others), F.lit(0)) for t in (True, False))
+        # A word that only toxic texts have is 1 / prior times as frequent among them as among the unlabelled.
+        expected = in_u * n_p / n_u
+        least[bag] = ((in_p >= min(LEAST_TEXTS, n_p)) & (in_p >= min(LEAST_LIFT, 0.5 / prior) * expected)
+                      & (in_p >= expected + LEAST_EXCESS * F.sqrt(expected + 0.25)))
+    if not least:
+        return {}
+    bags = F.array_compact(F.array(*[F.when(stands, F.lit(bag)) for bag, stands in least.items()]))
+    found = counts.select(F.explode(bags).alias("bag"), "bin").toPandas()
+    return {bag: np.sort(found.loc[found["bag"] == bag, "bin"].to_numpy(dtype=np.int32)) for bag in least}
+
+
+def turns(made: DataFrame, used: dict[int, np.ndarray]) -> DataFrame:
+    """A row (bag, toxic, places) for each text that a classifier learns from: where its features are among those of the classifier."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {bag: np.full(BINS, -1, dtype=np.int32) for bag in used}
+        for bag, bins in used.items():
+            place[bag][bins] = np.arange(len(bins), dtype=np.int32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                own, toxic, lists = batch.slice(at, TEXTS).columns
+                own, lengths = own.to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+                values, owner = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(own)), lengths)
+                for bag, places in place.items():
+                    other, found = own != bag, places[values]
+                    kept = (found >= 0) & other[owner]
+                    ends = np.cumsum(np.bincount(owner[kept], minlength=len(own))[other])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(ends), bag, dtype=np.int32)), toxic.filter(pa.array(other)),
+                         pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(found[kept]))],
+                        names=["bag", "toxic", "places"])
+
+    return made.select("bag", "toxic", "features").mapInArrow(tidy("toxicity", run), "bag int, toxic boolean, places array<int>")
+
+
+def fit(n_used: int, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
+    """Weights and bias of a classifier with little non-negative risk; texts are lists of places among ``n_used`` features."""
     def packed(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        kept = [p[p >= 0] for p in (place[r] for r in rows)]
-        return np.concatenate([*kept, np.empty(0, dtype=np.int64)]).astype(np.int64), np.repeat(np.arange(len(kept)), [len(k) for k in kept])
+        return np.concatenate([*rows, np.empty(0, dtype=np.int32)]).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
 
     sides = [(*packed(positive), len(positive)), (*packed(unlabelled), len(unlabelled))]
-    weights, first, second = (np.zeros(len(used) + 1) for _ in range(3))  # the last one is the bias
+    weights, first, second = (np.zeros(n_used + 1) for _ in range(3))  # the last one is the bias
 
     def margins(side: int) -> np.ndarray:
         column, row, n = sides[side]
@@ -97,7 +136,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
 
     def gradient(side: int, slope: np.ndarray) -> np.ndarray:
         column, row, n = sides[side]
-        return np.append(np.bincount(column, weights=slope[row], minlength=len(used)), slope.sum()) / max(1, n)
+        return np.append(np.bincount(column, weights=slope[row], minlength=n_used), slope.sum()) / max(1, n)
 
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, ROUNDS + 1):
@@ -109,7 +148,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope ** 2
         weights -= RATE * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-8)
-    return used, weights[:-1], float(weights[-1])
+    return weights[:-1], float(weights[-1])
 
 
 def sample(df: DataFrame, most: int) -> DataFrame:
@@ -121,6 +160,7 @@ def sample(df: DataFrame, most: int) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
     """Average weights and bias, learnt from documents that are not held out; None without toxic labels."""
     ship_package(docs.sparkSession)
+    short_batches(docs.sparkSession)
     may = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     texts = docs.filter(may & F.col("text").isNotNull()).select("doc_id", "text")
     ids = stage(texts.select("doc_id").distinct(), "ids")
@@ -138,16 +178,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None
     made = stage(annotate_list(rows), "features")
     prior = float(toxic) / n
 
+    used = standing_out(made, prior)
+
     def train(group: pd.DataFrame) -> pd.DataFrame:
-        lists = {t: [np.asarray(x, dtype=np.int32) for x in group.loc[group.toxic == t, "features"]] for t in (True, False)}
-        if not lists[True] or not lists[False]:
-            return pd.DataFrame({"bag": [], "bin": [], "weight": []})
-        used, weights, bias = fit(lists[True], lists[False], prior)
-        return pd.DataFrame({"bag": group["bag"].iloc[0], "bin": np.append(used, -1), "weight": np.append(weights, bias)})
-
-    bags = F.array(*[F.lit(k) for k in range(BAGS)])
-    turns = made.withColumn("bag", F.explode(F.filter(bags, lambda k: k != F.col("bag"))))
-    learnt = turns.groupBy("bag").applyInPandas(train, "bag int, bin int, weight double").toPandas()
+        bag = int(group["bag"].iloc[0])
+        lists = [[np.asarray(x, dtype=np.int32) for x in group.loc[group.toxic == t, "places"]] for t in (True, False)]
+        weights, bias = fit(len(used[bag]), *lists, prior)
+        return pd.DataFrame({"bag": bag, "bin": np.append(used[bag], -1), "weight": np.append(weights, bias)})
+
+    learnt = turns(made, used).groupBy("bag").applyInPandas(train, "bag int, bin int, weight double").toPandas()
     found = {bag: np.bincount(np.where(part["bin"] < 0, BINS, part["bin"]), weights=part["weight"], minlength=BINS + 1)
              for bag, part in learnt.groupby("bag")}
     if not found:
@@ -192,7 +231,7 @@ def annotate_list(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), feature_lists(batch.column(2).cast(pa.binary()))],
                                              names=["bag", "toxic", "features"])
 
-    return rows.mapInArrow(run, "bag int, toxic boolean, features array<int>")
+    return rows.mapInArrow(tidy("toxicity", run), "bag int, toxic boolean, features array<int>")
 
 
 def with_toxicity(docs: DataFrame, model: tuple[np.ndarray, float] | None, name: str) -> DataFrame:

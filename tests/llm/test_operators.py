@@ -509,6 +509,37 @@ def test_toxicity(spark, odd):
     assert toxicity.score_documents(odd.limit(0), marks).count() == 0
 
 
+def test_toxicity_trains_on_features_that_stand_out(spark, monkeypatch):
+    """A training task gets of each text only the features with weights; these are the ones that plain counts name."""
+    docs = spark.createDataFrame([(k, prose(k, 80) + (" loser clown" if k % 6 == 0 else "")) for k in range(900)], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, int(k % 6 == 0)) for k in range(0, 900, 2)], "doc_id long, toxic int")
+    given, kind = [], type(docs.groupBy("doc_id"))
+    apply = kind.applyInPandas
+    monkeypatch.setattr(kind, "applyInPandas", lambda self, *rest: given.append(self._df) or apply(self, *rest))
+    model, _ = toxicity.learn(docs, marks)
+    lists = next(c for c, t in given[0].dtypes if t.startswith("array"))
+    assert 0 < given[0].agg(F.max(F.size(lists))).first()[0] <= np.count_nonzero(model) < 100
+
+    draw = np.random.default_rng(3)
+    rate, lift = np.linspace(0.01, 0.2, 300), np.tile([1, 3, 4, 8], 75)
+    rows = [(int(draw.integers(4)), k % 3 == 0, np.flatnonzero(draw.random(300) < rate * (lift if k % 3 == 0 else 1)).tolist()) for k in range(600)]
+    found = toxicity.standing_out(spark.createDataFrame(rows, "bag int, toxic boolean, features array<int>"), 0.1)
+    for bag in range(toxicity.BAGS):
+        texts = {t: [f for b, own, f in rows if b != bag and own == t] for t in (True, False)}
+        in_p, in_u = (np.bincount(np.concatenate(texts[t]).astype(int), minlength=300) for t in (True, False))
+        expected = in_u * len(texts[True]) / len(texts[False])
+        assert found[bag].tolist() == np.flatnonzero((in_p >= 4) & (in_p >= 4 * expected) & (in_p >= expected + 5 * np.sqrt(expected + 0.25))).tolist()
+        assert 0 < len(found[bag]) < 300
+
+
+def test_a_worker_keeps_words_for_packing_only():
+    path = packing.public_tokenizers.path(packing.TOKENIZER)
+    kept = packing.encoder(path)
+    assert packing.encoder(path) is kept
+    assert list(common.tidy("another", iter)([1, 2])) == [1, 2]
+    assert packing.encoder(path) is not kept
+
+
 def test_toxicity_of_repeated_rows(spark):
     """Repeated rows and labels of documents that are not at hand teach nothing more."""
     rows = [(k, prose(k, 40) + (" loser clown" if k % 6 == 0 else "")) for k in range(200)]
